@@ -1,0 +1,32 @@
+import random
+
+from stavelight.llm import secrets
+from stavelight.llm.spans import listed
+from pyspark.sql import functions as F
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(1)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCxyz0189+/_", "ab é\U0001f600\n", " "]
+    parts = ["token = \"", "password: ", "API_key='", "secret:", "AKIA", "passwd=", "é\U0001f600 ", "token=abc", "=", "EXAMPLE", "0123456789"]
+    texts = [None, "", "x" * 5000, "token = short", "AKIA", "a" * 100_000, "".join(rng.choice("0123456789abcdefXYZ+/") for _ in range(3000))]
+    texts.append(" ".join(f"token={i:08d}" for i in range(500)))
+    for _ in range(150):
+        t = ""
+        for _ in range(rng.randrange(1, 9)):
+            t += rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(alphabets), k=rng.choice([3, 12, 21, 33, 50])))
+        texts.append(t)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    out = secrets.scan_secrets(df).select("doc_id", listed(F.col("base_spans")).alias("b"), listed(F.col("spans")).alias("s")).collect()
+    assert len(out) == len(texts)
+    added = 0
+    for r in out:
+        base, spans = secrets.brute_force(texts[r.doc_id])
+        join = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e in xs)
+        assert (r.b, r.s) == (join(base), join(spans)), texts[r.doc_id]
+        added += len(spans) - len(base)
+    assert added > 10
+
+
+def test_empty_table(spark):
+    assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
