@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, secrets
+from . import decontaminate, linededup, mixing, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_line_dedup, op8_mix_sources)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op4_line_dedup, op8_mix_sources, op10_pii)}
 ORACLES: dict[str, str] = {"op1_secret_scan": secrets.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_line_dedup": linededup.ORACLE, "op8_mix_sources": mixing.ORACLE}
