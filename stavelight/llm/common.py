@@ -91,6 +91,7 @@ class Words:
         total = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(value[a] * _BYTES.up[: len(a)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * _BYTES.down[self.start] + (self.end - self.start).astype(np.uint64))
+        self._total = total
         offsets = np.cumsum([0] + [len(b) + 1 for b in blobs])
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(blobs)), np.diff(self.first))
@@ -102,6 +103,12 @@ class Words:
         """Words from each word to the end of its document, itself included."""
         return self.first[self.doc + 1] - np.arange(len(self))
 
+    def prefix(self, n: int) -> np.ndarray:
+        """Hash of the first n bytes of each word; 0 for words that are not longer."""
+        s = np.minimum(self.start + n, len(self._total) - 1)
+        h = mix((self._total[s] - self._total[self.start]) * _BYTES.down[self.start] + np.uint64(1_000_003 * n))
+        return np.where(self.end - self.start > n, h, np.uint64(0))
+
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]
 
