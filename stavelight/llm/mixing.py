@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import cut, without
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-#: Rows in a slice of the two-level prefix sum, about.
-SLICE_ROWS = 20_000
+#: Rows in a slice of the two-level prefix sum at least; slices of a source of n rows have about sqrt(n), so neither level outgrows a task.
+SLICE_ROWS = 500
 #: Quality weights: labelled good, unlabelled, labelled bad.
 GOOD, UNKNOWN, BAD = 2.0, 1.0, 0.5
 
@@ -67,11 +67,12 @@ def mix_sources(
     w = F.when(q > 0, GOOD).when(q == 0, BAD).otherwise(UNKNOWN)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
-    df = df.withColumn("key", -F.log(u) / w).select("doc_id", "source", "size", "text_hash", "key")
+    # a few numbers of each document, read three times below; the texts are read once
+    df = cut(df.withColumn("key", -F.log(u) / w).select("doc_id", "source", "size", "text_hash", "key"))
     share = targets(df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, most)
     df = df.join(share.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # slices of the key's range; those of a key that nothing but chance fills are about even
-    n = F.ceil(F.col("n_docs") / slice_rows)
+    n = F.ceil(F.col("n_docs") / F.greatest(F.lit(slice_rows), F.sqrt("n_docs")))
     df = df.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * n).cast("long"))
     sums = df.groupBy("source", "slice").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
