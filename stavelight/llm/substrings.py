@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, Words, chunks, grams, span_hash, without
+from .common import SPACED, Words, chunks, grams, mix, span_hash, without
 
 WINDOW, K = 50, 16
+#: Stands for a null id, which neither is a source nor gets cut.
+NO_ID = -(1 << 63)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,10 +60,12 @@ class Anchors:
         self.anchor = _window_anchor(self.gram, window - k + 1)[self.window_at] if len(self.window_at) else self.window_at
         self.at = np.unique(self.anchor)
         self.doc = w.doc[self.at]
-        same = self.doc[1:] == self.doc[:-1]
-        edge = span_hash(w.hash, self.at[:-1], self.at[1:] + k) if len(self.at) > 1 else np.zeros(0, np.uint64)
-        self.before, self.has_before = np.concatenate([[0], edge]).astype(np.uint64)[: len(self.at)], np.concatenate([[False], same])[: len(self.at)]
-        self.after, self.has_after = np.concatenate([edge, [0]]).astype(np.uint64)[: len(self.at)], np.concatenate([same, [False]])[: len(self.at)]
+        # both edges of each anchor in one number; 0 if its document starts or ends there
+        self.way = np.zeros(len(self.at), np.uint64)
+        if len(self.at) > 2:
+            edge = span_hash(w.hash, self.at[:-1], self.at[1:] + k)
+            within = self.doc[2:] == self.doc[:-2]
+            self.way[1:-1] = np.where(within, mix(edge[:-1] + np.uint64(3) * edge[1:]) | np.uint64(1), np.uint64(0))
 
 
 def _anchor_rows(window: int, k: int):
@@ -72,11 +76,8 @@ def _anchor_rows(window: int, k: int):
                 a = Anchors(blobs[lo:hi], window, k)
                 take = pa.array(a.doc + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(take), b.column(1).take(take), pa.array((a.at - a.words.first[a.doc]).astype(np.int32)), _signed(a.gram[a.at]),
-                        pa.array(a.before.view(np.int64), mask=~a.has_before), pa.array(a.after.view(np.int64), mask=~a.has_after),
-                    ],
-                    names=["_id", "_th", "pos", "node", "way_in", "way_out"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array((a.at - a.words.first[a.doc]).astype(np.int32)), _signed(a.gram[a.at]), _signed(a.way)],
+                    names=["_id", "_th", "pos", "node", "way"],
                 )
 
     return run
@@ -87,7 +88,7 @@ def _record_rows(window: int, k: int):
 
     def run(batches):
         for b in batches:
-            blobs, marks = [x or b"" for x in b.column(2).to_pylist()], b.column(3)
+            blobs, marks = [_unpacked(x) for x in b.column(2).to_pylist()], b.column(3)
             for lo, hi in chunks([len(x) for x in blobs]):
                 a = Anchors(blobs[lo:hi], window, k)
                 w, n = a.words, len(a.words)
@@ -130,16 +131,38 @@ def _record_rows(window: int, k: int):
     return run
 
 
-def repeated_ranges(keyed: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """keyed (_id, _th, _raw) -> (_id, _th, ranges): runs of windows (first, last) that also start in a document of a smaller id."""
-    long = lambda *names: T.StructType([T.StructField(n, T.IntegerType() if n in ("pos", "first", "last") else T.LongType()) for n in names])
-    known = keyed.where("_id is not null")
-    anchors = known.mapInArrow(_anchor_rows(window, k), long("_id", "_th", "pos", "node", "way_in", "way_out"))
-    single = lambda c: (F.count(F.lit(1)) == F.count(c)) & (F.min(c) == F.max(c))
-    nodes = anchors.groupBy("node").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), (single("way_in") & single("way_out")).alias("inner")).where("a < b").select("node", "inner")
-    marks = anchors.select("_id", "_th", "pos", "node").join(nodes, "node").select("_id", "_th", (F.col("pos").cast("long") * 2 + F.coalesce("inner", F.lit(False)).cast("long")).alias("mark"))
+def _packed(x: bytes | None) -> bytes:
+    """Size and zstd frame: texts cross the shuffle and the checkpoint at half their size or less."""
+    x = x or b""
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def _unpacked(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packer(names: list[str]):
+    def run(batches):
+        for b in batches:
+            cols = b.schema.names
+            z = [_packed(x) for x in b.column(cols.index("_raw")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(cols.index(c)) for c in names], pa.array(z, pa.binary())], names=[*names, "_z"])
+
+    return run
+
+
+def _longs(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType() if n in ("pos", "first", "last") else T.LongType(), False) for n in names])
+
+
+def repeated_ranges(raw: DataFrame, packed: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """raw (_id, _th, _raw) and packed (_id, _th, _z) -> (_id, _th, ranges): runs of windows (first, last) that also start in a document of a smaller id."""
+    anchors = raw.where(F.col("_id") != NO_ID).mapInArrow(_anchor_rows(window, k), _longs("_id", "_th", "pos", "node", "way"))
+    nodes = anchors.groupBy("node").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.min("way").alias("c"), F.max("way").alias("d")).where("a < b")
+    nodes = nodes.select("node", ((F.col("c") == F.col("d")) & (F.col("c") != 0)).alias("inner"))
+    marks = anchors.select("_id", "_th", "pos", "node").join(nodes, "node").select("_id", "_th", (F.col("pos") * F.lit(2) + F.col("inner").cast("int")).alias("mark"))
     marks = marks.groupBy("_id", "_th").agg(F.collect_set("mark").alias("marks"))
-    records = keyed.join(marks, ["_id", "_th"]).select("_id", "_th", "_raw", "marks").mapInArrow(_record_rows(window, k), long("k1", "k2", "_id", "_th", "first", "last"))
+    records = packed.join(marks, ["_id", "_th"]).select("_id", "_th", "_z", "marks").mapInArrow(_record_rows(window, k), _longs("k1", "k2", "_id", "_th", "first", "last"))
     source = records.groupBy("k1", "k2").agg(F.min("_id").alias("source"), F.max("_id").alias("_last")).where("source < _last").drop("_last")
     later = records.join(source, ["k1", "k2"]).where("_id > source")
     return later.groupBy("_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
@@ -153,16 +176,22 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     have no words and an empty kept_text; documents below ``window`` words stay whole. Repeated rows are treated alike. An empty
     table gives an empty one. Columns named like the outputs are replaced, others are carried.
     """
-    docs = without(docs, ["kept_text", "n_words", "n_removed", "_id", "_th", "_raw", "ranges"])
-    carry = [f for f in docs.schema.fields if f.name != text]
-    raw = F.col(text).cast("binary")
-    keyed = docs.select(*[f"`{f.name}`" for f in carry], raw.alias("_raw"), F.xxhash64(raw).alias("_th")).withColumnRenamed(doc_id, "_id")
-    ranges = repeated_ranges(keyed.select("_id", "_th", "_raw"), window, k)
-    names = ["_id" if f.name == doc_id else f.name for f in carry]
-    both = keyed.join(ranges, ["_id", "_th"], "left").select(*[f"`{c}`" for c in names], "_raw", "ranges")
-    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, carry, strict=True)], T.StructField("_out", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    docs = without(docs, ["kept_text", "n_words", "n_removed", "_id", "_th", "_raw", "_z", "ranges"])
+    carry = [f for f in docs.schema.fields if f.name not in (text, doc_id)]
+    keyed = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text).cast("binary")).alias("_th"), F.col(text).cast("binary").alias("_raw"), *[f"`{f.name}`" for f in carry]
+    )
+    names = ["_id", "_th", *[f.name for f in carry]]
+    # not nullable, so that both joins below put the same exchange over it
+    packed = keyed.mapInArrow(_packer(names), T.StructType([*_longs("_id", "_th").fields, *carry, T.StructField("_z", T.BinaryType(), False)]))
+    ranges = repeated_ranges(keyed.select("_id", "_th", "_raw"), packed.select("_id", "_th", "_z"), window, k)
+    both = packed.join(ranges, ["_id", "_th"], "left").drop("_th")
+    names.remove("_th")
+    schema = T.StructType([T.StructField("_id", T.LongType()), *carry, T.StructField("_out", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     done = both.mapInArrow(_cutter(names, window), schema)
-    return done.select(*[F.col(f"`{n}`").alias(f.name) for n, f in zip(names, carry, strict=True)], F.col("_out").cast("string").alias("kept_text"), "n_words", "n_removed")
+    kind = docs.schema[doc_id].dataType
+    own = {doc_id: F.when(F.col("_id") != NO_ID, F.col("_id")).cast(kind), **{f.name: F.col(f"`{f.name}`") for f in carry}}
+    return done.select(*[own[c].alias(c) for c in docs.columns if c != text], F.col("_out").cast("string").alias("kept_text"), "n_words", "n_removed")
 
 
 def _cutter(names: list[str], window: int):
@@ -170,8 +199,8 @@ def _cutter(names: list[str], window: int):
         for b in batches:
             cols = b.schema.names
             out, count, gone = [], [], []
-            for raw, ranges in zip(b.column(cols.index("_raw")).to_pylist(), b.column(cols.index("ranges")).to_pylist(), strict=True):
-                words = (raw or b"").split()  # bytes split at ASCII white space
+            for z, ranges in zip(b.column(cols.index("_z")).to_pylist(), b.column(cols.index("ranges")).to_pylist(), strict=True):
+                words = _unpacked(z).split()  # bytes split at ASCII white space
                 count.append(len(words))
                 if ranges:
                     delta = np.zeros(len(words) + 1, np.int64)
