@@ -42,7 +42,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     rest = F.sum("source_size").over(one) - F.coalesce(F.sum("cap").over(by), F.lit(0.0))
     left = F.sum("w").over(one) - F.coalesce(F.sum("w").over(by), F.lit(0.0))
     df = df.withColumn("level", rest / left).withColumn("free", F.col("cap") > F.col("level") * F.col("w"))
-    level = F.min(F.when(F.col("free"), F.col("level"))).over(one)
+    # behind the first free source the running level only falls
+    level = F.max(F.when(F.col("free"), F.col("level"))).over(one)
     return df.withColumn("target", F.when(F.col("free"), level * F.col("w")).otherwise(F.col("cap"))).drop("w", "cap", "level", "free")
 
 
@@ -106,7 +107,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 t AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
       FROM t WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, CASE WHEN cap > level * w THEN (min(CASE WHEN cap > level * w THEN level END) OVER ()) * w ELSE cap END::DOUBLE AS target FROM l),
+g AS (SELECT source, source_size, CASE WHEN cap > level * w THEN (max(CASE WHEN cap > level * w THEN level END) OVER ()) * w ELSE cap END::DOUBLE AS target FROM l),
 r AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS epochs,
         (sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
       FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
