@@ -1 +1 @@
-
+"""Vocabularies, encoders, grammars and generation plans."""

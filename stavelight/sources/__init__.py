@@ -1 +1 @@
-
+"""Files and datasets."""
