@@ -1 +1 @@
-
+"""Row-local expressions and fixed values."""

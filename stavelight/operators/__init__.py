@@ -1 +1 @@
-
+"""Operators over the music tables."""

@@ -19,7 +19,7 @@ from .operators import pieces as P
 from .operators import rolls as R
 from .operators import segments as G
 from .plans import encode as E
-from .plans import grammar, vocab
+from .plans import generation, grammar, vocab
 from .sources import dataset, smf
 
 RESOLUTION, BAR = 12, 48
@@ -70,7 +70,7 @@ def bar_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = lambda c: c.cast("int")
     return li.select(
         i(F.col("l_suppkey")).alias("piece_id"), i(F.col("l_linenumber")).alias("track"), i(F.col("l_orderkey") % 64).alias("bar"), i(F.col("l_partkey") % 48).alias("time"), i(F.col("l_partkey") % 128).alias("pitch"),
-        i(F.floor("l_quantity")).alias("duration"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        i(F.floor("l_quantity")).alias("duration"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.floor("l_quantity").cast("int")).alias("seq"),
     )
 
 
@@ -99,7 +99,7 @@ ev AS (SELECT *, (tick // {BAR})::INT AS bar, (tick % {BAR})::INT AS time, least
 evl AS (SELECT *, lag(tick) OVER w AS ptick, lag(velocity) OVER w AS pvel, lag(seq) OVER w AS pseq, lead(velocity) OVER w AS nvel FROM ev WINDOW w AS (PARTITION BY piece_id, track, pitch ORDER BY tick, onoff, seq)),
 nt AS (SELECT piece_id, track, pitch, ptick AS "start", tick AS "end", pvel AS velocity FROM evl WHERE velocity = 0 AND pvel > 0),
 ln AS (SELECT piece_id, track, max("end")::INT AS max_tick FROM nt GROUP BY ALL),
-bn AS (SELECT l_suppkey::INT AS piece_id, l_linenumber::INT AS track, (l_orderkey % 64)::INT AS bar, (l_partkey % 48)::INT AS time, (l_partkey % 128)::INT AS pitch, floor(l_quantity)::INT AS duration, l_orderkey * 8 + l_linenumber AS seq FROM lineitem),
+bn AS (SELECT l_suppkey::INT AS piece_id, l_linenumber::INT AS track, (l_orderkey % 64)::INT AS bar, (l_partkey % 48)::INT AS time, (l_partkey % 128)::INT AS pitch, floor(l_quantity)::INT AS duration, (l_orderkey * 8 + l_linenumber) * 64 + floor(l_quantity)::INT AS seq FROM lineitem),
 tr AS (SELECT DISTINCT piece_id, track, (track * 7 % 128)::INT AS instrument, CASE WHEN track % 5 = 0 THEN 11 ELSE 10 END AS track_type FROM src),
 ab AS (SELECT t.piece_id, t.track, unnest(range(0, m.l + 1))::INT AS bar FROM (SELECT DISTINCT piece_id, track FROM ev) t JOIN (SELECT piece_id, max(bar) AS l FROM ev GROUP BY piece_id) m USING (piece_id))
 """
@@ -237,7 +237,7 @@ def corpus_density_quantiles(spark, sf_dir):
     inst = F.when(F.col("track") % 5 == 0, 128).otherwise((F.col("track") * 7 % 128)).cast("int")
     counts = events(spark, sf_dir).where("velocity > 0").groupBy("piece_id", "track", "bar").agg(F.count(F.lit(1)).alias("n")).withColumn("inst", inst)
     q = A.corpus_density_quantiles(counts, ["inst"])
-    return q.select("inst", _listed("quantiles"), _listed(A.first_equal(F.col("quantiles")), "first_equal"))
+    return q.select("inst", _listed("quantiles"), _listed(A.first_equal(q["quantiles"]), "first_equal"))
 
 
 @query(""", h AS (SELECT piece_id, track, bar, bool_or(velocity > 0) AS h FROM ev GROUP BY ALL) SELECT ab.piece_id, ab.track, ab.bar, coalesce(h, false) AS has_notes FROM ab LEFT JOIN h USING (piece_id, track, bar)""")
@@ -600,3 +600,19 @@ def performance_kind(spark, sf_dir):
 @query("SELECT piece_id, track, pitch, greatest(\"start\", 100) - 100 AS \"start\", least(\"end\", 400) - 100 AS \"end\" FROM nt WHERE \"start\" < 400 AND \"end\" > 100")
 def excerpt(spark, sf_dir):
     return smf.excerpt(notes(spark, sf_dir), 100, 400).select("piece_id", "track", "pitch", "start", "end")
+
+
+@query()
+def generated_pieces(spark, sf_dir):
+    """Sequences drawn under the grammar, one request for each supplier, checked for the grammar again."""
+    s = table(spark, sf_dir, "supplier")
+    req = s.select(F.col("s_suppkey").alias("piece_id"), F.lit(2).alias("n_tracks"), F.lit(2).alias("n_bars"), F.col("s_suppkey").alias("seed"), F.lit('[{"TRACK": [10]}, {"TRACK": [11]}]').alias("controls"))
+    return generation.generate(req, "NEW_DURATION_ENCODER").select("piece_id", F.size("tokens").alias("length"), "error")
+
+
+@query(""", s AS (SELECT date_trunc('day', ts) AS day, user_id % 5 AS piece_id FROM events) SELECT strftime(day, '%Y-%m-%d') AS day, piece_id, count(*) AS onsets FROM s GROUP BY ALL""")
+def onsets_by_day(spark, sf_dir):
+    from . import streaming
+
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("piece_id"), F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), F.lit(1).alias("velocity"))
+    return streaming.onset_counts(e, window="1 day").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "piece_id", "onsets")
