@@ -6,13 +6,14 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MASK = (1 << 64) - 1
 #: Odd multipliers of the polynomial hashes over bytes and over words.
 BYTE_BASE, GRAM_BASE, GRAM_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-#: Bytes hashed at once by a Python worker.
-CHUNK = 1 << 20
+#: Bytes hashed at once by a Python worker; tables of powers grow to the next power of two.
+CHUNK = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -143,3 +144,13 @@ def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         total += n
     if lo < len(sizes):
         yield lo, len(sizes)
+
+
+def packed(x: bytes | None) -> bytes:
+    """Size and zstd frame: texts cross the shuffle and the checkpoint at half their size or less."""
+    x = x or b""
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)

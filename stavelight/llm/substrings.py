@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, Words, chunks, grams, mix, span_hash, without
+from .common import SPACED, Words, chunks, grams, mix, packed, span_hash, unpacked, without
 
 WINDOW, K = 50, 16
 #: Stands for a null id, which neither is a source nor gets cut.
@@ -88,7 +88,7 @@ def _record_rows(window: int, k: int):
 
     def run(batches):
         for b in batches:
-            blobs, marks = [_unpacked(x) for x in b.column(2).to_pylist()], b.column(3)
+            blobs, marks = [unpacked(x) for x in b.column(2).to_pylist()], b.column(3)
             for lo, hi in chunks([len(x) for x in blobs]):
                 a = Anchors(blobs[lo:hi], window, k)
                 w, n = a.words, len(a.words)
@@ -131,21 +131,11 @@ def _record_rows(window: int, k: int):
     return run
 
 
-def _packed(x: bytes | None) -> bytes:
-    """Size and zstd frame: texts cross the shuffle and the checkpoint at half their size or less."""
-    x = x or b""
-    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
-
-
-def _unpacked(x: bytes) -> bytes:
-    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
-
-
 def _packer(names: list[str]):
     def run(batches):
         for b in batches:
             cols = b.schema.names
-            z = [_packed(x) for x in b.column(cols.index("_raw")).to_pylist()]
+            z = [packed(x) for x in b.column(cols.index("_raw")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(cols.index(c)) for c in names], pa.array(z, pa.binary())], names=[*names, "_z"])
 
     return run
@@ -200,7 +190,7 @@ def _cutter(names: list[str], window: int):
             cols = b.schema.names
             out, count, gone = [], [], []
             for z, ranges in zip(b.column(cols.index("_z")).to_pylist(), b.column(cols.index("ranges")).to_pylist(), strict=True):
-                words = _unpacked(z).split()  # bytes split at ASCII white space
+                words = unpacked(z).split()  # bytes split at ASCII white space
                 count.append(len(words))
                 if ranges:
                     delta = np.zeros(len(words) + 1, np.int64)
