@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, chunks, mix, without
+from .common import ALNUM, CHUNK, Words, chunks, mix, without
 from .decontaminate import HashSet
 
-SAMPLE, SAMPLE_CHARS, FEATURES, CHAIN = 2000, 20_000, 20_000, 64
+SAMPLE, SAMPLE_CHARS, FEATURES, CHAIN = 1500, 20_000, 20_000, 64
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 THRESHOLD = 0.7
 
@@ -163,20 +163,24 @@ def train(texts: list[bytes], label: list[int], weight_of_clean: float = 1.0, ro
         p = float(y.mean()) if len(y) else 0.1
         return Model(document=np.array([np.log((p + 0.01) / (1.01 - p)), 0.0, 0.0, 0.0]))
     blobs = [lowered(t) for t in texts]
-    parts = [(lo, hi, Tokens(blobs[lo:hi])) for lo, hi in chunks([len(b) for b in blobs])]
+    # one chunk's tokens at a time, so that the driver needs little memory
+    parts = list(chunks([len(b) for b in blobs], CHUNK // 2))
     docs = []
-    for lo, hi, t in parts:
+    for lo, hi in parts:
+        t = Tokens(blobs[lo:hi])
         for d in range(hi - lo):
             a, b = t.words.first[d], t.words.first[d + 1]
             docs.append(np.unique(np.concatenate([f[a:b] for f in t.features])))
     features, _, toxic = select_features(docs, y)
+    del docs
     marks = HashSet(features[toxic])
     known = HashSet(features)
     place_of = np.argsort(features)
     es, ts = [], []  # chains as feature numbers (words x 5, -1 if unknown) and token labels
-    for lo, hi, t in parts:
+    for lo, hi in parts:
+        t = Tokens(blobs[lo:hi])
         lab = np.zeros(len(t.words), bool)
-        ids = np.full((len(t.words), len(t.features)), -1)
+        ids = np.full((len(t.words), len(t.features)), -1, np.int32)
         for j, f in enumerate(t.features):
             at, _ = marks.find(f)
             lab[at] = True
@@ -191,10 +195,12 @@ def train(texts: list[bytes], label: list[int], weight_of_clean: float = 1.0, ro
                 es.append(ids[s : s + n])
                 ts.append(lab[s : s + n])
     size = np.array([len(x) for x in ts])
+    del t
     wide = int(size.max())
-    ids, lab = np.full((len(ts), wide, len(PREFIXES) + 1), -1), np.zeros((len(ts), wide), bool)
+    ids, lab = np.full((len(ts), wide, len(PREFIXES) + 1), -1, np.int32), np.zeros((len(ts), wide), bool)
     for i, (a, b) in enumerate(zip(es, ts, strict=True)):
         ids[i, : len(b)], lab[i, : len(b)] = a, b
+    del es, ts
     live = np.arange(wide) < size[:, None]
     n = len(features)
     theta = np.zeros(n + 4)  # weights, bias, moves 0>1, 1>0, 1>1
@@ -206,16 +212,16 @@ def train(texts: list[bytes], label: list[int], weight_of_clean: float = 1.0, ro
     for step in range(1, rounds + 1):
         w = np.append(theta[:n], 0.0)
         move = np.array([[0.0, theta[n + 1]], [theta[n + 2], theta[n + 3]]])
-        e = theta[n] + w[ids].sum(2)
+        e = theta[n] + sum(w[ids[:, :, j]] for j in range(ids.shape[2]))
         p, pairs, _ = forward_backward(e, size, move)
-        expect = np.bincount(np.where(ids >= 0, ids, n).ravel(), np.repeat((p * live).ravel(), ids.shape[2]), minlength=n + 1)[:n]
+        expect = sum(np.bincount(ids[:, :, j][ids[:, :, j] >= 0], (p * live)[ids[:, :, j] >= 0], minlength=n) for j in range(ids.shape[2]))
         grad = np.concatenate([target - expect, [lab.sum() - (p * live).sum()], seen_moves - np.array([pairs[0, 1], pairs[1, 0], pairs[1, 1]])])
         grad -= 0.5 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta += 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     keep = np.abs(theta[:n]) > 1e-3
     model = Model(features[keep], theta[:n][keep], float(theta[n]), np.array([[0.0, theta[n + 1]], [theta[n + 2], theta[n + 3]]]))
-    x = np.concatenate([_document_features(t.words, model.marginals(t)) for _, _, t in parts])
+    x = np.concatenate([_document_features(t.words, model.marginals(t)) for t in (Tokens(blobs[lo:hi]) for lo, hi in parts)])
     model.document = _logistic(x, y.astype(float), np.where(y, 1.0, weight_of_clean))
     return model
 
