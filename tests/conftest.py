@@ -14,5 +14,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "3g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    from stavelight.session import share_code
+
+    yield share_code(s)
     s.stop()
