@@ -4,12 +4,10 @@
 2. Sketch: 5-word shingles carry their occurrence number; for each of ``VECTORS`` hash functions the ``ELL`` smallest are kept in text
    order. Two texts meet in a bucket where such a vector is equal: with similarity s that has probability about s ** ELL each time, and needs the
    same order, so it follows edit similarity.
-3. In each bucket the members are compared with one leader only, the member that meets most others anywhere: hubs lead, so a group of n copies
-   costs about n comparisons.
-4. Two members that are similar to each other, but not both to their leader, share shingles that the leader lacks (or, if they are
-   cut short, lack the same of its shingles). So every member goes on to the buckets of the least of its shingles that its main leader lacks, under ``NOVEL`` hash
-   functions, where new leaders are chosen, more in each round, and so on until all pairs of each bucket are compared or explained. What a
-   whole bucket has in common never makes pairs again.
+3. In each bucket the members are compared with one leader first, the member that meets most others anywhere: hubs lead, so a group of n copies
+   costs about n comparisons and becomes one component.
+4. Buckets whose members still lie in several components are compared whole: every pair of members of different components, in blocks of
+   ``BLOCK`` texts, a block against a block. So each pair that shares a bucket is compared or already connected.
 5. Candidates are verified on whole texts: 5-word shingle similarity (Jaccard) and word edit similarity by banded alignment must both reach
    ``THRESHOLD``.
 6. Connected components by minimum labels with pointer jumping, all as joins; rounds are checkpointed in the shared folder.
@@ -23,16 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, GRAM_BASE, Words, chunks, cut, grams, mix, packed, unpacked
+from .common import ALNUM, CHUNK, GRAM_BASE, Words, chunks, cut, grams, mix, packed, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 VECTORS, ELL = 16, 3
-#: Buckets of a member after it was compared with its main leader.
-NOVEL = 8
-#: Leaders of a bucket by round; what is left has few and small buckets, and this ends them soon.
-LEADERS = (1, 4, 16)
-#: Share of new shingles below which a text that isn't similar to its leader counts as cut short.
-FEW_NEW = 0.05
+#: Texts of a block, about, where a bucket of several components is compared whole; results don't depend on it.
+BLOCK = 256
 #: Texts of more shingles than the first have vectors of ELL, those of at most the second have vectors of one.
 SHORT = (10, 16)
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64))
@@ -142,71 +136,119 @@ def sketches(docs: DataFrame, text: str, doc_id: str, vectors: int, ell: int) ->
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))).alias("node"), F.col(text).cast("binary").alias("_raw")).mapInArrow(run, schema)
 
 
-def novel_keys(x: np.ndarray, lead: np.ndarray, ok: bool, n: int = NOVEL) -> list[int]:
-    """Buckets of a text, given its own and its leader's shingles: least of those the leader lacks; or, where a text that isn't similar has hardly any, of those it lacks itself."""
-    new, tag = np.setdiff1d(x, lead), np.uint64(11)
-    if not ok and len(new) < FEW_NEW * len(x):
-        new, tag = np.setdiff1d(lead, x), np.uint64(12)
-    if not len(new):
-        return []
-    y = mix((new[None, :] ^ _SEEDS[:n, None]) * (_SEEDS[:n, None] | np.uint64(1)))
-    least = new[np.argmin(y, axis=1)]
-    return np.unique(mix(least + tag)).view(np.int64).tolist()
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """pairs (node, lead, main) -> (node, lead, ok, keys): whether the texts are similar, and the buckets that a node goes on to from its main leader."""
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
     t = lambda n: texts.select(F.col("node").alias(n), F.col("_z").alias(f"z_{n}"))
 
     def run(batches):
         for batch in batches:
-            main = batch.column(2).to_pylist()
-            left, right = ([unpacked(x) for x in batch.column(i).to_pylist()] for i in (3, 4))
-            ok, keys = [], []
+            left, right = ([unpacked(x) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            ok = []
             for lo, hi in chunks([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
                 u, v = Words(left[lo:hi], ALNUM), Words(right[lo:hi], ALNUM)
-                for d in range(hi - lo):
-                    x, y = u.hash[u.first[d] : u.first[d + 1]], v.hash[v.first[d] : v.first[d + 1]]
-                    ok.append(similar(x, y, threshold))
-                    keys.append(novel_keys(np.unique(shingles(x)), np.unique(shingles(y)), ok[-1]) if main[lo + d] else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "lead", "ok", "keys"])
+                ok += [similar(u.hash[u.first[d] : u.first[d + 1]], v.hash[v.first[d] : v.first[d + 1]], threshold) for d in range(hi - lo)]
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(run, "a binary, b binary")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets have in common."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, col, size = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, col = owner[size[col] > 1], col[size[col] > 1]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], np.unique(col[order], return_inverse=True)[1]
+    out, width = np.zeros((n, n), np.float32), max(64, 2_000_000 // n)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        i, j = np.searchsorted(col, [lo, lo + width])
+        m = np.zeros((n, min(width, int(col[-1]) + 1 - lo)), np.float32)
+        m[owner[i:j], col[i:j] - lo] = 1
+        out += m @ m.T
+    return out
 
-    rows = pairs.join(t("node"), "node").join(t("lead"), "lead").select("node", "lead", "main", "z_node", "z_lead")
-    return rows.mapInArrow(run, "node binary, lead binary, ok boolean, keys array<bigint>")
 
+def connecting(words: list[np.ndarray], sets: list[np.ndarray], labels: list, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Similar pairs (i, j) of a group of texts that connect all of its components that similar pairs connect."""
+    to = {x: x for x in labels}
 
-def links(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs (a, b), a < b, from buckets (key, node, n) of n members, two or more. A pair is compared once."""
-    unordered = [F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")]
-    found, tested, seen, level = None, None, None, 0
-    while True:
-        leaders = LEADERS[min(level, len(LEADERS) - 1)]
-        level += 1
-        # a node has a few buckets only, so this window is narrow
-        rows = buckets.withColumn("meets", F.sum("n").over(Window.partitionBy("node")))
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), F.desc("node")))
-        lead = rows.withColumn("r", place).where(F.col("r") <= leaders)
-        # in a bucket that isn't open all pairs are compared now
-        lead = lead.select("key", F.col("node").alias("lead"), F.col("meets").alias("lead_meets"), (F.col("n") > leaders + 1).alias("open"))
-        both = rows.join(lead, "key").where("meets < lead_meets or meets = lead_meets and node < lead")
-        pairs = both.select("node", "lead", "open").repartition("node").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("open"))
-        order = Window.partitionBy("node").orderBy(F.desc("open"), F.desc("n"), "lead")
-        pairs = pairs.select("node", "lead", ((F.row_number().over(order) == 1) & F.col("open")).alias("main"))
-        if tested is not None:
-            pairs = pairs.withColumns({"a": unordered[0], "b": unordered[1]}).join(tested, ["a", "b"], "left_anti").drop("a", "b")
-        done = cut(_compared(pairs, texts, threshold))
-        good, all_pairs = done.where("ok").select(*unordered), done.select(*unordered)
-        found = good if found is None else found.unionByName(good)
-        tested = all_pairs if tested is None else tested.unionByName(all_pairs)
-        finer = done.select("node", "ok", F.explode("keys").alias("key"))
-        if seen is not None:  # its members have been compared with its leaders, and went on to other shingles
-            finer = finer.join(seen, "key", "left_anti")
-        useful = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("all_ok")).where("n > 1 and not all_ok").select("key", "n")
-        buckets = cut(finer.select("node", "key").join(useful, "key"))
-        now = buckets.select("key").distinct()
-        seen = now if seen is None else seen.unionByName(now)
-        if buckets.isEmpty():
-            return found
+    def find(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    size, out = np.array([len(x) for x in sets]), []
+    both = common(sets)
+    # half a shingle less, as similar() decides
+    for i, j in np.argwhere(np.triu(both + 0.5 >= threshold * (size[:, None] + size[None, :] - both), 1)):
+        x, y = find(labels[i]), find(labels[j])
+        if x != y and similar(words[i], words[j], threshold):
+            to[x] = y
+            out.append((int(i), int(j)))
+    return out
+
+
+def _connected(rows: list[tuple], threshold: float) -> pa.RecordBatch:
+    """connecting() for rows (group, node, label, packed text), groups together."""
+    texts = {r[1]: r[3] for r in rows}
+    blobs, words = [unpacked(z) for z in texts.values()], []
+    for lo, hi in chunks([len(x) for x in blobs]):
+        w = Words(blobs[lo:hi], ALNUM)
+        words += [w.hash[w.first[d] : w.first[d + 1]] for d in range(hi - lo)]
+    words = dict(zip(texts, words, strict=True))
+    sets = {k: np.unique(shingles(w)) for k, w in words.items()}
+    pairs, lo = [], 0
+    for hi in range(1, len(rows) + 1):
+        if hi == len(rows) or rows[hi][0] != rows[lo][0]:
+            nodes = [r[1] for r in rows[lo:hi]]
+            pairs += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in connecting([words[x] for x in nodes], [sets[x] for x in nodes], [r[2] for r in rows[lo:hi]], threshold)]
+            lo = hi
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Similar pairs (a, b) of buckets whose members have several labels; all pairs of members of different labels are compared, or connected by others."""
+    rows = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("n"), F.sum(F.when(F.col("m") < block, F.col("m"))).alias("rest"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    # two members were compared as leader and led; of buckets of the same members one is enough
+    whole = whole.where("labels > 1 and n > 2").groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "rest"), "key").alias("w")).select("w.*")
+    # large labels have blocks of their own, which needn't be compared with each other; small ones share blocks
+    pure = F.col("m") >= block
+    parts = parts.join(whole, "key").select("key", "label", F.when(pure, F.col("label")).otherwise(F.lit(b"")).alias("of"), F.ceil(F.when(pure, F.col("m")).otherwise(F.col("rest")) / block).alias("blocks"))
+    salt = F.xxhash64(F.when(F.col("of") == F.lit(b""), F.col("label")).otherwise(F.col("node")))
+    rows = cut(rows.join(parts, ["key", "label"]).select("key", "node", "label", "of", F.pmod(salt, F.col("blocks")).alias("part")))
+    blocks = rows.select("key", F.struct("of", "part").alias("block")).distinct()
+    two = blocks.withColumnRenamed("block", "left").join(blocks.withColumnRenamed("block", "right"), "key")
+    two = two.where((F.col("left") <= F.col("right")) & ((F.col("left.of") != F.col("right.of")) | (F.col("left.of") == F.lit(b""))))
+    sides = two.select("key", F.xxhash64("key", "left", "right").alias("group"), F.explode(F.array_distinct(F.array("left", "right"))).alias("block")).select("key", "group", "block.*")
+    work = rows.join(sides, ["key", "of", "part"]).select("group", "node", "label").join(texts, "node").select("group", "node", "label", "_z")
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > CHUNK and row[0] != held[-1][0]:
+                    yield _connected(held, threshold)
+                    held, size = [], 0
+                held.append(row)
+                size += int.from_bytes(row[3][:8], "little")
+        if held:
+            yield _connected(held, threshold)
+
+    return work.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
+
+
+def links(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Verified pairs (a, b), a < b, from buckets (key, node, n) of n members, two or more: any two similar members of a bucket are connected by them."""
+    # a node has a few buckets only, so this window is narrow
+    rows = buckets.withColumn("meets", F.sum("n").over(Window.partitionBy("node")))
+    lead = rows.groupBy("key").agg(F.max_by("node", F.struct("meets", "node")).alias("lead"))
+    pairs = rows.join(lead, "key").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    found = cut(_verified(pairs, texts, threshold))
+    return found.unionByName(cut(_across(buckets, components(found), texts, threshold, block)))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -233,7 +275,8 @@ def near_duplicates(
     ``threshold``; texts of fewer than five words have all their words as one shingle. Classes are the connected components over exact
     copies and links. Null texts and texts without words belong to no class: class_id is their own id, links 0. Null ids join classes but
     name none unless alone. Repeated rows are exact copies. An empty table gives an empty one; other columns are ignored.
-    A pair of similarity s is missed with probability about (1 - s ** ell) ** vectors: 1e-5 at 0.8.
+    A pair of similarity s shares no bucket, and is missed unless others connect it, with probability about (1 - s ** ell) ** vectors: 1e-5 at 0.8
+    for texts of the same order. Pairs that share a bucket are never missed, whatever its size.
     """
     rows = cut(sketches(docs, text, doc_id, vectors, ell))
     nodes = rows.where(F.size("keys") > 0).groupBy("node").agg(F.min("_id").alias("rep"), F.min("keys").alias("keys"))

@@ -73,6 +73,52 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got}) and kept.columns == df.columns
 
 
+def linked(spark, texts, keys, **more):
+    """Classes, as sets of text numbers, that links() makes of hand-made buckets (lists of text numbers)."""
+    node = lambda i: bytearray([i >> 8, i & 255])
+    buckets = spark.createDataFrame([(k, node(i), len(b)) for k, b in enumerate(keys) for i in b], "key long, node binary, n long")
+    packs = spark.createDataFrame([(node(i), bytearray(nd.packed(t.encode()))) for i, t in enumerate(texts)], "node binary, _z binary")
+    label = {i: i for i in range(len(texts))}
+    for r in nd.components(nd.links(buckets, packs, **more)).collect():
+        label[int.from_bytes(r.node, "big")] = int.from_bytes(r.label, "big")
+    return [label[i] for i in range(len(texts))]
+
+
+def test_cut_short_texts_meet(spark):
+    """A is similar to the leader L and to B, which is not similar to L."""
+    rng = random.Random(3)
+    texts, keys = [], []
+    for g in range(8):
+        w = [f"g{g}x{rng.randrange(10**6)}" for _ in range(1004)]
+        texts += [" ".join(w[:n]) for n in (1004, 854, 694)]
+        keys += [[3 * g, 3 * g + 1, 3 * g + 2], [3 * g, 3 * g + 1, 3 * g + 2, 3 * (g + 1) % 24]]
+    assert linked(spark, texts, keys) == [i // 3 * 3 for i in range(24)]
+
+
+def test_blocks_compare_whole_buckets(spark):
+    """One hot bucket of chains of texts, each similar to its neighbours only, and of copies; over many blocks and in one."""
+    rng = random.Random(4)
+    texts = []
+    for length in (1, 2, 3, 5, 9, 30):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(length):
+            texts.append(" ".join(w))
+            w = w[8:] + [f"w{rng.randrange(10**6)}" for _ in range(8)]
+    near = [f"n{i}" for i in range(90)]
+    texts += [" ".join(near[:i] + ["odd"] + near[i:]) for i in range(25)]
+    want = brute(list(enumerate(texts)))
+    assert len(set(want)) == 7
+    for block in (2, 7, nd.BLOCK):
+        assert linked(spark, texts, [list(range(len(texts)))], block=block) == want
+
+
+def test_common():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (1, 5, 30, 80)] + [np.array([99], np.uint64)]
+    got = nd.common(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(5) for j in range(5) if i != j)
+
+
 def test_sketch_follows_order():
     a = np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     same = lambda b: np.mean(nd.order_min_hash(a, 256, 3) == nd.order_min_hash(b, 256, 3))
