@@ -119,6 +119,23 @@ def test_common():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(5) for j in range(5) if i != j)
 
 
+def test_hubs_that_share_buckets(spark):
+    """Chains and stars around hubs that lead each other's buckets: all pairs of a bucket count, whoever led it."""
+    rng = random.Random(6)
+    texts = []
+    for g in range(3):
+        p = [f"g{g}p{i}" for i in range(200)]
+        for j in range(4):
+            q = [f"g{g}q{j}x{i}" for i in range(rng.randrange(40, 60))]
+            base = p[30 * j :] + q
+            texts += [" ".join(base[:n]) for n in (len(base), len(base) - 20, len(base) - 38, len(base) - 52)]
+            texts += [" ".join(base + [f"r{k}x{i}" for i in range(n)]) for k, n in enumerate((12, 25, 45))]
+    n = len(texts)
+    groups = [list(range(n // 3 * g, n // 3 * (g + 1))) for g in range(3)]
+    keys = [g for g in groups] + [sorted(rng.sample(g, 9) + [groups[(i + 1) % 3][0]]) for i, g in enumerate(groups) for _ in range(4)]
+    assert linked(spark, texts, keys) == brute(list(enumerate(texts)))
+
+
 def test_sketch_follows_order():
     a = np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     same = lambda b: np.mean(nd.order_min_hash(a, 256, 3) == nd.order_min_hash(b, 256, 3))
