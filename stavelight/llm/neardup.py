@@ -268,13 +268,13 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, vectors: int = VECTORS, ell: int = ELL
 ) -> DataFrame:
-    """(doc_id, class_id, links, text_md5): one row per row of docs. class_id is the smallest id of the class, links the number of distinct other texts
+    """(doc_id, class_id, links, text_md5, label): one row per row of docs. label names the class, null without words. class_id is the smallest id of the class, links the number of distinct other texts
     verified as similar to this one by the comparisons made (a class is connected by them).
 
     Words are lower-cased runs of letters and digits. Texts are linked if both their 5-word shingle similarity and their word edit similarity are at least
     ``threshold``; texts of fewer than five words have all their words as one shingle. Classes are the connected components over exact
     copies and links. Null texts and texts without words belong to no class: class_id is their own id, links 0. Null ids join classes but
-    name none unless alone. Repeated rows are exact copies. An empty table gives an empty one; other columns are ignored.
+    name none unless alone, so unlike texts of one id, or without any, have equal class_ids, but not labels. Repeated rows are exact copies. An empty table gives an empty one; other columns are ignored.
     A pair of similarity s shares no bucket, and is missed unless others connect it, with probability about (1 - s ** ell) ** vectors: 1e-5 at 0.8
     for texts of the same order. Pairs that share a bucket are never missed, whatever its size.
     """
@@ -299,19 +299,22 @@ def near_duplicates(
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     reps = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     classes = reps.groupBy("label").agg(F.min("rep").alias("class_id"))
-    table = reps.join(classes, "label").join(degree, "node", "left").select("node", "class_id", "links")
+    table = reps.join(classes, "label").join(degree, "node", "left").select("node", "class_id", "links", "label")
     out = rows.select("_id", "node", (F.size("keys") > 0).alias("worded")).join(table, "node", "left")
     return out.select(
-        F.col("_id").alias("doc_id"), F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("_id")).alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.hex("node").alias("text_md5")
+        F.col("_id").alias("doc_id"), F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("_id")).alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.hex("node").alias("text_md5"),
+        F.hex("label").alias("label"),
     )
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stand for their class: the one of the smallest id, once. Rows without an id stay only if their class has no id."""
+    """The rows of docs that stand for their class (label): the one of the smallest id, once. Rows without an id stay only if their class has no id.
+    Texts without words belong to no class and stay, once for each id; those without an id all stay."""
     names = docs.columns
     md5 = F.hex(F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))))
-    best = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_cid")).agg(F.min("text_md5").alias("_cmd5"))
-    rows = docs.withColumn("_md5", md5).join(best, F.col(doc_id).eqNullSafe(F.col("_cid")) & (F.col("_md5") == F.col("_cmd5")))
-    return rows.dropDuplicates(["_cid", "_cmd5"]).select(*[f"`{c}`" for c in names])
-
-
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_cid"), F.col("text_md5").alias("_cmd5"))).alias("f")
+    best = classes.where("label is not null").groupBy("label").agg(first).select("f._cid", "f._cmd5", F.lit(False).alias("_each"))
+    loose = classes.where("label is null").select(F.col("doc_id").alias("_cid"), F.col("text_md5").alias("_cmd5"), F.col("doc_id").isNull().alias("_each")).distinct()
+    rows = docs.withColumn("_md5", md5).join(best.unionByName(loose), F.col(doc_id).cast("long").eqNullSafe(F.col("_cid")) & (F.col("_md5") == F.col("_cmd5")))
+    rows = rows.withColumn("_copy", F.when(F.col("_each"), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long")))
+    return rows.dropDuplicates(["_cid", "_cmd5", "_copy"]).select(*[f"`{c}`" for c in names])

@@ -1,4 +1,5 @@
 import random
+from hashlib import md5
 
 import numpy as np
 
@@ -136,6 +137,16 @@ def test_hubs_that_share_buckets(spark):
     assert linked(spark, texts, keys) == brute(list(enumerate(texts)))
 
 
+def test_keep_one_keeps_a_row_of_each_class(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " end"), (None, b), (7, c), (7, d), (8, c + " end"), (None, c), (9, "!!"), (9, "!!"), (None, "?"), (None, "?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in nd.keep_one(df, nd.near_duplicates(df)).collect()]
+    first = min(((None, a), (None, a + " end")), key=lambda r: md5(r[1].encode()).hexdigest())
+    assert sorted(got, key=str) == sorted([first, (None, b), (7, c), (7, d), (9, "!!"), (None, "?"), (None, "?")], key=str)
+
+
 def test_sketch_follows_order():
     a = np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     same = lambda b: np.mean(nd.order_min_hash(a, 256, 3) == nd.order_min_hash(b, 256, 3))
