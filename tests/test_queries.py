@@ -35,3 +35,8 @@ def test_query(spark, con, name):
     want = con.sql(q.ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
+
+
+def test_files_hold_all_users(spark):
+    n = sum(r.n_notes for r in q.QUERIES["smf_round_trip_all"](spark, SF).collect())
+    assert n == q.notes(spark, SF).where("end > start").count() > sum(r.n_notes for r in q.QUERIES["smf_round_trip"](spark, SF).collect())
