@@ -356,7 +356,7 @@ def selected_segments(spark, sf_dir):
 
 @query()
 def transposed_pieces(spark, sf_dir):
-    return G.select_transpose(A.pitch_extents(events(spark, sf_dir).where("pitch between 20 and 100"), F.col("track") % 5 == 0), 3)
+    return G.select_transpose(A.pitch_extents(events(spark, sf_dir), F.col("track") % 5 == 0), 3)
 
 
 @query()

@@ -40,3 +40,12 @@ def test_query(spark, con, name):
 def test_files_hold_all_users(spark):
     n = sum(r.n_notes for r in q.QUERIES["smf_round_trip_all"](spark, SF).collect())
     assert n == q.notes(spark, SF).where("end > start").count() > sum(r.n_notes for r in q.QUERIES["smf_round_trip"](spark, SF).collect())
+
+
+def test_transposition_counts_all_pitches(spark):
+    pitches = {}
+    for r in q.events(spark, SF).where("track % 5 <> 0").select("piece_id", "pitch").collect():
+        pitches.setdefault(r.piece_id, []).append(r.pitch)
+    got = {r.piece_id: r for r in q.QUERIES["transposed_pieces"](spark, SF).collect()}
+    assert {k: (r.low, r.high) for k, r in got.items()} == {k: (min(p), max(p)) for k, p in pitches.items()}
+    assert min(r.low for r in got.values()) < 20 and all(r.low + r.transpose >= 0 and r.high + r.transpose <= 127 for r in got.values())
