@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and released() deletes it once it isn't needed."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.folder = folder
+    return out
+
+
+def kept(table: DataFrame, view: DataFrame) -> DataFrame:
+    """A view of a written table that released() takes for the table."""
+    view.folder = table.folder
+    return view
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete written tables; shuffle files of the steps that made them go with the next collection of the driver's memory."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop the input columns an operator is about to produce itself, whatever their case."""
     low = {n.lower() for n in names}

@@ -4,29 +4,33 @@
 2. Sketch: 5-word shingles carry their occurrence number; for each of ``VECTORS`` hash functions the ``ELL`` smallest are kept in text
    order. Two texts meet in a bucket where such a vector is equal: with similarity s that has probability about s ** ELL each time, and needs the
    same order, so it follows edit similarity.
-3. In each bucket the members are compared with one leader first, the member that meets most others anywhere: hubs lead, so a group of n copies
-   costs about n comparisons and becomes one component.
-4. Buckets whose members still lie in several components are compared whole: every pair of members of different components, in blocks of
-   ``BLOCK`` texts, a block against a block. So each pair that shares a bucket is compared or already connected.
+3. Each text is compared at home first, in the largest of its buckets: with the bucket's leader, the member that meets most others anywhere, and
+   with all others of its block of about ``BLOCK`` bytes. So a group of n copies becomes one component at a cost in proportion to n.
+4. Buckets whose members still lie in several components are compared whole: every pair of members of different components, a block against a
+   block, but for pairs whose numbers of shingles rule similarity out. So each similar pair that shares a bucket is compared or already connected.
 5. Candidates are verified on whole texts: 5-word shingle similarity (Jaccard) and word edit similarity by banded alignment must both reach
    ``THRESHOLD``.
-6. Connected components by minimum labels with pointer jumping, all as joins; rounds are checkpointed in the shared folder.
+6. Connected components by minimum labels with pointer jumping, all as joins; each round is a table in the shared folder, which goes when the next
+   one is written.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, CHUNK, GRAM_BASE, Words, chunks, cut, grams, mix, packed, unpacked
+from .common import ALNUM, CHUNK, GRAM_BASE, Words, chunks, grams, kept, mix, packed, released, unpacked, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 VECTORS, ELL = 16, 3
-#: Texts of a block, about, where a bucket of several components is compared whole; results don't depend on it.
-BLOCK = 256
+#: Bytes of texts of a block, about; results don't depend on it.
+BLOCK = 1_000_000
+#: Texts whose numbers of shingles lie further apart than one power of this can't reach 0.8; a bit over 1 / 0.8, so that rounding does no harm.
+BAND = 1.2501
 #: Texts of more shingles than the first have vectors of ELL, those of at most the second have vectors of one.
 SHORT = (10, 16)
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64))
@@ -121,38 +125,25 @@ def bucket_keys(g: np.ndarray, vectors: int = VECTORS, ell: int = ELL) -> list[i
 
 
 def sketches(docs: DataFrame, text: str, doc_id: str, vectors: int, ell: int) -> DataFrame:
-    """(_id, node, keys): keys of the buckets a text belongs to; none for texts without words."""
-    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(_id, node, keys, grams, size): keys of the buckets a text belongs to, none for texts without words; its distinct shingles and bytes."""
+    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("grams", T.LongType()), T.StructField("size", T.LongType())])
 
     def run(batches):
         for b in batches:
-            blobs, keys = [x or b"" for x in b.column(2).to_pylist()], []
-            for lo, hi in chunks([len(x) for x in blobs]):
-                w = Words(blobs[lo:hi], ALNUM)
+            sizes = pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist()
+            for lo, hi in chunks(sizes):
+                w, keys, unlike = Words([x or b"" for x in b.column(2)[lo:hi].to_pylist()], ALNUM), [], []
                 for d in range(hi - lo):
-                    keys.append(bucket_keys(shingles(w.hash[w.first[d] : w.first[d + 1]]), vectors, ell))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "node", "keys"])
+                    g = shingles(w.hash[w.first[d] : w.first[d + 1]])
+                    keys.append(bucket_keys(g, vectors, ell))
+                    unlike.append(len(np.unique(g)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(keys, pa.list_(pa.int64())), pa.array(unlike, pa.int64()), pa.array(sizes[lo:hi], pa.int64())], names=schema.names
+                )
 
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))).alias("node"), F.col(text).cast("binary").alias("_raw")).mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    t = lambda n: texts.select(F.col("node").alias(n), F.col("_z").alias(f"z_{n}"))
-
-    def run(batches):
-        for batch in batches:
-            left, right = ([unpacked(x) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            ok = []
-            for lo, hi in chunks([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
-                u, v = Words(left[lo:hi], ALNUM), Words(right[lo:hi], ALNUM)
-                ok += [similar(u.hash[u.first[d] : u.first[d + 1]], v.hash[v.first[d] : v.first[d + 1]], threshold) for d in range(hi - lo)]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(run, "a binary, b binary")
-
-
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """How many members each two sets have in common."""
     n = len(sets)
@@ -208,28 +199,14 @@ def _connected(rows: list[tuple], threshold: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
-def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Similar pairs (a, b) of buckets whose members have several labels; all pairs of members of different labels are compared, or connected by others."""
-    rows = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("n"), F.sum(F.when(F.col("m") < block, F.col("m"))).alias("rest"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    # two members were compared as leader and led; of buckets of the same members one is enough
-    whole = whole.where("labels > 1 and n > 2").groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "rest"), "key").alias("w")).select("w.*")
-    # large labels have blocks of their own, which needn't be compared with each other; small ones share blocks
-    pure = F.col("m") >= block
-    parts = parts.join(whole, "key").select("key", "label", F.when(pure, F.col("label")).otherwise(F.lit(b"")).alias("of"), F.ceil(F.when(pure, F.col("m")).otherwise(F.col("rest")) / block).alias("blocks"))
-    salt = F.xxhash64(F.when(F.col("of") == F.lit(b""), F.col("label")).otherwise(F.col("node")))
-    rows = cut(rows.join(parts, ["key", "label"]).select("key", "node", "label", "of", F.pmod(salt, F.col("blocks")).alias("part")))
-    blocks = rows.select("key", F.struct("of", "part").alias("block")).distinct()
-    two = blocks.withColumnRenamed("block", "left").join(blocks.withColumnRenamed("block", "right"), "key")
-    two = two.where((F.col("left") <= F.col("right")) & ((F.col("left.of") != F.col("right.of")) | (F.col("left.of") == F.lit(b""))))
-    sides = two.select("key", F.xxhash64("key", "left", "right").alias("group"), F.explode(F.array_distinct(F.array("left", "right"))).alias("block")).select("key", "group", "block.*")
-    work = rows.join(sides, ["key", "of", "part"]).select("group", "node", "label").join(texts, "node").select("group", "node", "label", "_z")
+def _compared(work: DataFrame, threshold: float) -> DataFrame:
+    """connecting() for each group of work (group, node, label, size, _z): pairs (a, b), a < b."""
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                row = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(4)[i].as_py())
                 if size > CHUNK and row[0] != held[-1][0]:
                     yield _connected(held, threshold)
                     held, size = [], 0
@@ -238,31 +215,73 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold:
         if held:
             yield _connected(held, threshold)
 
-    return work.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
+    return work.select("group", "node", "label", "size", "_z").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a binary, b binary")
+
+
+def _at_home(buckets: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Similar pairs (a, b) of texts at home in one bucket: each block of members is compared whole, together with the bucket's leader.
+
+    A text is at home in the largest of its buckets, so it is read once, and a group of n copies costs n times a block at most.
+    """
+    # a node has a few buckets only, so this group is narrow
+    home = buckets.groupBy("node").agg(F.max(F.struct("n", "key")).alias("h"), F.sum("n").alias("meets"), F.first("size").alias("size")).select("node", "h.key", "meets", "size")
+    groups = home.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.sum("size") / block).alias("parts"), F.max_by("node", F.struct("meets", "node")).alias("lead")).where("c > 1")
+    rows = home.join(groups, "key").where("node <> lead").select("key", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    leads = groups.select("key", F.col("lead").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    work = rows.unionByName(leads).select(F.xxhash64("key", "part").alias("group"), "node", F.col("node").alias("label"))
+    return _compared(work.join(texts, "node"), threshold)
+
+
+def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Similar pairs (a, b) of buckets whose members have several labels; all pairs of members of different labels are compared, or connected by others."""
+    rows = written(buckets.join(labels, "node", "left").select("key", "node", "size", "band", F.coalesce("label", "node").alias("label")))
+    parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    # of buckets of the same members one is enough
+    whole = whole.where("labels > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    # large labels have blocks of their own, which needn't be compared with each other; small ones share blocks
+    mixed = F.lit(b"")
+    parts = parts.join(whole, "key").select("key", "label", F.when(F.col("bytes") >= block, F.col("label")).otherwise(mixed).alias("of"))
+    open_ = written(rows.join(parts, ["key", "label"]).select("key", "node", "label", "of", "band", "size"))
+    blocks = open_.groupBy("key", "of", "band").agg(F.ceil(F.sum("size") / block).alias("blocks"))
+    salt = F.xxhash64(F.when(F.col("of") == mixed, F.col("label")).otherwise(F.col("node")))
+    members = written(open_.join(blocks, ["key", "of", "band"]).select("key", "node", "label", F.struct("of", "band", F.pmod(salt, "blocks").alias("part")).alias("block")))
+    blocks = members.select("key", "block").distinct()
+    two = blocks.withColumnRenamed("block", "left").join(blocks.withColumnRenamed("block", "right"), "key").where("left < right and abs(left.band - right.band) <= 1")
+    two = two.where((F.col("left.of") != F.col("right.of")) | (F.col("left.of") == mixed))
+    sides = two.select("key", F.xxhash64("key", "left", "right").alias("group"), F.explode(F.array("left", "right")).alias("block"))
+    # a block that is compared with another one is compared with itself there
+    alone = blocks.where(F.col("block.of") == mixed).join(sides.select("key", "block").distinct(), ["key", "block"], "left_anti")
+    sides = sides.unionByName(alone.withColumn("group", F.xxhash64("key", "block")))
+    found = written(_compared(members.join(sides, ["key", "block"]).select("group", "node", "label").join(texts, "node"), threshold))
+    released(rows, open_, members)
+    return found
 
 
 def links(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Verified pairs (a, b), a < b, from buckets (key, node, n) of n members, two or more: any two similar members of a bucket are connected by them."""
-    # a node has a few buckets only, so this window is narrow
-    rows = buckets.withColumn("meets", F.sum("n").over(Window.partitionBy("node")))
-    lead = rows.groupBy("key").agg(F.max_by("node", F.struct("meets", "node")).alias("lead"))
-    pairs = rows.join(lead, "key").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    found = cut(_verified(pairs, texts, threshold))
-    return found.unionByName(cut(_across(buckets, components(found), texts, threshold, block)))
+    """Verified pairs (a, b), a < b, from buckets (key, node, n, size) of n members, two or more: any two similar members of a bucket are connected by them."""
+    found = written(_at_home(buckets, texts, threshold, block))
+    labels = components(found)
+    more = _across(buckets, labels, texts, threshold, block)
+    out = written(found.unionByName(more).distinct())
+    released(found, labels, more)
+    return out
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component."""
-    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    edges = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = edges.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = cut(step.join(jump, "new").select("node", "label", F.least("new", "far").alias("new")))
-        labels = step.select("node", F.col("new").alias("label"))
+        step = written(step.join(jump, "new").select("node", "label", F.least("new", "far").alias("new")))
+        released(labels)
         if step.where("label <> new").isEmpty():
-            return labels
+            released(edges)
+            return kept(step, step.select("node", "label"))
+        labels = kept(step, step.select("node", F.col("new").alias("label")))
 
 
 def near_duplicates(
@@ -278,23 +297,25 @@ def near_duplicates(
     A pair of similarity s shares no bucket, and is missed unless others connect it, with probability about (1 - s ** ell) ** vectors: 1e-5 at 0.8
     for texts of the same order. Pairs that share a bucket are never missed, whatever its size.
     """
-    rows = cut(sketches(docs, text, doc_id, vectors, ell))
-    nodes = rows.where(F.size("keys") > 0).groupBy("node").agg(F.min("_id").alias("rep"), F.min("keys").alias("keys"))
-    spread = nodes.select("node", F.explode("keys").alias("key"))
+    rows = written(sketches(docs, text, doc_id, vectors, ell))
+    nodes = rows.where(F.size("keys") > 0).groupBy("node").agg(F.min("_id").alias("rep"), F.first("keys").alias("keys"), F.first("grams").alias("grams"), F.first("size").alias("size"))
+    spread = nodes.select("node", "size", F.floor(F.log(BAND, "grams")).cast("int").alias("band"), F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(spread.join(shared, "key").select("key", "node", "n"))
+    buckets = written(spread.join(shared, "key").select("key", "node", "n", "size", "band"))
     involved = buckets.select("node").distinct()
     chosen = nodes.select("node", "rep").join(involved, "node")
     own = docs.select(F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))).alias("node"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_raw"))
 
     def pack(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(x) for x in b.column(2).to_pylist()], pa.binary())], names=["node", "_id", "_z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(x.as_py()) for x in b.column(2)], pa.binary())], names=["node", "_id", "_z"])
 
     own = own.mapInArrow(pack, "node binary, _id bigint, _z binary")
     texts = own.join(chosen, "node").where(F.col("_id").eqNullSafe(F.col("rep"))).select("node", "_z")
-    texts = cut(texts.dropDuplicates(["node"]))
-    found = cut(links(buckets, texts, threshold).distinct())
+    sizes = buckets.groupBy("node").agg(F.first("size").alias("size"))
+    texts = written(texts.dropDuplicates(["node"]).join(sizes, "node").select("node", "size", "_z"))
+    found = links(buckets, texts, threshold)
+    released(buckets, texts)
     labels = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     reps = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))

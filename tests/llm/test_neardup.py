@@ -77,8 +77,9 @@ def test_against_brute_force(spark):
 def linked(spark, texts, keys, **more):
     """Classes, as sets of text numbers, that links() makes of hand-made buckets (lists of text numbers)."""
     node = lambda i: bytearray([i >> 8, i & 255])
-    buckets = spark.createDataFrame([(k, node(i), len(b)) for k, b in enumerate(keys) for i in b], "key long, node binary, n long")
-    packs = spark.createDataFrame([(node(i), bytearray(nd.packed(t.encode()))) for i, t in enumerate(texts)], "node binary, _z binary")
+    band = [int(np.log(len(np.unique(nd.shingles(Words([t.encode()], ALNUM).hash)))) / np.log(nd.BAND)) for t in texts]
+    buckets = spark.createDataFrame([(k, node(i), len(b), len(texts[i]), band[i]) for k, b in enumerate(keys) for i in b], "key long, node binary, n long, size long, band int")
+    packs = spark.createDataFrame([(node(i), len(t), bytearray(nd.packed(t.encode()))) for i, t in enumerate(texts)], "node binary, size long, _z binary")
     label = {i: i for i in range(len(texts))}
     for r in nd.components(nd.links(buckets, packs, **more)).collect():
         label[int.from_bytes(r.node, "big")] = int.from_bytes(r.label, "big")
@@ -109,10 +110,49 @@ def test_blocks_compare_whole_buckets(spark):
     texts += [" ".join(near[:i] + ["odd"] + near[i:]) for i in range(25)]
     want = brute(list(enumerate(texts)))
     assert len(set(want)) == 7
-    for block in (2, 7, nd.BLOCK):
+    for block in (1200, 4000, nd.BLOCK):
         assert linked(spark, texts, [list(range(len(texts)))], block=block) == want
 
 
+def test_a_group_of_thousands(spark):
+    """Near copies of one text, many of which are not similar to each other, beside unrelated texts: classes as all pairs make them."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(4500):
+        w = list(base[: rng.randrange(66, 81)])
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join([f"u{rng.randrange(10**6)}" for _ in range(60)] + base[:20]) for _ in range(400)]
+    texts = sorted(set(texts))
+    words = [Words([t.encode()], ALNUM).hash for t in texts]
+    column = {}
+    m = np.zeros((len(texts), 20000), np.float32)
+    for i, w in enumerate(words):
+        for g in set(nd.shingles(w).tolist()):
+            j = column.setdefault(g, len(column))
+            if j >= m.shape[1]:
+                m = np.hstack([m, np.zeros_like(m)])
+            m[i, j] = 1
+    both, size = m @ m.T, m.sum(1)
+    to = list(range(len(texts)))
+
+    def find(i):
+        while to[i] != i:
+            i = to[i]
+        return i
+
+    for i, j in np.argwhere(np.triu(5 * both >= 4 * (size[:, None] + size[None, :] - both) - 1e-3, 1)).tolist():
+        if find(i) != find(j) and nd.similar(words[i], words[j]):
+            to[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()}
+    want = {i: find(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 400 and max(list(want.values()).count(c) for c in set(want.values())) > 1000
+    assert got == want
+
+
 def test_common():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (1, 5, 30, 80)] + [np.array([99], np.uint64)]
