@@ -5,8 +5,9 @@ training documents differs beyond chance (G test, corrected for the number teste
 those tokens by gradient ascent on the exact likelihood; scoring runs forward-backward over chains of at most ``CHAIN`` words of one line, many at once.
 The marginals give the offending spans, and their sum, maximum and mean give the document's score through a logistic calibration.
 
-Fitting takes a bounded sample (``SAMPLE`` labelled rows of each class in hash order, texts of at most ``SAMPLE_CHARS``); every document is scored
-whole, in one narrow pass with the model broadcast (at most ``FEATURES`` weights). Nothing is shuffled but the labels.
+Fitting takes a bounded sample (``SAMPLE`` labelled rows of each class in hash order, texts of at most ``SAMPLE_CHARS`` characters, near copies of
+which count once); the chain is trained on all words of these. Every document is scored whole, in one narrow pass with the model broadcast
+(at most ``FEATURES`` weights). Nothing is shuffled but the labels.
 """
 
 from __future__ import annotations
@@ -155,6 +156,52 @@ def distinct(blobs: list[bytes]) -> list[int]:
     return kept
 
 
+def _batches(es: list[np.ndarray], ts: list[np.ndarray], rows: int = 4096) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chains of like length, padded: (features, labels, sizes)."""
+    size = np.array([len(x) for x in ts])
+    order, out = np.argsort(size, kind="stable"), []
+    for lo in range(0, len(order), rows):
+        at = order[lo : lo + rows]
+        wide = int(size[at].max())
+        ids, lab = np.full((len(at), wide, es[0].shape[1]), -1, np.int32), np.zeros((len(at), wide), bool)
+        for i, j in enumerate(at.tolist()):
+            ids[i, : size[j]], lab[i, : size[j]] = es[j], ts[j]
+        out.append((ids, lab, size[at]))
+    return out
+
+
+def _expected(theta: np.ndarray, batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Expected counts of features, toxic words and moves under the chain."""
+    n = len(theta) - 4
+    w, move = np.append(theta[:n], 0.0), np.array([[0.0, theta[n + 1]], [theta[n + 2], theta[n + 3]]])
+    out = np.zeros_like(theta)
+    for ids, _, size in batches:
+        p, pairs, _ = forward_backward(theta[n] + w[ids].sum(2), size, move)
+        expect = np.bincount(ids.ravel() + 1, np.repeat(p.ravel(), ids.shape[2]), minlength=n + 1)[1:]
+        out += np.concatenate([expect, [p.sum(), pairs[0, 1], pairs[1, 0], pairs[1, 1]]])
+    return out
+
+
+def _ascended(es: list[np.ndarray], ts: list[np.ndarray], n: int, rounds: int) -> np.ndarray:
+    """Weights of n features, bias, moves 0>1, 1>0, 1>1: gradient ascent on the likelihood of all chains, a batch in memory at a time."""
+    batches = _batches(es, ts)
+    es.clear()
+    ts.clear()
+    theta, target, moves, toxic = np.zeros(n + 4), np.zeros(n), np.zeros(3), 0
+    theta[n] = -3.0
+    for ids, lab, size in batches:
+        both = (np.arange(lab.shape[1]) < size[:, None])[:, 1:]
+        target += np.bincount(ids[lab][ids[lab] >= 0], minlength=n)
+        moves += [(both & ~lab[:, :-1] & lab[:, 1:]).sum(), (both & lab[:, :-1] & ~lab[:, 1:]).sum(), (both & lab[:, :-1] & lab[:, 1:]).sum()]
+        toxic += lab.sum()
+    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, rounds + 1):
+        grad = np.concatenate([target, [toxic], moves]) - 0.5 * theta - _expected(theta, batches)
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
+        theta += 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
 def train(texts: list[bytes], label: list[int], weight_of_clean: float = 1.0, rounds: int = 40) -> Model:
     """Fit on labelled documents; weight_of_clean: clean documents that each sampled one stands for, relative to toxic ones."""
     kept = distinct(texts)
@@ -187,38 +234,11 @@ def train(texts: list[bytes], label: list[int], weight_of_clean: float = 1.0, ro
             at, place = known.find(f)
             ids[at, j] = place_of[place]
         lab &= y[lo:hi][t.words.doc]
-        seen = np.zeros(hi - lo, np.int64)
         for s, n in zip(t.chain_start.tolist(), t.chain_size.tolist(), strict=True):
-            d = t.words.doc[s]
-            if lab[s : s + n].any() or seen[d] < 2:
-                seen[d] += 1
-                es.append(ids[s : s + n])
-                ts.append(lab[s : s + n])
-    size = np.array([len(x) for x in ts])
-    del t
-    wide = int(size.max())
-    ids, lab = np.full((len(ts), wide, len(PREFIXES) + 1), -1, np.int32), np.zeros((len(ts), wide), bool)
-    for i, (a, b) in enumerate(zip(es, ts, strict=True)):
-        ids[i, : len(b)], lab[i, : len(b)] = a, b
-    del es, ts
-    live = np.arange(wide) < size[:, None]
+            es.append(ids[s : s + n])
+            ts.append(lab[s : s + n])
+    theta = _ascended(es, ts, len(features), rounds)
     n = len(features)
-    theta = np.zeros(n + 4)  # weights, bias, moves 0>1, 1>0, 1>1
-    theta[n] = -3.0
-    target = np.bincount(ids[lab & live][ids[lab & live] >= 0], minlength=n).astype(float)
-    both = live[:, 1:]
-    seen_moves = np.array([(both & ~lab[:, :-1] & lab[:, 1:]).sum(), (both & lab[:, :-1] & ~lab[:, 1:]).sum(), (both & lab[:, :-1] & lab[:, 1:]).sum()], float)
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        w = np.append(theta[:n], 0.0)
-        move = np.array([[0.0, theta[n + 1]], [theta[n + 2], theta[n + 3]]])
-        e = theta[n] + sum(w[ids[:, :, j]] for j in range(ids.shape[2]))
-        p, pairs, _ = forward_backward(e, size, move)
-        expect = sum(np.bincount(ids[:, :, j][ids[:, :, j] >= 0], (p * live)[ids[:, :, j] >= 0], minlength=n) for j in range(ids.shape[2]))
-        grad = np.concatenate([target - expect, [lab.sum() - (p * live).sum()], seen_moves - np.array([pairs[0, 1], pairs[1, 0], pairs[1, 1]])])
-        grad -= 0.5 * theta
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        theta += 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     keep = np.abs(theta[:n]) > 1e-3
     model = Model(features[keep], theta[:n][keep], float(theta[n]), np.array([[0.0, theta[n + 1]], [theta[n + 2], theta[n + 3]]]))
     x = np.concatenate([_document_features(t.words, model.marginals(t)) for t in (Tokens(blobs[lo:hi]) for lo, hi in parts)])
@@ -250,7 +270,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled rows of each class outside the held-out fold; repeated labels count once, the larger wins."""
+    """Train on at most ``sample`` labelled rows of each class outside the held-out fold, texts of at most ``SAMPLE_CHARS`` characters.
+
+    Repeated labels count once, the larger wins; null ids and labels are left out, labels without a document count for nothing, null texts
+    are empty. Ties in the sample's hash order go by id. Without rows of both classes, or on empty tables, every score is a constant.
+    """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y is not null").where(fold(F.col("_id")) != 1)
     known = known.groupBy("_id").agg((F.max("_y") > 0).cast("int").alias("_y"))
     count = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
