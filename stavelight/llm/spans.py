@@ -32,8 +32,8 @@ def sums_before(xs: Column) -> Column:
     return let(xs, of)
 
 
-def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Leftmost non-overlapping matches as an array of (kind, start, end, value); keep drops some by their text.
+def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None, gate: Column | None = None) -> Column:
+    """Leftmost non-overlapping matches as an array of (kind, start, end, value); keep drops some by their text; gate is a cheap test that every text with a match passes.
 
     The text between matches and the matches themselves come from the same pattern, so their lengths add up to the positions.
     """
@@ -47,7 +47,7 @@ def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Colu
         return F.filter(out, lambda x: keep(x["value"])) if keep else out
 
     all_of = let(F.split(text, pattern, -1), lambda g: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: spans(g, m)))
-    return F.when(text.rlike(pattern), all_of).otherwise(F.lit(None)).cast(SPAN)
+    return F.when(text.rlike(pattern) if gate is None else gate & text.rlike(pattern), all_of).otherwise(F.lit(None)).cast(SPAN)
 
 
 def gathered(*parts: Column) -> Column:
