@@ -1,23 +1,23 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the minimum k-gram hash of every sliding window of k-grams, ties included. With k + w - 1 equal to the
-span that counts (13 words), every shared span has a shared fingerprint. Document fingerprints are joined with the
-benchmark's by hash lookup, and each hit is extended to the whole windows around it, which are compared word by word
-hash. The benchmark is the stated small side: it is indexed in blocks of at most ``BLOCK_WORDS`` words, one narrow pass over the
-documents for each block, so what is broadcast stays bounded however large the benchmark is. No shuffle is needed.
+span that counts (13 words), every shared span has a shared fingerprint. Documents' fingerprints are joined with the
+benchmark's, and each hit is extended to the whole windows around it, which are compared by word hashes.
+
+A benchmark of at most ``BLOCK_WORDS`` words, which is checked first, is indexed and broadcast; documents are read in one narrow pass and nothing is
+shuffled. A larger one is never collected: fingerprints, then the windows around hits, meet in two joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, chunks, grams, without
+from .common import ALNUM, Words, chunks, grams, without, written
 
 WINDOW, K = 13, 7
 BLOCK_WORDS = 2_000_000
@@ -67,7 +67,7 @@ class HashSet:
 
 
 class BenchmarkIndex:
-    """Fingerprints and windows of a block of benchmark items."""
+    """Fingerprints and windows of a benchmark of bounded size."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, k: int = K):
         self.window, self.k = window, k
@@ -125,17 +125,85 @@ class BenchmarkIndex:
         return np.cumsum(delta[:-1]) > 0, found
 
 
-def _blocks(rows: Iterable, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    block, size = [], 0
-    for r in rows:
-        text = bytes(r["text"] or b"")
-        if block and size + len(text) // 2 > limit:
-            yield block
-            block, size = [], 0
-        block.append(("" if r["item_id"] is None else str(r["item_id"]), text))
-        size += len(text) // 2
-    if block:
-        yield block
+def _low(words: Words, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of windows of n words, their fingerprints: the least hash of their k-grams)."""
+    m, k = len(words) - n + 1, min(k, n)
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    g = _bounded(words, k)
+    low = g[:m].copy()
+    for d in range(1, n - k + 1):
+        np.minimum(low, g[d : d + m], out=low)
+    at = np.flatnonzero(words.left()[:m] >= n)
+    return at, low[at]
+
+
+def _of_windows(words: Words, n: int, at: np.ndarray) -> list[pa.Array]:
+    return [pa.array((grams(words.hash, n, second)[at] if len(at) else np.zeros(0, np.uint64)).view(np.int64)) for second in (False, True)]
+
+
+def _joined(docs: DataFrame, bench: DataFrame, raw: str, window: int, k: int) -> DataFrame:
+    """docs with n_words, n_hit and items, by joins with a benchmark (item_id, text) of any size; equal texts are searched once."""
+    key = F.md5(F.coalesce(F.col(raw), F.lit(b"")))
+
+    def item_windows(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for lo, hi in chunks(sizes):
+                words = Words([x or b"" for x in batch.column(1)[lo:hi].to_pylist()], ALNUM)
+                length = np.diff(words.first)
+                for n in sorted({min(window, int(x)) for x in length if x}):
+                    at, low = _low(words, n, k)
+                    own = (length[words.doc[at]] == n) | (n == window)
+                    at, low = at[own], low[own]
+                    names = batch.column(0)[lo:hi].take(pa.array(words.doc[at]))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(at), n), pa.int32()), pa.array(low.view(np.int64)), *_of_windows(words, n, at)], names=["item", "n", "f", "w1", "w2"])
+
+    rows = bench.select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text").mapInArrow(item_windows, "item string, n int, f bigint, w1 bigint, w2 bigint")
+    windows = written(rows.groupBy("n", "f", "w1", "w2").agg(F.collect_set("item").alias("own")))
+    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most ``window`` numbers
+
+    def prints(batches):
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for lo, hi in chunks(lengths):
+                words = Words([x or b"" for x in batch.column(1)[lo:hi].to_pylist()], ALNUM)
+                out: list[list[dict]] = [[] for _ in range(hi - lo)]
+                for n in sizes:
+                    at, low = _low(words, n, k)
+                    for d, f in np.unique(np.stack([words.doc[at].astype(np.int64), low.view(np.int64)], 1), axis=0).tolist() if len(at) else []:
+                        out[d].append({"n": n, "f": f})
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], pa.array(np.diff(words.first), pa.int64()), pa.array(out, pa.list_(pa.struct([("n", pa.int32()), ("f", pa.int64())])))], names=["key", "n_words", "prints"]
+                )
+
+    texts = docs.select(key.alias("key"), F.col(raw).alias("raw"))
+    read = written(texts.mapInArrow(prints, "key string, n_words bigint, prints array<struct<n:int,f:bigint>>"))
+    hits = read.select("key", F.explode("prints").alias("p")).select("key", "p.n", "p.f").distinct().join(windows.select("n", "f").distinct(), ["n", "f"])
+    hits = hits.groupBy("key").agg(F.collect_list(F.struct("n", "f")).alias("hits"))
+    candidates = texts.join(hits, "key").groupBy("key").agg(F.first("raw").alias("raw"), F.first("hits").alias("hits"))
+
+    def extended(batches):
+        for batch in batches:
+            for key_of, text, own in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                words, by = Words([text.as_py() or b""], ALNUM), {}
+                for h in own.as_py():
+                    by.setdefault(h["n"], []).append(h["f"])
+                for n, fs in by.items():
+                    at, low = _low(words, n, k)
+                    at = at[np.isin(low.view(np.int64), fs)]
+                    yield pa.RecordBatch.from_arrays([pa.array([key_of.as_py()] * len(at), pa.string()), pa.array(np.full(len(at), n), pa.int32()), pa.array(at, pa.int64()), *_of_windows(words, n, at)], names=["key", "n", "start", "w1", "w2"])
+
+    near = candidates.mapInArrow(extended, "key string, n int, start bigint, w1 bigint, w2 bigint")
+    found = near.join(windows.select("n", "w1", "w2", "own"), ["n", "w1", "w2"]).groupBy("key").agg(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("items")
+    )
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
+    joined = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["hit"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(a["end"], x["start"]))).alias("hit"))
+    found = written(found.select("key", F.aggregate("spans", start, joined)["hit"].alias("n_hit"), "items"))
+    counts = read.groupBy("key").agg(F.first("n_words").alias("n_words"))
+    out = docs.withColumn("_decon_key", key).join(counts.join(found, "key", "left").withColumnRenamed("key", "_decon_key"), "_decon_key").drop("_decon_key")
+    return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
 
 
 def decontaminate(
@@ -147,61 +215,45 @@ def decontaminate(
     A word is a lower-cased run of letters and digits. A window is ``window`` consecutive words of an item, or all words of a
     shorter one; document words inside any occurrence of a window are hit, and 1 in 20 of them contaminates.
     Null and empty texts have no words: all counts 0, not contaminated; so have null items. A null item id counts
-    as ''. Repeated rows each give a row, repeated items count once by id. Empty tables give empty or clean results. Columns of docs named like the outputs are replaced,
+    as ''. Texts of any length are searched whole. Repeated rows each give a row, repeated items count once by id. Empty tables give empty or clean results. Columns of docs named like the outputs are replaced,
     others are carried along.
     """
     out = ["n_words", "n_hit", "items", "contaminated"]
-    docs = without(docs, out)
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text")).toLocalIterator()
-    state, spans = "_decon_items", "_decon_spans"
+    docs = without(docs, [*out, "_decon_text", "_decon_key"])
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text"))
     df = docs.withColumn("_decon_text", F.col(text).cast("binary"))
     if drop_text:
         df = df.drop(text)
     carry = list(df.columns)
-    indexes = [df.sparkSession.sparkContext.broadcast(BenchmarkIndex(b, window, k)) for b in _blocks(rows, block_words)] or [
-        df.sparkSession.sparkContext.broadcast(BenchmarkIndex([], window, k))
-    ]
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField(state, T.ArrayType(T.StringType())), T.StructField(spans, T.ArrayType(T.LongType()))]
-    )
-    for index in indexes:
-        df = df.mapInArrow(_scanner(index, carry, state, spans), schema)
-    df = df.withColumn("n_hit", F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda a, x: x - a))
+    # a word and the gap after it take two bytes at least
+    size = items.agg(F.sum((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / 2)).first()[0] or 0
+    if size > block_words:
+        df = _joined(df, items, "_decon_text", window, k)
+    else:
+        index = df.sparkSession.sparkContext.broadcast(BenchmarkIndex([(r["item_id"] or "", bytes(r["text"] or b"")) for r in items.collect()], window, k))
+        schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+        df = df.mapInArrow(_scanner(index, carry), schema)
     return df.select(
-        *[f"`{c}`" for c in carry if c != "_decon_text"], "n_words", "n_hit", F.col(state).alias("items"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+        *[f"`{c}`" for c in carry if c != "_decon_text"], "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def _scanner(index, carry: list[str], state: str, spans: str):
-    """A pass over the documents: spans are the sorted, disjoint bounds of hit words so far, items the ids so far."""
+def _scanner(index, carry: list[str]):
+    """A pass over the documents with the broadcast index."""
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            blobs = [b or b"" for b in batch.column(names.index("_decon_text")).to_pylist()]
-            old_items = batch.column(names.index(state)).to_pylist() if state in names else [None] * len(blobs)
-            old_spans = batch.column(names.index(spans)).to_pylist() if spans in names else [None] * len(blobs)
-            n_words, items, bounds = [], [], []
-            for lo, hi in chunks([len(b) for b in blobs]):
-                words = Words(blobs[lo:hi], ALNUM)
+            raw = batch.column(names.index("_decon_text"))
+            for lo, hi in chunks(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+                words = Words([b or b"" for b in raw[lo:hi].to_pylist()], ALNUM)
                 hit, found = index.value.scan(words)
-                for d in range(hi - lo):
-                    a, b = words.first[d], words.first[d + 1]
-                    h = hit[a:b]
-                    if old_spans[lo + d]:
-                        h = h.copy()
-                        for s, e in zip(old_spans[lo + d][::2], old_spans[lo + d][1::2], strict=True):
-                            h[s:e] = True
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], h, [False]]).astype(np.int8))) if len(h) and h.any() else []
-                    n_words.append(int(b - a))
-                    bounds.append([int(x) for x in edge])
-                    own = {x for kind in found[d] for x in index.value.sets[kind]} | set(old_items[lo + d] or [])
-                    items.append(sorted(own))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(names.index(c)) for c in carry], pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(bounds, pa.list_(pa.int64()))],
-                names=[*carry, "n_words", state, spans],
-            )
+                total = np.concatenate([[0], np.cumsum(hit)])
+                items = [sorted({x for kind in own for x in index.value.sets[kind]}) for own in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(names.index(c))[lo:hi] for c in carry], pa.array(np.diff(words.first), pa.int64()), pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), pa.array(items, pa.list_(pa.string()))],
+                    names=[*carry, "n_words", "n_hit", "items"],
+                )
 
     return run
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,7 @@ class Tokens:
 
     def __init__(self, blobs: list[bytes]):
         self.words = Words(blobs, ALNUM)
+        self.base = np.cumsum([0] + [len(b) + 1 for b in blobs])  # where each document starts
         self.features = [mix(self.words.hash + np.uint64(1)), *[self.words.prefix(n) for n in PREFIXES]]
         n = len(self.words)
         line = np.cumsum(np.frombuffer(self.words.data, np.uint8) == 10)[self.words.start] if n else np.zeros(0, np.int64)
@@ -307,21 +309,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = F
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             names = batch.schema.names
-            blobs = [lowered(b) for b in batch.column(names.index("_raw")).to_pylist()]
-            scores, marks = [], []
-            for lo, hi in chunks([len(b) for b in blobs]):
-                t = Tokens(blobs[lo:hi])
+            raw = batch.column(names.index("_raw"))
+            for lo, hi in chunks(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+                t = Tokens([lowered(b) for b in raw[lo:hi].to_pylist()])
                 p = m.marginals(t)
-                scores.append(1 / (1 + np.exp(-_document_features(t.words, p) @ m.document)))
-                own: list[list[dict]] = [[] for _ in range(hi - lo)]
-                base = np.cumsum([0] + [len(b) + 1 for b in blobs[lo:hi]])
+                scores = 1 / (1 + np.exp(-_document_features(t.words, p) @ m.document))
+                marks: list[list[dict]] = [[] for _ in range(hi - lo)]
                 for i in np.flatnonzero(p > 0.5).tolist():
                     d = int(t.words.doc[i])
-                    s = len(t.words.data[base[d] : t.words.start[i]].decode("utf-8", "replace"))
-                    own[d].append({"start": s, "end": s + len(t.words.word(i).decode("utf-8", "replace"))})
-                marks += own
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(names.index(c)) for c in carry], pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(marks, kind)], names=[*carry, "score", "toxic_spans"]
-            )
+                    s = len(t.words.data[t.base[d] : t.words.start[i]].decode("utf-8", "replace"))
+                    marks[d].append({"start": s, "end": s + len(t.words.word(i).decode("utf-8", "replace"))})
+                yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c))[lo:hi] for c in carry], pa.array(scores, pa.float64()), pa.array(marks, kind)], names=[*carry, "score", "toxic_spans"])
 
     return df.mapInArrow(run, schema)

@@ -16,6 +16,7 @@ def data():
             a = rng.randrange(max(1, len(x) - 11))
             w[rng.randrange(len(w) + 1) : 0] = [y.upper() if rng.random() < 0.3 else y for y in x[a : a + rng.choice([12, 13, 30])]]
         docs.append((i, rng.choice([" ", "\n", ", "]).join(w)))
+    docs.append((180, " ".join(fresh(30_000)) + " " + items[0][1]))
     return docs + [docs[-1]], items
 
 
@@ -25,7 +26,7 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = dc.brute_force([(t or "").encode() for _, t in docs], [("" if i is None else str(i), (t or "").encode()) for i, t in items])
     want = sorted((i, n, h, ids, h > 0 and 20 * h >= n) for (i, _), (n, h, ids) in zip(docs, want, strict=True))
-    for block in (2_000_000, 40):  # one block, and many
+    for block in (2_000_000, 40):  # broadcast, and joined
         got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in dc.decontaminate(df, bench, block_words=block).collect())
         assert got == want
     assert sum(x[4] for x in want) > 10
@@ -34,5 +35,7 @@ def test_against_brute_force(spark):
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(docs, bench).count() == 0
-    one = dc.decontaminate(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench).first()
-    assert (one.n_words, one.n_hit, one["items"], one.contaminated) == (2, 0, [], False)
+    for limit in (dc.BLOCK_WORDS, -1):
+        one = dc.decontaminate(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench, block_words=limit).first()
+        assert (one.n_words, one.n_hit, one["items"], one.contaminated) == (2, 0, [], False)
+    assert dc.decontaminate(docs, bench, block_words=-1).count() == 0
