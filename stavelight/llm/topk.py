@@ -4,7 +4,8 @@ Vectors become 64-bit codes of signs. Equal codes collapse first, to one entry w
 all rows repeat is one entry. Codes are cut into m segments of about log2(n) bits, so a bucket holds about one code at any size. Queries probe
 all buckets within radius r of each of their segments, for r = 0, 1, ...: a code within Hamming distance m (r + 1) - 1 differs by at most r bits in some
 segment, so a query is done once its kth neighbour is that near. Each ring is one hash join. Where the next ring would probe
-more buckets than there are codes, the few queries left scan the codes in blocks instead, which is exact too.
+more buckets than there are codes, the queries left are compared with all codes, which is exact too: codes are dealt into blocks, and the queries pass each
+block as a stream, so no task holds more than a block and nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BITS, TOP, EVERY = 64, 10, 20
-#: Probes of one query in a ring at most; queries of a block of the scan.
-RING, BLOCK = 4096, 1024
+#: Probes of one query in a ring at most; codes of a block of the scan at most, and at least where there are more blocks than slots; probes of a task, about.
+RING, BLOCK, LEAST, PROBES = 4096, 1 << 20, 4096, 200_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -59,29 +60,47 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).drop("_r")
 
 
-def _scan(index: DataFrame, left: list[int], k: int) -> DataFrame:
-    """The k + 1 nearest codes of a block of queries in each batch of the index."""
-    block = index.sparkSession.sparkContext.broadcast(np.array(left, np.int64))
+def _nearest(q: int, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k + 1 nearest of codes that are in order of their smallest id."""
+    d = np.bitwise_count((code ^ np.int64(q)).view(np.uint64))
+    reach = int(np.searchsorted(np.cumsum(np.bincount(d, minlength=BITS + 1)), min(k + 1, len(code))))
+    at = np.flatnonzero(d <= reach)
+    at = at[np.argsort(d[at], kind="stable")][: k + 1]
+    return at, d[at].astype(np.int32)
+
+
+def _scan(index: DataFrame, left: DataFrame, n: int, k: int) -> DataFrame:
+    """(q, code, low, n, d): the k + 1 nearest codes of each query of left (q) in each block of the n rows of index (code, low, n)."""
+    slots = index.sparkSession.sparkContext.defaultParallelism
+    blocks = max(math.ceil(n / BLOCK), min(2 * slots, math.ceil(n / LEAST)), 1)
+    codes = index.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "low", "code", F.col("n").cast("long").alias("n"))
+    asked = left.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("low"), F.col("q").alias("code"), F.lit(0).cast("long").alias("n"))
 
     def run(batches):
-        qs = block.value
+        held: list[list[np.ndarray]] = [[], [], []]
+        own, ready = -1, None
         for b in batches:
-            code, low = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            out = [[], [], []]
-            for s in range(0, len(code), 4096):
-                c, lo = code[s : s + 4096], low[s : s + 4096]
-                order = np.argsort(lo, kind="stable")
-                c, lo = c[order], lo[order]
-                for q in qs.tolist():
-                    d = np.bitwise_count((c ^ np.int64(q)).view(np.uint64))
-                    at = np.argsort(d, kind="stable")[: k + 1]
-                    out[0].append(np.full(len(at), q))
-                    out[1].append(c[at])
-                    out[2].append(d[at].astype(np.int32))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q", "code", "d"])
-
-    return index.select("code", "low").mapInArrow(run, "q long, code long, d int")
+            block, kind, low, code, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])])).tolist() if len(block) else []
+            for s, e in zip(edges, [*edges[1:], len(block)], strict=True):
+                if block[s] != own:
+                    own, held, ready = block[s], [[], [], []], None
+                if kind[s] == 0:
+                    for x, y in zip(held, (code, low, size), strict=True):
+                        x.append(y[s:e])
+                    continue
+                if not held[0]:
+                    continue
+                ready = ready or [np.concatenate(x) for x in held]
+                for lo in range(s, e, 1024):
+                    found = [(q, *_nearest(q, ready[0], k)) for q in code[lo : min(lo + 1024, e)].tolist()]
+                    at = np.concatenate([x for _, x, _ in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(np.array([q for q, _, _ in found], np.int64), [len(x) for _, x, _ in found])), *(pa.array(x[at]) for x in ready), pa.array(np.concatenate([d for _, _, d in found]))], names=["q", "code", "low", "n", "d"]
+                    )
+
+    work = codes.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind", "low")
+    return work.mapInArrow(run, "q long, code long, low long, n long, d int")
 
 
 def top_k(rows: DataFrame, k: int = TOP, every: int = EVERY, vec_id: str = "vec_id", vector: str = "embedding", ring: int = RING) -> DataFrame:
@@ -99,6 +118,7 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = EVERY, vec_id: str = "vec_
     m = max(1, min(BITS // 4, round(BITS / max(math.log2(max(n, 2)), 1))))
     queries = points.where(F.col("id") % every == 0)
     left = cut(queries.select(F.col("code").alias("q")).distinct())
+    waiting = left.count()
     parts = segments(m)
     table = index.select("code", "low", F.size("ids").alias("n"), F.posexplode(F.array(*[_piece(F.col("code"), s, w) for s, w in parts])).alias("part", "value"))
     done, found = [], None
@@ -107,7 +127,9 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = EVERY, vec_id: str = "vec_
         if probes is None:
             break
         at = F.array(*[_ring(i, s, w, x) for i, (x, (s, w)) in enumerate(zip(probes, parts, strict=True)) if x])
-        new = left.select("q", F.explode(F.flatten(at)).alias("p")).select("q", "p.*").join(table, ["part", "value"])
+        # probes are many where queries are few
+        tasks = math.ceil(waiting * sum(map(len, probes)) / PROBES)
+        new = left.repartition(max(tasks, 1), "q").select("q", F.explode(F.flatten(at)).alias("p")).select("q", "p.*").join(table, ["part", "value"])
         new = new.select("q", "code", "low", "n", distance(F.col("q"), F.col("code")).alias("d"))
         found = _best((new if found is None else new.unionByName(found)).dropDuplicates(["q", "code"]), k)
         near = m * (r + 1) - 1
@@ -117,23 +139,15 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = EVERY, vec_id: str = "vec_
         done.append(found.where("sure").drop("sure"))
         left = cut(left.join(found.where("not sure").select("q").distinct().unionByName(left.join(found, "q", "left_anti")), "q", "left_semi"))
         found = found.where("not sure").drop("sure")
-        if left.isEmpty():
+        waiting = left.count()
+        if not waiting:
             break
     answers = None
     for x in done:
         answers = x if answers is None else answers.unionByName(x)
-    rest = left.select("q").toLocalIterator()
-    block: list[int] = []
-    scans = []
-    for row in rest:
-        block.append(row["q"])
-        if len(block) == BLOCK:
-            scans.append(block)
-            block = []
-    scans += [block] if block else []
-    for b in scans:
-        hits = _scan(index, b, k).join(index.select("code", "low", F.size("ids").alias("n")), "code").select("q", "code", "low", "n", "d")
-        answers = _best(hits, k) if answers is None else answers.unionByName(_best(hits, k))
+    if waiting:
+        hits = _best(_scan(index.select("code", "low", F.size("ids").alias("n")), left, n, k), k).withColumn("n", F.col("n").cast("int"))
+        answers = hits if answers is None else answers.unionByName(hits)
     if answers is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
     flat = answers.join(index.select("code", "ids"), "code").select("q", F.explode(F.transform("ids", lambda v: F.struct(F.col("d").alias("d"), v.alias("id")))).alias("x"))
