@@ -5,10 +5,10 @@
    next, hashed whole, is an edge.
 2. One aggregate over the edges finds nodes of two documents or more, and those with a single way in and out: nonbranching ones.
    A join brings these marks back to the documents.
-3. Maximal nonbranching paths compact to one record, keyed by a 128-bit hash of all their words: whoever passes one of its inner nodes passes all of
-   it. Only windows around branching nodes and path ends keep a record each.
-4. Records group by key to their smallest document; later documents join back, and their source coordinates (first and last window)
-   give the words to remove.
+3. Maximal nonbranching paths compact to one record with its coordinates (first and last window) in its document: whoever passes one of its inner
+   nodes passes all of it. Only windows around branching nodes and path ends keep a record each.
+4. Each record is verified against the text at its coordinates: its key is the MD5 digest of the words themselves that stand there, so records of one key
+   have equal words. Records group by key to their smallest document; later documents join back, and their coordinates give the words to remove.
 
 Grouping is combined before the shuffle and joins are sort-merge, whose hot keys AQE splits; a passage that a third of all documents share costs
 each of them a record, not a pair. Texts are shuffled once by document: both joins with them share that exchange.
@@ -16,6 +16,8 @@ each of them a record, not a pair. Texts are shuffled once by document: both joi
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,6 +85,14 @@ def _anchor_rows(window: int, k: int):
     return run
 
 
+def digests(words: Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """MD5 of the words [start, end), joined by one space, as two numbers."""
+    a, b = words.start[start].tolist(), words.end[end - 1].tolist()
+    raw = b"".join(md5(b" ".join(words.data[i:j].split()), usedforsecurity=False).digest() for i, j in zip(a, b, strict=True))
+    both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _record_rows(window: int, k: int):
     """Records (key, document, first and last window) of paths and of single windows."""
 
@@ -114,12 +124,12 @@ def _record_rows(window: int, k: int):
                 start, end = a.at[np.maximum(left[own], 0)], a.at[np.minimum(right[own], len(j) - 1)] + k
                 path &= (s >= start) & (s + window <= end)
                 one, lone = s[path], s[~path]
-                parts = [(span_hash(w.hash, lone, lone + window), span_hash(w.hash, lone, lone + window, True), lone, lone)]
+                parts = [(*digests(w, lone, lone + window), lone, lone)]
                 if len(one):
                     new = np.flatnonzero(np.concatenate([[True], (start[path][1:] != start[path][:-1])]))
                     first, last = one[new], one[np.append(new[1:], len(one)) - 1]
                     u, v = start[path][new], end[path][new]
-                    parts.append((span_hash(w.hash, u, v), span_hash(w.hash, u, v, True), first, last))
+                    parts.append((*digests(w, u, v), first, last))
                 k1, k2, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
                 d = w.doc[first]
                 take = pa.array(d + lo)

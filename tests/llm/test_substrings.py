@@ -19,8 +19,9 @@ def test_against_brute_force(spark):
         if i % 9 == 0 and len(w) > 70:
             w = w[rng.randrange(20) : -rng.randrange(1, 20)]
         rows.append((i, rng.choice([" ", "\n", "  "]).join(w)))
+    rows.append((95, " ".join(fresh(40_000) + passages[5] + fresh(100))))
     rows += [rows[-1], (rows[-1][0], rows[20][1])]
-    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, n_words string").repartition(3)
+    df = spark.createDataFrame([(i, t, "z", "y", 1) for i, t in rows], "doc_id long, text string, n_words string, Kept_Text string, _id int").repartition(3)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_text) for r in substrings.dedup_substrings(df).collect())
     want = sorted((i if i is not None else -1, *x) for (i, _), x in zip(rows, substrings.brute_force(rows), strict=True))
     assert got == want
