@@ -5,7 +5,9 @@ The long form (piece, track, step, pitch) is canonical; words, bytes and arrays
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +48,84 @@ def bar_roll(notes: DataFrame, bar_steps: int = 48) -> DataFrame:
     return df.withColumn("step", (F.col("step") % bar_steps).cast("int"))
 
 
+#: Fixed values of the public XXH32 algorithm.
+_P1, _P2, _P3, _P4, _P5 = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+#: Bytes hashed at once.
+CHUNK = 1 << 19
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+
+
+def xxh32_of_windows(data: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """XXH32 of the k bytes from each position of a byte array, all positions at once."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint32)
+    byte = data.astype(np.uint32)
+    # the four bytes from each position as a little-endian number
+    lane = byte[: max(len(byte) - 3, 0)].copy()
+    for i in (1, 2, 3):
+        lane |= byte[i : i + len(lane)] << np.uint32(8 * i)
+    s, at = np.uint32(seed & 0xFFFFFFFF), 0
+    with np.errstate(over="ignore"):
+        if k >= 16:
+            acc = [np.full(n, s + x, np.uint32) for x in (_P1 + _P2, _P2, np.uint32(0), np.uint32(0) - _P1)]
+            while at + 16 <= k:
+                for i in range(4):
+                    acc[i] = _turn(acc[i] + lane[at + 4 * i : at + 4 * i + n] * _P2, 13) * _P1
+                at += 16
+            h = _turn(acc[0], 1) + _turn(acc[1], 7) + _turn(acc[2], 12) + _turn(acc[3], 18)
+        else:
+            h = np.full(n, s + _P5, np.uint32)
+        h += np.uint32(k)
+        while at + 4 <= k:
+            h = _turn(h + lane[at : at + n] * _P3, 17) * _P4
+            at += 4
+        while at < k:
+            h = _turn(h + byte[at : at + n] * _P5, 11) * _P1
+            at += 1
+        h = (h ^ (h >> np.uint32(15))) * _P2
+        h = (h ^ (h >> np.uint32(13))) * _P3
+        return h ^ (h >> np.uint32(16))
+
+
+def _sketches(column: pa.Array, seeds: list[int], k: int) -> np.ndarray:
+    """The least hash by row and seed."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), len(seeds)), np.int64)
+    lo = 0
+    while lo < len(size):
+        hi = lo + 1
+        while hi < len(size) and size[lo:hi].sum() + size[hi] <= CHUNK:
+            hi += 1
+        long = np.flatnonzero(size[lo:hi] >= k) + lo
+        for i in np.flatnonzero(size[lo:hi] < k) + lo:
+            out[i] = [xxhash.xxh32_intdigest(column[int(i)].as_py() or b"", s) for s in seeds]
+        if len(long):
+            data = np.frombuffer(b"".join(column[int(i)].as_py() for i in long), np.uint8)
+            first = np.concatenate([[0], np.cumsum(size[long])])
+            # windows that leave their row count as the greatest hash
+            inside = np.ones(len(data) - k + 1, bool)
+            for d in range(1, k):
+                inside[(first[1:-1] - d)] = False
+            for j, s in enumerate(seeds):
+                h = np.where(inside, xxh32_of_windows(data, k, s), np.uint32(0xFFFFFFFF))
+                out[long, j] = np.minimum.reduceat(h, first[:-1])
+        lo = hi
+    return out
+
+
 def min_hash(rows: DataFrame, column: str, seeds: list[int], k: int, out: str = "sketch") -> DataFrame:
     """rows with, for each seed, the least 32-bit hash of the k-byte shingles of a binary column; bytes shorter than k are one shingle."""
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
-            res = []
-            for x in b.column(b.schema.names.index(column)).to_pylist():
-                x = x or b""
-                parts = {x[i : i + k] for i in range(max(1, len(x) - k + 1))}
-                res.append([min(xxhash.xxh32_intdigest(p, s) for p in parts) for s in seeds])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(res, pa.list_(pa.int64()))], names=[*b.schema.names, out])
+            found = _sketches(b.column(b.schema.names.index(column)), seeds, k)
+            res = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, max(len(seeds), 1), dtype=np.int32)[: len(found) + 1]), pa.array(found.ravel(), pa.int64())) if seeds else pa.array([[]] * len(found), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, res], names=[*b.schema.names, out])
 
     return rows.mapInArrow(run, schema)
 

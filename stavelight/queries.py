@@ -466,10 +466,25 @@ def bar_roll(spark, sf_dir):
     return R.bar_roll(notes(spark, sf_dir)).select("piece_id", "track", "bar", "step", "pitch")
 
 
-@query()
+def _min_hash_sql(seeds: list[int]) -> str:
+    """Least XXH32 of the eight-byte shingles of documents; one step of the public algorithm a subquery."""
+    seeds_list = ", ".join(f"({s})" for s in seeds)
+    turned = lambda x, n: f"((({x} << {n}) | ({x} >> {32 - n})) % 4294967296)"
+    return f""", t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 7)) AS i FROM t),
+    l AS (SELECT doc_id, {", ".join("('0x' || " + " || ".join(f"x[2 * i + {2 * (4 * h + 3 - j) + 1}:2 * i + {2 * (4 * h + 3 - j) + 2}]" for j in range(4)) + f")::UBIGINT AS {name}" for h, name in ((0, "a"), (1, "b")))} FROM p),
+    s AS (SELECT doc_id, seed, (seed + 374761401 + a * 3266489917 % 4294967296) % 4294967296 AS h, b FROM l, (VALUES {seeds_list}) v(seed)),
+    s2 AS (SELECT doc_id, seed, ({turned("h", 17)} * 668265263 % 4294967296 + b * 3266489917 % 4294967296) % 4294967296 AS h FROM s),
+    s3 AS (SELECT doc_id, seed, {turned("h", 17)} * 668265263 % 4294967296 AS h FROM s2),
+    s4 AS (SELECT doc_id, seed, xor(h, h >> 15) * 2246822519 % 4294967296 AS h FROM s3), s5 AS (SELECT doc_id, seed, xor(h, h >> 13) * 3266489917 % 4294967296 AS h FROM s4),
+    m AS (SELECT doc_id, seed, min(xor(h, h >> 16))::BIGINT AS h FROM s5 GROUP BY ALL)
+    SELECT doc_id, {", ".join(f"max(CASE WHEN seed = {s} THEN h END) AS h{s}" for s in seeds)} FROM t LEFT JOIN m USING (doc_id) GROUP BY doc_id"""
+
+
+@query(_min_hash_sql([1, 2, 3, 4]))
 def text_min_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
-    return R.min_hash(d, "data", [1, 2, 3, 4], 8).select("doc_id", "sketch")
+    # texts of fewer than eight bytes have no shingle
+    return R.min_hash(d, "data", [1, 2, 3, 4], 8).select("doc_id", *[F.when(F.length("data") >= 8, F.col("sketch")[i]).alias(f"h{i + 1}") for i in range(4)])
 
 
 @query()
