@@ -477,14 +477,14 @@ def _min_hash_sql(seeds: list[int]) -> str:
     s3 AS (SELECT doc_id, seed, {turned("h", 17)} * 668265263 % 4294967296 AS h FROM s2),
     s4 AS (SELECT doc_id, seed, xor(h, h >> 15) * 2246822519 % 4294967296 AS h FROM s3), s5 AS (SELECT doc_id, seed, xor(h, h >> 13) * 3266489917 % 4294967296 AS h FROM s4),
     m AS (SELECT doc_id, seed, min(xor(h, h >> 16))::BIGINT AS h FROM s5 GROUP BY ALL)
-    SELECT doc_id, {", ".join(f"max(CASE WHEN seed = {s} THEN h END) AS h{s}" for s in seeds)} FROM t LEFT JOIN m USING (doc_id) GROUP BY doc_id"""
+    SELECT doc_id, {", ".join(f"coalesce(max(CASE WHEN seed = {s} THEN h END), -1) AS h{s}" for s in seeds)} FROM t LEFT JOIN m USING (doc_id) GROUP BY doc_id"""
 
 
 @query(_min_hash_sql([1, 2, 3, 4]))
 def text_min_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
     # texts of fewer than eight bytes have no shingle
-    return R.min_hash(d, "data", [1, 2, 3, 4], 8).select("doc_id", *[F.when(F.length("data") >= 8, F.col("sketch")[i]).alias(f"h{i + 1}") for i in range(4)])
+    return R.min_hash(d, "data", [1, 2, 3, 4], 8).select("doc_id", *[F.when(F.length("data") >= 8, F.col("sketch")[i]).otherwise(-1).alias(f"h{i + 1}") for i in range(4)])
 
 
 @query()
