@@ -36,25 +36,37 @@ def max_polyphony(notes: DataFrame, keys: list[str] = KEY) -> DataFrame:
 def polyphony(notes: DataFrame, lengths: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """(keys, av_polyphony, silence, min_q, max_q, min, max) with lengths (keys, max_tick). The last step is never counted.
 
-    min_q and max_q are the order statistics at .15 and .85 of the non-zero counts.
+    Tracks longer than ``MAX_TICK`` are refused: they keep their row, with nulls. min_q and max_q are the order statistics at .15 and .85 of the non-zero counts.
     """
     guarded = lengths.where(F.col("max_tick") <= MAX_TICK)
     active = active_steps(notes.join(guarded, keys), keys, F.col("max_tick") - 1)
     sums = active.groupBy(*keys).agg(F.sum("active").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min("active").alias("min_polyphony"), F.max("active").alias("max_polyphony"), F.sort_array(F.collect_list("active")).alias("_all"))
-    full = guarded.join(sums, keys, "left")
+    full = lengths.join(sums, keys, "left")
     n, length = F.coalesce("_n", F.lit(0)), F.col("max_tick")
     every = F.coalesce("_all", F.array().cast("array<int>"))
+    ok = lambda c: F.when(length <= MAX_TICK, c)
     return full.select(
-        *keys, (F.coalesce("_sum", F.lit(0)) / F.greatest(n, F.lit(1))).alias("av_polyphony"), ((length - n) / F.greatest(length, F.lit(1))).alias("silence"),
-        nearest_rank(every, 0.15).alias("min_polyphony_q"), nearest_rank(every, 0.85).alias("max_polyphony_q"), F.coalesce("min_polyphony", F.lit(0)).alias("min_polyphony"), F.coalesce("max_polyphony", F.lit(0)).alias("max_polyphony"),
+        *keys, ok(F.coalesce("_sum", F.lit(0)) / F.greatest(n, F.lit(1))).alias("av_polyphony"), ok((length - n) / F.greatest(length, F.lit(1))).alias("silence"),
+        ok(nearest_rank(every, 0.15)).alias("min_polyphony_q"), ok(nearest_rank(every, 0.85)).alias("max_polyphony_q"), ok(F.coalesce("min_polyphony", F.lit(0))).alias("min_polyphony"), ok(F.coalesce("max_polyphony", F.lit(0))).alias("max_polyphony"),
     )
 
 
 def durations(notes: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """(keys, note_duration, level bounds): mean length, and the order statistics and extremes of the duration levels."""
-    level = S.duration_level(F.col("end") - F.col("start"))
-    df = notes.withColumn("_level", level).groupBy(*keys).agg(F.avg(F.col("end") - F.col("start")).alias("note_duration"), F.sort_array(F.collect_list("_level")).alias("_all"))
-    return df.select(*keys, "note_duration", nearest_rank(F.col("_all"), 0.15).alias("min_duration_q"), nearest_rank(F.col("_all"), 0.85).alias("max_duration_q"), F.array_min("_all").alias("min_duration_hard"), F.array_max("_all").alias("max_duration_hard"))
+    length = F.col("end") - F.col("start")
+    level = S.duration_level(length)
+    # six levels, so six counts a group stand for its sorted levels
+    sums = [F.sum((level == i).cast("int")).alias(f"_{i}") for i in range(6)]
+    df = notes.groupBy(*keys).agg(F.avg(length).alias("note_duration"), F.min(level).alias("min_duration_hard"), F.max(level).alias("max_duration_hard"), F.count(F.lit(1)).alias("_n"), *sums)
+
+    def rank(q: float) -> Column:
+        place, seen, out = F.least(F.round(F.col("_n") * F.lit(q)), F.col("_n") - 1), F.lit(0), F.lit(5)
+        for i in range(6):
+            seen = seen + F.col(f"_{i}")
+            out = F.when(place < seen, i) if i == 0 else out.when(place < seen, i)
+        return out.otherwise(5).cast("int")
+
+    return df.select(*keys, "note_duration", rank(0.15).alias("min_duration_q"), rank(0.85).alias("max_duration_q"), "min_duration_hard", "max_duration_hard")
 
 
 def track_features(notes: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -97,7 +109,9 @@ def corpus_density_quantiles(bar_counts: DataFrame, keys: list[str], drums_as: C
     """(keys, quantiles): nine deciles of onsets in non-empty bars, interpolated and truncated, and 2**30 last."""
     df = bar_counts.where("n > 0")
     df = df.withColumn(keys[-1], drums_as) if drums_as is not None else df
-    q = F.percentile("n", F.array(*[F.lit(i / 10) for i in range(1, 10)]))
+    # counts are few numbers: one row a number and group, with its frequency
+    df = df.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_f"))
+    q = F.percentile("n", F.array(*[F.lit(i / 10) for i in range(1, 10)]), F.col("_f"))
     return df.groupBy(*keys).agg(q.alias("q")).select(*keys, F.concat(F.transform("q", lambda x: F.floor(x).cast("int")), F.array(F.lit(1 << 30))).alias("quantiles"))
 
 

@@ -141,3 +141,81 @@ def masks(status: DataFrame) -> DataFrame:
     rows = status.select("piece_id", F.struct("track", "selected", resample.alias("resample"), F.transform("selected", lambda _: F.col("ignore")).alias("ignored")).alias("x"))
     df = rows.groupBy("piece_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return df.select("piece_id", F.col("xs.selected").alias("selection"), F.col("xs.resample").alias("resample"), F.col("xs.ignored").alias("ignored"))
+
+
+# Ranges of a piece's fields and of a generation request's parameters.
+PIECE_RANGES = {"resolution": (1, 960), "tempo": (1, 1000)}
+EVENT_RANGES = {"pitch": (0, 127), "velocity": (0, 127)}
+BAR_RANGES = {"ts_num": (1, 255), "ts_den": (1, 255)}
+PARAM_RANGES = {"temperature": (0.5, 2.0), "percentage": (0, 100), "tracks_per_step": (1, 12), "bars_per_step": (1, 8), "model_dim": (1, 8)}
+
+
+def any_of(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Whether a group has a true value; groups of nulls have none."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_or(column), F.lit(False)).alias("any"))
+
+
+def all_of(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Whether all of a group's values are true; nulls don't count."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_and(column), F.lit(True)).alias("all"))
+
+
+def sameness(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, all_same, all_different) of a column's values by group."""
+    n = F.count_distinct(column)
+    return df.groupBy(*keys).agg((n <= 1).alias("all_same"), (n == F.count(column)).alias("all_different"))
+
+
+def in_domain(column: Column, domain: list) -> Column:
+    return F.coalesce(column.isin(*domain), F.lit(False))
+
+
+def param_violations(params: DataFrame, key: str = "piece_id") -> DataFrame:
+    """(piece_id, field, value) of parameters out of range; a window smaller than its step counts as model_dim's fault."""
+    out = range_violations(params.withColumnRenamed(key, "piece_id"), {k: v for k, v in PARAM_RANGES.items() if k in params.columns})
+    small = params.where(F.col("bars_per_step") > F.col("model_dim")).select(F.col(key).alias("piece_id"), F.lit("model_dim").alias("field"), F.col("model_dim").cast("double").alias("value"))
+    return out.unionByName(small).distinct()
+
+
+def validate(t: dict[str, DataFrame]) -> DataFrame:
+    """(piece_id, problem): the first test that a piece fails, in order: resolution, ranges, lengths, signatures, events.
+
+    t: pieces (piece_id, resolution, tempo), bars (piece_id, track, bar, ts_num, ts_den), events (piece_id, track, bar, time, velocity, pitch).
+    """
+    pieces, bars, events = t["pieces"], t["bars"], t["events"]
+    length = F.floor(F.col("ts_num") / F.col("ts_den") * 4 * F.col("resolution"))
+    placed = events.join(bars.select(*KEY, "bar", "ts_num", "ts_den"), [*KEY, "bar"]).join(pieces.select("piece_id", "resolution"), "piece_id")
+    tests = [
+        pieces.where(F.coalesce("resolution", F.lit(0)) == 0).select("piece_id", F.lit(0).alias("rank"), F.lit("no resolution").alias("problem")),
+        range_violations(pieces, PIECE_RANGES).unionByName(range_violations(bars, BAR_RANGES)).unionByName(range_violations(events, EVENT_RANGES)).select("piece_id", F.lit(1).alias("rank"), F.concat("field", F.lit(" out of range")).alias("problem")),
+        unequal_lengths(bars).select("piece_id", F.lit(2).alias("rank"), F.lit("tracks differ in bars").alias("problem")),
+        unequal_signatures(bars).select("piece_id", F.lit(3).alias("rank"), F.lit("tracks differ in time signature").alias("problem")),
+        event_violations(placed, length).select("piece_id", F.lit(4).alias("rank"), F.lit("event outside its bar").alias("problem")),
+    ]
+    rows = tests[0]
+    for x in tests[1:]:
+        rows = rows.unionByName(x)
+    return rows.groupBy("piece_id").agg(F.min(F.struct("rank", "problem")).alias("x")).select("piece_id", "x.problem")
+
+
+def valid(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of pieces that pass validate, in order: events sorted, beat lengths set."""
+    bad = validate(t)
+    out = {k: v.join(bad.select("piece_id"), "piece_id", "left_anti") for k, v in t.items()}
+    order = Window.partitionBy(*KEY, "bar").orderBy("time", F.least("velocity", F.lit(1)), "pitch")
+    return out | {"bars": out["bars"].withColumn("beat_length", F.col("ts_num") / F.col("ts_den") * 4), "events": out["events"].withColumn("pos", F.row_number().over(order) - 1)}
+
+
+def asserted(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The same, but a piece that fails is an error where its pieces row is read."""
+    bad = validate(t).withColumnRenamed("problem", "_problem")
+    told = F.when(F.col("_problem").isNotNull(), F.raise_error(F.concat_ws(": ", F.col("piece_id").cast("string"), "_problem")).cast("int"))
+    pieces = t["pieces"].join(bad, "piece_id", "left").withColumn("resolution", F.coalesce(told, F.col("resolution"))).drop("_problem")
+    return t | {"pieces": pieces}
+
+
+def num_bars(bars: DataFrame) -> DataFrame:
+    """(piece_id, n_bars); an error for a piece whose tracks differ."""
+    n = bars.groupBy(*KEY).agg(F.count_distinct("bar").alias("n")).groupBy("piece_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    told = F.raise_error(F.concat(F.lit("tracks differ in bars: "), F.col("piece_id").cast("string"))).cast("long")
+    return n.select("piece_id", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(told).alias("n_bars"))

@@ -139,3 +139,61 @@ def roll_min_hash(cells: DataFrame, seeds: list[int], k: int, bar_steps: int = 4
     flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bar_steps - 1)), lambda s: F.coalesce(F.try_element_at("m", s.cast("int")), empty)))
     data = F.unhex(F.array_join(F.transform(flat, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     return min_hash(rows.select(*keys, data.alias("data")), "data", seeds, k).drop("data")
+
+
+#: Steps of a roll from a file at most; longer ones are refused.
+ROLL_STEPS, BAR_ROLL_STEPS = 1000, 50_000
+
+
+def _file_notes(messages: DataFrame, resolution: int) -> tuple[DataFrame, DataFrame]:
+    """(notes in steps, (piece_id, tpq, max_tick) of files); a note without an end lasts a step."""
+    from ..sources import smf
+
+    good = messages.where("error is null")
+    files = good.groupBy("piece_id").agg(F.first("tpq").alias("tpq"), F.max("tick").alias("max_tick"))
+    step = lambda c: F.floor(F.col(c) * resolution / F.col("tpq") + 0.5).cast("int")
+    n = smf.linked_notes(good).where("velocity > 0")
+    notes = n.select("piece_id", F.col("smf_track").alias("track"), F.col("key").alias("pitch"), step("on_tick").alias("start"), F.coalesce(step("off_tick"), step("on_tick") + 1).alias("end"))
+    return notes.withColumn("end", F.greatest("end", F.col("start") + 1)), files
+
+
+def file_bars(messages: DataFrame, resolution: int = 12) -> DataFrame:
+    """(piece_id, bar, bar_start, steps) of files, by their time signatures; 4/4 where none is told."""
+    from ..sources import smf
+    from . import bars as B
+
+    good = messages.where("error is null")
+    ends = good.groupBy("piece_id").agg(F.first("tpq").alias("tpq"), (F.max("tick") + 1).cast("int").alias("max_tick"))
+    grid = B.bar_grid(smf.signatures(good), ends).join(ends.select("piece_id", "tpq"), "piece_id")
+    step = lambda c: F.floor(F.col(c) * resolution / F.col("tpq") + 0.5).cast("int")
+    full = F.floor(F.col("beat_length") * resolution + 0.5).cast("int")
+    return grid.select("piece_id", "bar", step("start_tick").alias("bar_start"), full.alias("steps"))
+
+
+def roll_of_file(messages: DataFrame, resolution: int = 12, n_bars: int = 0, start: int = 0) -> DataFrame:
+    """(piece_id, step, pitch): cells of a window of n_bars bars of each file, from bar start modulo the places there are; the whole file for 0.
+
+    Windows of ``ROLL_STEPS`` steps or more give no cells.
+    """
+    notes, _ = _file_notes(messages, resolution)
+    bars = file_bars(messages, resolution)
+    total = bars.groupBy("piece_id").agg((F.max("bar") + 1).alias("total"), F.max(F.col("bar_start") + F.col("steps")).alias("all"))
+    if n_bars:
+        first = total.withColumn("first", F.lit(start) % F.greatest(F.col("total") - n_bars, F.lit(1)))
+        own = bars.join(first, "piece_id").where((F.col("bar") >= F.col("first")) & (F.col("bar") < F.col("first") + n_bars))
+        window = own.groupBy("piece_id").agg(F.min("bar_start").alias("lo"), F.max(F.col("bar_start") + F.col("steps")).alias("hi"))
+    else:
+        window = total.select("piece_id", F.lit(0).alias("lo"), F.col("all").alias("hi"))
+    rows = notes.join(window.where(F.col("hi") - F.col("lo") < ROLL_STEPS), "piece_id").where("start < hi and end > lo")
+    cut = rows.select("piece_id", "pitch", F.explode(F.sequence(F.greatest("start", "lo"), F.least("end", "hi") - 1)).alias("step"), "lo")
+    return cut.select("piece_id", (F.col("step") - F.col("lo")).alias("step"), "pitch").distinct()
+
+
+def bar_roll_of_file(messages: DataFrame, resolution: int = 12) -> DataFrame:
+    """(piece_id, track, bar, step, pitch) of each file's own bars, whatever their lengths; files of ``BAR_ROLL_STEPS`` steps or more give no cells."""
+    notes, _ = _file_notes(messages, resolution)
+    bars = file_bars(messages, resolution)
+    size = bars.groupBy("piece_id").agg(F.max(F.col("bar_start") + F.col("steps")).alias("all")).where(F.col("all") < BAR_ROLL_STEPS)
+    cells = notes.join(size, "piece_id").select("piece_id", "track", "pitch", F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))
+    at = bars.select("piece_id", "bar", "bar_start", F.explode(F.sequence("bar_start", F.col("bar_start") + F.col("steps") - 1)).alias("at"))
+    return cells.join(at, ["piece_id", "at"]).select("piece_id", "track", "bar", (F.col("at") - F.col("bar_start")).alias("step"), "pitch").distinct()

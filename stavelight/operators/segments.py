@@ -106,3 +106,23 @@ def remap_train_types(tracks: DataFrame) -> DataFrame:
         .when((t == 4) & (p > 1), F.array(F.lit(15))).when((t == 3) & (p > 2), F.array(F.lit(14))).otherwise(F.array(t))
     )
     return tracks.withColumn("train_types", own)
+
+
+def multi_segments(rows: DataFrame, bars: int = 4) -> DataFrame:
+    """Rows of whole segments of so many bars, with ``segment``; bars that fill no segment go. rows: piece_id, bar, ..."""
+    whole = F.floor((F.max("bar").over(Window.partitionBy("piece_id")) + 1) / bars)
+    df = rows.withColumns({"segment": F.floor(F.col("bar") / bars).cast("int"), "_n": whole})
+    return df.where("segment < _n").drop("_n").withColumn("bar", F.col("bar") - F.col("segment") * bars)
+
+
+def status_subset(status: DataFrame, start: int, end: int, tracks: list[int]) -> DataFrame:
+    """Requests for bars [start, end) of some tracks, renumbered in the order given."""
+    place = F.array_position(F.array(*[F.lit(t) for t in tracks]), F.col("track")).cast("int") - 1
+    return status.where(F.col("track").isin(tracks)).withColumns({"selected": F.slice("selected", start + 1, end - start), "track": place})
+
+
+def status_rehighlight(status: DataFrame, generate: list[tuple[int, int]]) -> DataFrame:
+    """Requests that select the given (track, bar) cells only; a track is autoregressive no longer if any of its bars is unselected."""
+    cells = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(b).alias("b")) for t, b in generate]) if generate else F.array().cast("array<struct<t:int,b:int>>")
+    chosen = F.transform("selected", lambda _, i: F.exists(cells, lambda c: (c["t"] == F.col("track")) & (c["b"] == i)))
+    return status.withColumn("selected", chosen).withColumn("autoregressive", F.col("autoregressive") & F.forall("selected", lambda x: x))

@@ -25,6 +25,16 @@ def _row(df: DataFrame, e: Encoder, kind: str, value: Column, place: list[Column
     return df.select("piece_id", *[x.cast("long").alias(n) for n, x in zip(PLACE, place, strict=True)], F.lit(kind).alias("token_type"), value.cast("int").alias("value"), token_of(e.name, kind, value).alias("token"))
 
 
+def _spec(e: Encoder, kind: str, value: Column, place: list[Column], when: Column | None = None, token: Column | None = None) -> Column:
+    """A token of a row as a struct, null where ``when`` doesn't hold."""
+    x = F.struct(*[p.cast("long").alias(n) for n, p in zip(PLACE, place, strict=True)], F.lit(kind).alias("token_type"), value.cast("int").alias("value"), (token_of(e.name, kind, value) if token is None else token).cast("int").alias("token"))
+    return F.when(F.lit(True) if when is None else when, x)
+
+
+def _exploded(df: DataFrame, tokens: list[Column]) -> DataFrame:
+    return df.select("piece_id", F.explode(F.array_compact(F.array(*tokens))).alias("t")).select("piece_id", "t.*")
+
+
 def time_tokens(rows: DataFrame, keys: list[str], order: list[str], absolute: bool, domain: int) -> DataFrame:
     """rows with ``clock``: the values of the time tokens before each row. The clock of a group starts at 0.
 
@@ -93,24 +103,23 @@ def encode(name: str, tracks: DataFrame, bars: DataFrame, events: DataFrame, fil
     grid = tracks.select(*KEY, "is_drum").join(bars, "piece_id")
     infill = fills is not None
     grid = grid.join(fills.select(*KEY, "bar", F.lit(True).alias("filled")), [*KEY, "bar"], "left").fillna(False, ["filled"]) if infill else grid.withColumn("filled", F.lit(False))
-    pieces = bars.groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_bars"))
-    out = [_row(pieces, e, "PIECE_START", F.lit(1 if infill and _size(e, "PIECE_START") > 1 else 0), [zero] * 7)]
+    start = [_spec(e, "PIECE_START", F.lit(1 if infill and _size(e, "PIECE_START") > 1 else 0), [zero] * 7)]
     if num_bars and _size(e, "NUM_BARS"):
-        out.append(_row(pieces, e, "NUM_BARS", F.col("n_bars"), [zero, zero, F.lit(1), *[zero] * 4]))
+        start.append(_spec(e, "NUM_BARS", F.col("n_bars"), [zero, zero, F.lit(1), *[zero] * 4]))
+    pieces = bars.groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_bars"))
+    # all tokens of a track's head from its one row
     head = lambda n: [F.lit(1), F.col("track"), zero, F.lit(n), zero, zero, zero]
-    out.append(_row(tracks, e, "TRACK", F.col("track_type"), head(0)))
+    own = [_spec(e, "TRACK", F.col("track_type"), head(0))]
     if c.mark_genre:
         m = F.create_map(*[F.lit(x) for r in rows_of(e.domains) if r[1] == "GENRE" for x in (r[3], r[0])])
-        out.append(_row(tracks, e, "GENRE", zero, head(1)).drop("token").join(tracks.select("piece_id", F.col("track").cast("long").alias("p2"), F.try_element_at(m, F.col("genre")).alias("token")), ["piece_id", "p2"]))
+        own.append(_spec(e, "GENRE", zero, head(1), token=F.try_element_at(m, F.col("genre"))))
     if c.mark_instrument:
-        own = F.when(~F.col("is_drum"), S.instrument_group(F.col("instrument"), False)).otherwise(F.col("instrument")) if c.do_pretrain_map else F.col("instrument")
-        out.append(_row(tracks, e, "INSTRUMENT", own, head(2)))
+        program = F.when(~F.col("is_drum"), S.instrument_group(F.col("instrument"), False)).otherwise(F.col("instrument")) if c.do_pretrain_map else F.col("instrument")
+        own.append(_spec(e, "INSTRUMENT", program, head(2)))
     if _size(e, "PITCH_CLASS"):
-        classes = tracks.where(~F.col("is_drum")).select("piece_id", "track", F.posexplode("pitch_classes").alias("pc", "on")).where("on")
-        out.append(_row(classes, e, "PITCH_CLASS", F.col("pc"), [F.lit(1), F.col("track"), zero, F.lit(3), F.col("pc"), zero, zero]))
+        own += [_spec(e, "PITCH_CLASS", F.lit(i), [F.lit(1), F.col("track"), zero, F.lit(3), F.lit(i), zero, zero], ~F.col("is_drum") & F.col("pitch_classes")[i]) for i in range(12)]
     if c.mark_density or c.mark_drum_density:
-        out.append(_row(tracks if c.mark_density else tracks.where("is_drum"), e, "DENSITY_LEVEL", F.col("density_bin"), head(4)))
-    marked = tracks.where(~F.col("is_drum")) if c.mark_drum_density else tracks
+        own.append(_spec(e, "DENSITY_LEVEL", F.col("density_bin"), head(4), None if c.mark_density else F.col("is_drum")))
     columns: list[tuple[str, Column]] = []
     if _size(e, "MIN_POLYPHONY_HARD"):
         rest = S.rest_token(F.col("rest_percentage"), _size(e, "REST_PERCENTAGE")) if "rest_percentage" in tracks.columns else zero
@@ -118,27 +127,23 @@ def encode(name: str, tracks: DataFrame, bars: DataFrame, events: DataFrame, fil
     else:
         columns += [(k, F.col(k.lower())) for k in ("MIN_POLYPHONY", "MAX_POLYPHONY")] * c.mark_polyphony_quantile
         columns += [(k, F.col(k.lower())) for k in ("MIN_NOTE_DURATION", "MAX_NOTE_DURATION")] * c.mark_note_duration_quantile
-    out += [_row(marked, e, k, v, head(5 + i)) for i, (k, v) in enumerate(columns)]
+    own += [_spec(e, k, v, head(5 + i), ~F.col("is_drum") if c.mark_drum_density else None) for i, (k, v) in enumerate(columns)]
+    own.append(_spec(e, "TRACK_END", zero, [F.lit(1), F.col("track"), F.lit(2), *[zero] * 4]))
     at = lambda n: [F.lit(1), F.col("track"), F.lit(1), F.col("bar"), F.lit(n), zero, zero]
-    out.append(_row(grid, e, "BAR", zero, at(0)))
+    cells = [_spec(e, "BAR", zero, at(0)), _spec(e, "BAR_END", zero, at(9))]
     if c.mark_time_sigs:
         m = F.create_map(*[F.lit(x) for r in rows_of(e.domains) if r[1] == "TIME_SIGNATURE" for x in (f"{r[4]}/{r[5]}", r[0])])
-        sig = grid.select("piece_id", *[x.cast("long").alias(n) for n, x in zip(PLACE, at(1), strict=True)], F.lit("TIME_SIGNATURE").alias("token_type"), (F.col("ts_num") * 1000 + F.col("ts_den")).alias("value"), F.try_element_at(m, F.concat_ws("/", "ts_num", "ts_den")).alias("token"))
-        out.append(sig)
-    out.append(_row(grid, e, "BAR_END", zero, at(9)))
-    out.append(_row(tracks, e, "TRACK_END", zero, [F.lit(1), F.col("track"), F.lit(2), *[zero] * 4]))
+        cells.append(_spec(e, "TIME_SIGNATURE", F.col("ts_num") * 1000 + F.col("ts_den"), at(1), token=F.try_element_at(m, F.concat_ws("/", "ts_num", "ts_den"))))
     rows = events.join(tracks.select(*KEY, "is_drum"), KEY)
     if infill:
         rows = rows.join(fills.select(*KEY, "bar", F.lit(True).alias("filled")), [*KEY, "bar"], "left").fillna(False, ["filled"])
-        out.append(_row(grid.where("filled"), e, "FILL_IN_PLACEHOLDER", zero, at(2)))
         back = lambda n: [F.lit(2), F.col("track"), F.col("bar"), F.lit(n), zero, zero, zero]
-        out += [_row(grid.where("filled"), e, "FILL_IN_START", zero, back(0)), _row(grid.where("filled"), e, "FILL_IN_END", zero, back(2))]
-        out.append(event_tokens(rows.where("filled"), e, [F.lit(2), F.col("track"), F.col("bar"), F.lit(1), zero]))
-        rows = rows.where("not filled")
-    out.append(event_tokens(rows, e, [F.lit(1), F.col("track"), F.lit(1), F.col("bar"), F.lit(3)]))
-    all_rows = out[0]
-    for x in out[1:]:
-        all_rows = all_rows.unionByName(x)
+        cells += [_spec(e, k, zero, place, F.col("filled")) for k, place in (("FILL_IN_PLACEHOLDER", at(2)), ("FILL_IN_START", back(0)), ("FILL_IN_END", back(2)))]
+        here, there = [F.lit(1), F.col("track"), F.lit(1), F.col("bar"), F.lit(3)], [F.lit(2), F.col("track"), F.col("bar"), F.lit(1), zero]
+        of_events = event_tokens(rows, e, [F.when(F.col("filled"), y).otherwise(x) for x, y in zip(here, there, strict=True)])
+    else:
+        of_events = event_tokens(rows, e, [F.lit(1), F.col("track"), F.lit(1), F.col("bar"), F.lit(3)])
+    all_rows = _exploded(pieces, start).unionByName(_exploded(tracks, own)).unionByName(_exploded(grid, cells)).unionByName(of_events)
     problem = F.when(F.col("token").isNull(), F.concat(F.col("token_type"), F.lit(": no such value")))
     if not c.mark_time_sigs:
         odd = bars.where(F.col("ts_num") * 4 != F.col("ts_den") * 4).select("piece_id").distinct().withColumn("_odd", F.lit(True))

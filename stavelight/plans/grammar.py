@@ -55,3 +55,8 @@ def violations(tokens: DataFrame, allowed: DataFrame, keys: list[str] | None = N
 def type_mask(name: str, last: str, infill: bool = True) -> list[str]:
     """Types that may follow ``last``."""
     return sorted(b for a, b in edges(name, infill) if a == last)
+
+
+def dot(name: str, infill: bool = True) -> str:
+    """The grammar as a DOT graph."""
+    return "\n".join(["digraph {", *[f"  {a} -> {b};" for a, b in sorted(edges(name, infill))], "}"]) + "\n"

@@ -189,3 +189,8 @@ def encode_values(rows: DataFrame, vocab: DataFrame) -> DataFrame:
 def decode_tokens(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """rows (encoder, token, ...) with type and value."""
     return rows.join(F.broadcast(vocab.where("is_canonical").drop("is_canonical")), ["encoder", "token"], "left")
+
+
+def token_types(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, types): which token types occur, sorted."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_set("token_type")).alias("types"))

@@ -79,15 +79,17 @@ def pad(tokens: Column, length: Column, with_: int = 0) -> Column:
     return F.concat(tokens, F.array_repeat(F.lit(with_), F.greatest(length - F.size(tokens), F.lit(0))))
 
 
-def batches(sequences: DataFrame, batch_size: int, longest: int = 2048, seed: int = 0) -> DataFrame:
+def batches(sequences: DataFrame, batch_size: int, longest: int = 2048, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """(batch, tokens, mask): rows of batch_size sequences in random order, cropped and right-padded to the longest of their batch.
 
-    A batch number is a hash bucket's running number, so no global sort is needed; a bucket's last batch may be smaller.
+    A batch number is a hash bucket's running number, so no global sort is needed; a bucket's last batch may be smaller. There are as many buckets as
+    partitions of a shuffle, unless told.
     """
     from pyspark.sql import Window
 
     key = F.xxhash64(F.lit(seed), "piece_id")
-    df = sequences.withColumn("tokens", crop(F.col("tokens"), longest, seed, F.col("piece_id"))).withColumns({"_h": key, "_b": F.pmod(key, F.lit(64))})
+    n = buckets or int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = sequences.withColumn("tokens", crop(F.col("tokens"), longest, seed, F.col("piece_id"))).withColumns({"_h": key, "_b": F.pmod(key, F.lit(n))})
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "piece_id")) - 1
     df = df.withColumn("batch", F.concat_ws("-", F.col("_b").cast("string"), F.floor(place / batch_size).cast("string")))
     most = F.max(F.size("tokens")).over(Window.partitionBy("batch"))

@@ -88,6 +88,15 @@ def parse(data: bytes) -> Iterator[tuple]:
         at = end
 
 
+def plain_bytes(data: bytes) -> bytes:
+    """A file's bytes: those that a text describes if the file doesn't begin like a binary one."""
+    if not data or data[:1] == b"M":
+        return data
+    from .edit import from_binasc
+
+    return from_binasc(data.decode("latin-1"))
+
+
 def decode(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """Messages of files (name, content). A bad file gives one row with the error and nothing else, for quarantine."""
 
@@ -95,7 +104,7 @@ def decode(files: DataFrame, name: str = "path", content: str = "content") -> Da
         for b in batches:
             for piece, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [(piece, r[0], *r[1:], None) for r in parse(bytes(data or b""))]
+                    rows = [(piece, r[0], *r[1:], None) for r in parse(plain_bytes(bytes(data or b"")))]
                 except (ValueError, IndexError) as e:
                     rows = [(piece, *[None] * 10, str(e) or "file ends early")]
                 if rows:
