@@ -129,7 +129,9 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = EVERY, vec_id: str = "vec_
         at = F.array(*[_ring(i, s, w, x) for i, (x, (s, w)) in enumerate(zip(probes, parts, strict=True)) if x])
         # probes are many where queries are few
         tasks = math.ceil(waiting * sum(map(len, probes)) / PROBES)
-        new = left.repartition(max(tasks, 1), "q").select("q", F.explode(F.flatten(at)).alias("p")).select("q", "p.*").join(table, ["part", "value"])
+        new = left.repartition(max(tasks, 1), "q").select("q", F.explode(F.flatten(at)).alias("p")).select("q", "p.*")
+        # probes are far more rows than the queries that statistics see: never broadcast them
+        new = new.join(table.hint("merge"), ["part", "value"])
         new = new.select("q", "code", "low", "n", distance(F.col("q"), F.col("code")).alias("d"))
         found = _best((new if found is None else new.unionByName(found)).dropDuplicates(["q", "code"]), k)
         near = m * (r + 1) - 1
