@@ -87,8 +87,9 @@ def _anchor_rows(window: int, k: int):
 
 def digests(words: Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """MD5 of the words [start, end), joined by one space, as two numbers."""
-    a, b = words.start[start].tolist(), words.end[end - 1].tolist()
-    raw = b"".join(md5(b" ".join(words.data[i:j].split()), usedforsecurity=False).digest() for i, j in zip(a, b, strict=True))
+    # the words of the chunk, one space apart, and where each starts there
+    text, place = b" ".join(words.data.split()), np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
+    raw = b"".join([md5(text[i:j], usedforsecurity=False).digest() for i, j in zip(place[start].tolist(), (place[end] - 1).tolist(), strict=True)])
     both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
     return both[:, 0].copy(), both[:, 1].copy()
 
