@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import fixed
+from . import expected
+from .functions import fixed, gm
 from .functions import scalars as S
 from .operators import bars as B
 from .operators import features as A
@@ -19,8 +20,8 @@ from .operators import pieces as P
 from .operators import rolls as R
 from .operators import segments as G
 from .plans import encode as E
-from .plans import generation, grammar, vocab
-from .sources import dataset, smf
+from .plans import facade, generation, grammar, vocab
+from .sources import dataset, edit, smf, tables
 
 RESOLUTION, BAR = 12, 48
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,8 +133,8 @@ def scalar_levels(spark, sf_dir):
     )
 
 
-@query(f"""SELECT p_partkey, [{', '.join(str(fixed.instrument_group(i, True)) for i in range(128))}][p_partkey % 128 + 1] AS dense_group, [{', '.join(str(fixed.instrument_group(i, False)) for i in range(128))}][p_partkey % 128 + 1] AS group_program,
- [{', '.join(str(fixed.opz_drum_type(i)) for i in range(128))}][p_partkey % 128 + 1] AS drum_type, [{', '.join(str(fixed.opz_instrument_type(i)) for i in range(128))}][p_partkey % 128 + 1] AS inst_type FROM part""")
+@query(f"""SELECT p_partkey, {expected.DENSE_GROUPS}[p_partkey % 128 + 1] AS dense_group, {expected.GROUP_PROGRAMS}[p_partkey % 128 + 1] AS group_program,
+ {expected.DRUM_TYPES}[p_partkey % 128 + 1] AS drum_type, {expected.PROGRAM_TYPES}[p_partkey % 128 + 1] AS inst_type FROM part""")
 def instrument_lookups(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     i = (F.col("p_partkey") % 128).cast("int")
@@ -494,7 +495,7 @@ def roll_min_hash(spark, sf_dir):
 
 # --- tokens ---
 
-_DOMAINS = ", ".join(f"('{n}', {i}, '{k}', {len({r[0] for r in vocab.rows_of(((k, d),))})})" for n, e in vocab.ENCODERS.items() if e.supported for i, (k, d) in enumerate(e.domains))
+_DOMAINS = ", ".join(f"('{n}', {i}, '{k}', {size})" for n, domains in expected.DOMAINS.items() for i, (k, size) in enumerate(domains))
 
 
 @query(f""", d AS (SELECT * FROM (VALUES {_DOMAINS}) v(encoder, i, token_type, n)) SELECT encoder, token_type, (sum(n) OVER (PARTITION BY encoder ORDER BY i ROWS UNBOUNDED PRECEDING) - n)::INT AS first_token, n::INT AS n_tokens FROM d""")
@@ -527,8 +528,8 @@ def _token_inputs(spark, sf_dir):
     return tracks, bars, ev
 
 
-_BASE = vocab.rows_of(vocab.get_encoder("NEW_DURATION_ENCODER").domains)
-_AT = {k: min(r[0] for r in _BASE if r[1] == k) for k in {r[1] for r in _BASE}}
+_SIZES = expected.DOMAINS["NEW_DURATION_ENCODER"]
+_AT = {k: sum(size for _, size in _SIZES[:i]) for i, (k, _) in enumerate(_SIZES)}
 _DURATION_SQL = f""", t AS (SELECT DISTINCT piece_id, track FROM bn), p AS (SELECT DISTINCT piece_id FROM bn), b AS (SELECT piece_id, track, unnest(range(0, 64)) AS bar FROM t),
 g AS (SELECT *, time - coalesce(lag(time) OVER w, 0) AS gap, row_number() OVER w AS i FROM bn WHERE duration > 0 WINDOW w AS (PARTITION BY piece_id, track, bar ORDER BY time, pitch, seq)),
 r AS (SELECT piece_id, 0 AS a, 0 AS b, 0 AS c, 0 AS d, 0 AS e, 0 AS f, 0 AS h, {_AT['PIECE_START']} AS token FROM p
@@ -567,7 +568,7 @@ def decoded_durations(spark, sf_dir):
     return d.join(ids, ["piece_id", "track"]).select("piece_id", F.col("_t").alias("track"), "bar", "time", "pitch", "duration")
 
 
-_EDGES = ", ".join(f"('{a}', '{b}')" for a, b in sorted(grammar.edges("NEW_DURATION_ENCODER")))
+_EDGES = ", ".join(f"('{a}', '{b}')" for a, bs in expected.EDGES.items() for b in bs)
 
 
 @query(f""", e AS (SELECT * FROM (VALUES {_EDGES}) v(a, b)), k AS (SELECT conv_id AS piece_id, turn AS idx, (['BAR', 'TIME_DELTA', 'NOTE_ONSET', 'NOTE_DURATION', 'BAR_END'])[length(text) % 5 + 1] AS a FROM conversations),
@@ -589,25 +590,115 @@ def interleaved_tokens(spark, sf_dir):
 # --- files and batches ---
 
 
-@query(""", z AS (SELECT piece_id, track, pitch, "start", "end", velocity, row_number() OVER (PARTITION BY piece_id, track, pitch ORDER BY "start") AS r FROM nt) SELECT piece_id::VARCHAR AS piece_id, count(*)::BIGINT AS n_notes, sum("end" - "start")::BIGINT AS steps FROM z WHERE track <= 11 AND "end" > "start" GROUP BY ALL""")
-def smf_round_trip(spark, sf_dir):
-    """Notes of users 0 to 11 written to MIDI files and read back; smf_round_trip_all has all users."""
-    return _round_trip(notes(spark, sf_dir).where("track <= 11 and end > start"))
-
-
-def _round_trip(n: DataFrame) -> DataFrame:
+def _files(spark, sf_dir) -> DataFrame:
+    """(piece_id, content): MIDI files of twelve users each, with all their notes."""
+    n = notes(spark, sf_dir).where("end > start").withColumns({"piece_id": F.expr("track div 12"), "track": F.expr("track % 12")})
     tracks = n.select("piece_id", "track").distinct().withColumns({"instrument": F.lit(0), "track_type": F.lit(fixed.STANDARD)})
     ends = F.array(F.struct(F.col("start").alias("tick"), F.col("velocity").alias("velocity")), F.struct(F.col("end").alias("tick"), F.lit(0).alias("velocity")))
-    ev = n.select("piece_id", "track", "pitch", F.explode(ends).alias("e")).select("piece_id", "track", "pitch", "e.*")
-    files = smf.to_bytes(tracks, ev)
-    back = smf.linked_notes(smf.decode(files, "piece_id")).where("off_tick is not null")
-    return back.groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_notes"), F.sum(F.col("off_tick") - F.col("on_tick")).alias("steps"))
+    return smf.to_bytes(tracks, n.select("piece_id", "track", "pitch", F.explode(ends).alias("e")).select("piece_id", "track", "pitch", "e.*"))
+
 
+_FILES = """, fn AS (SELECT (track // 12)::VARCHAR AS piece_id, track % 12 AS t, pitch, "start", "end", velocity FROM nt WHERE "end" > "start"),
+fl AS (SELECT *, (dense_rank() OVER (PARTITION BY piece_id ORDER BY t))::INT AS smf_track FROM fn)"""
 
-@query(""" SELECT (track // 12)::VARCHAR AS piece_id, count(*)::BIGINT AS n_notes, sum("end" - "start")::BIGINT AS steps FROM nt WHERE "end" > "start" GROUP BY ALL""")
-def smf_round_trip_all(spark, sf_dir):
+
+@query(_FILES + """ SELECT piece_id, smf_track, pitch AS key, velocity, "start"::BIGINT AS on_tick, "end"::BIGINT AS off_tick FROM fl""")
+def smf_round_trip(spark, sf_dir):
     """Notes of all users written to MIDI files of twelve users each and read back."""
-    return _round_trip(notes(spark, sf_dir).where("end > start").withColumns({"piece_id": F.expr("track div 12"), "track": F.expr("track % 12")}))
+    back = smf.linked_notes(smf.decode(_files(spark, sf_dir), "piece_id")).where("off_tick is not null")
+    return back.select("piece_id", "smf_track", "key", "velocity", "on_tick", "off_tick")
+
+
+@query(_FILES + """ SELECT piece_id, smf_track, smf_track - 1 AS channel, count(*)::BIGINT AS onsets, count(*)::BIGINT AS offsets FROM (SELECT piece_id, CASE WHEN smf_track > 9 THEN smf_track + 1 ELSE smf_track END AS smf_track FROM fl) GROUP BY ALL""")
+def voice_counts(spark, sf_dir):
+    """Onsets and offsets by voice; the tenth channel is the drums', so later tracks use the next."""
+    v = edit.voice_counts(smf.decode(_files(spark, sf_dir), "piece_id"))
+    return v.select("piece_id", (F.col("channel") + 1).alias("smf_track"), "channel", "onsets", "offsets")
+
+
+@query(_FILES + """ SELECT piece_id, (max(smf_track) + 1)::INT AS tracks, (2 * count(*) + 2 * max(smf_track) + 2)::BIGINT AS events, max("end")::BIGINT AS max_tick FROM fl GROUP BY piece_id""")
+def file_counts(spark, sf_dir):
+    return edit.counts(smf.decode(_files(spark, sf_dir), "piece_id"))
+
+
+@query(_FILES + """, m AS (SELECT piece_id::INT AS p, max("end") AS e FROM fl GROUP BY ALL), s AS (SELECT p, sum(e) OVER (ORDER BY p) - e AS base FROM m)
+SELECT smf_track, count(*)::BIGINT AS n_notes, sum("start" + base)::BIGINT AS starts, max("end" + base)::BIGINT AS last FROM fl JOIN s ON fl.piece_id::INT = s.p GROUP BY smf_track""")
+def concatenated_files(spark, sf_dir):
+    """All files one after the other."""
+    m = smf.decode(_files(spark, sf_dir), "piece_id")
+    listing = m.select("piece_id").distinct().select("piece_id", F.lit("all").alias("target"), F.col("piece_id").cast("int").alias("position"))
+    on = edit.concatenate(m, listing).where("status >= 144 and status < 160")
+    a = on.where("p2 > 0").groupBy("smf_track").agg(F.count(F.lit(1)).alias("n_notes"), F.sum("tick").alias("starts"))
+    return a.join(on.groupBy("smf_track").agg(F.max("tick").alias("last")), "smf_track")
+
+
+@query(_FILES + """, c AS (SELECT piece_id, smf_track, pitch, unnest(range("start", "end")) AS s FROM fl), d AS (SELECT DISTINCT * FROM c),
+z AS (SELECT piece_id FROM fl GROUP BY piece_id HAVING (max("end") // 48 + 1) * 48 < 50000) SELECT piece_id, (s // 48)::INT AS bar, count(*)::BIGINT AS cells, sum(s % 48 * 128 + pitch)::BIGINT AS places FROM d JOIN z USING (piece_id) GROUP BY ALL""")
+def file_bar_rolls(spark, sf_dir):
+    """Cells of the bar rolls of files, 4/4 throughout."""
+    r = R.bar_roll_of_file(smf.decode(_files(spark, sf_dir), "piece_id"))
+    return r.groupBy("piece_id", "bar").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("step") * 128 + F.col("pitch")).cast("long").alias("places"))
+
+
+@query(_FILES + """ SELECT piece_id, md5('4d') AS same FROM fl GROUP BY piece_id""")
+def binasc_round_trip(spark, sf_dir):
+    """Files as text and back: the first byte of each that comes back whole."""
+    files = edit.binasc_content(edit.binasc_dump(_files(spark, sf_dir).withColumnRenamed("content", "old"), "old"))
+    return files.select(F.col("piece_id").cast("string").alias("piece_id"), F.when(F.col("old") == F.col("content"), F.md5(F.lower(F.hex(F.substring("content", 1, 1))).cast("binary"))).alias("same"))
+
+
+@query("""SELECT piece_id, track, CASE WHEN track_type = 11 THEN 'drums' WHEN instrument = 8 THEN 'none' WHEN instrument < 8 THEN 'piano' ELSE (['chromatic_perc', 'organ', 'guitar', 'bass', 'strings', 'ensemble', 'brass', 'reed', 'pipe', 'synth_lead', 'synth_pad', 'synth_effects', 'ethnic', 'percussive', 'sound_fx'])[instrument // 8] END AS family,
+CASE WHEN track_type = 11 THEN 'drum_' || instrument ELSE 'program' END AS name FROM tr""")
+def instrument_families(spark, sf_dir):
+    t, drum = track_table(spark, sf_dir), F.col("track_type") == fixed.STANDARD_DRUM
+    name = gm.name_column(drum, F.col("instrument"))
+    return t.select("piece_id", "track", F.coalesce(gm.family_column(drum, F.col("instrument")), F.lit("none")).alias("family"), F.when(name.startswith("drum_") | name.isNull(), name).otherwise("program").alias("name"))
+
+
+_PIECES = """, pc AS (SELECT o_orderkey AS piece_id, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 12 END AS resolution, 100 + o_orderkey % 1000 AS tempo FROM orders),
+br AS (SELECT l_orderkey AS piece_id, 0 AS track, l_linenumber AS bar, 4 AS ts_num, 4 AS ts_den FROM lineitem UNION ALL SELECT l_orderkey, 1, l_linenumber, CASE WHEN l_partkey % 91 = 0 THEN 3 ELSE 4 END, 4 FROM lineitem WHERE NOT (l_suppkey % 29 = 0 AND l_linenumber > 1)),
+et AS (SELECT l_orderkey AS piece_id, l_linenumber AS bar, l_partkey % 49 AS time, l_suppkey % 129 AS pitch FROM lineitem)"""
+
+
+@query(_PIECES + """, p AS (SELECT piece_id, 0 AS r, 'no resolution' AS problem FROM pc WHERE resolution = 0 UNION ALL SELECT piece_id, 1, 'resolution out of range' FROM pc WHERE resolution = 0 UNION ALL SELECT piece_id, 1, 'tempo out of range' FROM pc WHERE tempo > 1000
+UNION ALL SELECT piece_id, 1, 'pitch out of range' FROM et WHERE pitch > 127 UNION ALL SELECT piece_id, 2, 'tracks differ in bars' FROM (SELECT piece_id, count(DISTINCT CASE WHEN track = 0 THEN bar END) AS a, count(DISTINCT CASE WHEN track = 1 THEN bar END) AS b FROM br GROUP BY piece_id) WHERE a <> b AND b > 0
+UNION ALL SELECT piece_id, 3, 'tracks differ in time signature' FROM (SELECT piece_id, bar FROM br GROUP BY ALL HAVING count(DISTINCT ts_num) > 1) UNION ALL SELECT et.piece_id, 4, 'event outside its bar' FROM et JOIN pc USING (piece_id) WHERE time >= 4 * resolution)
+SELECT piece_id, problem FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY r, problem) AS n FROM p) WHERE n = 1""")
+def validated_pieces(spark, sf_dir):
+    """The first problem of pieces made of orders, with two tracks each."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    pieces = o.select(F.col("o_orderkey").alias("piece_id"), F.when(F.col("o_orderkey") % 17 == 0, 0).otherwise(12).alias("resolution"), (100 + F.col("o_orderkey") % 1000).alias("tempo"))
+    first = li.select(F.col("l_orderkey").alias("piece_id"), F.lit(0).alias("track"), F.col("l_linenumber").alias("bar"), F.lit(4).alias("ts_num"), F.lit(4).alias("ts_den"))
+    second = li.where(~((F.col("l_suppkey") % 29 == 0) & (F.col("l_linenumber") > 1))).select(F.col("l_orderkey").alias("piece_id"), F.lit(1).alias("track"), F.col("l_linenumber").alias("bar"), F.when(F.col("l_partkey") % 91 == 0, 3).otherwise(4).alias("ts_num"), F.lit(4).alias("ts_den"))
+    ev = li.select(F.col("l_orderkey").alias("piece_id"), F.lit(0).alias("track"), F.col("l_linenumber").alias("bar"), (F.col("l_partkey") % 49).alias("time"), F.lit(90).alias("velocity"), (F.col("l_suppkey") % 129).alias("pitch"))
+    return P.validate({"pieces": pieces, "bars": first.unionByName(second), "events": ev})
+
+
+@query("""SELECT l_orderkey, bool_or(l_quantity > 45) AS "any", bool_and(l_quantity > 5) AS "all", count(DISTINCT l_suppkey) <= 1 AS all_same, count(DISTINCT l_suppkey) = count(l_suppkey) AS all_different FROM lineitem GROUP BY l_orderkey""")
+def group_predicates(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumns({"big": F.col("l_quantity") > 45, "some": F.col("l_quantity") > 5})
+    k = ["l_orderkey"]
+    return P.any_of(li, k, "big").join(P.all_of(li, k, "some"), k).join(P.sameness(li, k, "l_suppkey"), k)
+
+
+@query("""SELECT piece_id, track, pitch, tick, (bar // 4)::INT AS segment, (bar % 4)::INT AS bar FROM (SELECT *, (max(bar) OVER (PARTITION BY piece_id) + 1) // 4 AS n FROM ev) WHERE bar // 4 < n""")
+def four_bar_segments(spark, sf_dir):
+    return G.multi_segments(events(spark, sf_dir), 4).select("piece_id", "track", "pitch", "tick", "segment", F.col("bar").cast("int").alias("bar"))
+
+
+@query("""SELECT (row_number() OVER (ORDER BY n DESC, signature) - 1)::INT AS place, signature, n FROM (SELECT l_linenumber || '/' || (l_suppkey % 9 + 1) AS signature, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, signature LIMIT 36)""")
+def frequent_signatures(spark, sf_dir):
+    """The 36 most frequent of time signatures: a top-k report."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.concat_ws("/", "l_linenumber", F.col("l_suppkey") % 9 + 1).alias("signature")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.most_frequent(li, 36)
+
+
+@query("""SELECT piece_id, count(*)::BIGINT AS notes FROM (SELECT (track // 12)::VARCHAR AS piece_id, track, pitch, "start", "end" FROM nt WHERE "end" > "start") GROUP BY piece_id""")
+def tokens_of_files(spark, sf_dir):
+    """Onset tokens of files that go through the facade, MIDI to tokens."""
+    t = facade.midi_to_piece(_files(spark, sf_dir).withColumn("path", F.col("piece_id").cast("string")))
+    tokens = facade.piece_to_tokens(t, "NEW_DURATION_ENCODER")
+    return tokens.where("token_type = 'NOTE_ONSET'").groupBy("piece_id").agg(F.count(F.lit(1)).alias("notes"))
 
 
 @query()

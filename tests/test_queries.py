@@ -37,11 +37,6 @@ def test_query(spark, con, name):
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
 
 
-def test_files_hold_all_users(spark):
-    n = sum(r.n_notes for r in q.QUERIES["smf_round_trip_all"](spark, SF).collect())
-    assert n == q.notes(spark, SF).where("end > start").count() > sum(r.n_notes for r in q.QUERIES["smf_round_trip"](spark, SF).collect())
-
-
 def test_transposition_counts_all_pitches(spark):
     pitches = {}
     for r in q.events(spark, SF).where("track % 5 <> 0").select("piece_id", "pitch").collect():
