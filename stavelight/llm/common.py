@@ -30,11 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and released() deletes it once it isn't needed."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = folder or f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out.folder = folder

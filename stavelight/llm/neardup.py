@@ -293,7 +293,7 @@ def near_duplicates(
     Words are lower-cased runs of letters and digits. Texts are linked if both their 5-word shingle similarity and their word edit similarity are at least
     ``threshold``; texts of fewer than five words have all their words as one shingle. Classes are the connected components over exact
     copies and links. Null texts and texts without words belong to no class: class_id is their own id, links 0. Null ids join classes but
-    name none unless alone, so unlike texts of one id, or without any, have equal class_ids, but not labels. Repeated rows are exact copies. An empty table gives an empty one; other columns are ignored.
+    name none unless alone, so unlike texts of one id, or without any, have equal class_ids, but not labels. Repeated rows are exact copies. Texts of any length are read whole. An empty table gives an empty one; other columns are ignored.
     A pair of similarity s shares no bucket, and is missed unless others connect it, with probability about (1 - s ** ell) ** vectors: 1e-5 at 0.8
     for texts of the same order. Pairs that share a bucket are never missed, whatever its size.
     """
@@ -329,13 +329,14 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stand for their class (label): the one of the smallest id, once. Rows without an id stay only if their class has no id.
-    Texts without words belong to no class and stay, once for each id; those without an id all stay."""
-    names = docs.columns
+    """The rows of docs that stand for their class (label): the one of the smallest id, once. Rows without an id stay only if their class has no id; of ties,
+    texts of one class and id, that of the smallest MD5. All columns are carried, whatever their names; an empty table gives an empty one. Texts without words belong to no class and stay, once for each id; those without an id all stay."""
     md5 = F.hex(F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_cid"), F.col("text_md5").alias("_cmd5"))).alias("f")
     best = classes.where("label is not null").groupBy("label").agg(first).select("f._cid", "f._cmd5", F.lit(False).alias("_each"))
     loose = classes.where("label is null").select(F.col("doc_id").alias("_cid"), F.col("text_md5").alias("_cmd5"), F.col("doc_id").isNull().alias("_each")).distinct()
-    rows = docs.withColumn("_md5", md5).join(best.unionByName(loose), F.col(doc_id).cast("long").eqNullSafe(F.col("_cid")) & (F.col("_md5") == F.col("_cmd5")))
+    # the row as one value, so that no name of its columns matters
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_id"), md5.alias("_md5"))
+    rows = rows.join(best.unionByName(loose), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_md5") == F.col("_cmd5")))
     rows = rows.withColumn("_copy", F.when(F.col("_each"), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long")))
-    return rows.dropDuplicates(["_cid", "_cmd5", "_copy"]).select(*[f"`{c}`" for c in names])
+    return rows.dropDuplicates(["_cid", "_cmd5", "_copy"]).select("_row.*")

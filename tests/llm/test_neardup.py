@@ -181,10 +181,12 @@ def test_keep_one_keeps_a_row_of_each_class(spark):
     rng = random.Random(8)
     a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
     rows = [(None, a), (None, a), (None, a + " end"), (None, b), (7, c), (7, d), (8, c + " end"), (None, c), (9, "!!"), (9, "!!"), (None, "?"), (None, "?")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows.append((90, " ".join(f"v{rng.randrange(99999)}" for _ in range(30_000))))
+    df = spark.createDataFrame([(*r, "m", 1, "x") for r in rows], "doc_id long, text string, _md5 string, _copy int, Label string").repartition(3)
+    assert all((r._md5, r._copy, r.Label) == ("m", 1, "x") for r in nd.keep_one(df, nd.near_duplicates(df)).collect())
     got = [(r.doc_id, r.text) for r in nd.keep_one(df, nd.near_duplicates(df)).collect()]
     first = min(((None, a), (None, a + " end")), key=lambda r: md5(r[1].encode()).hexdigest())
-    assert sorted(got, key=str) == sorted([first, (None, b), (7, c), (7, d), (9, "!!"), (None, "?"), (None, "?")], key=str)
+    assert sorted(got, key=str) == sorted([first, (None, b), (7, c), (7, d), (9, "!!"), rows[-1], (None, "?"), (None, "?")], key=str)
 
 
 def test_sketch_follows_order():

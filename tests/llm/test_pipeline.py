@@ -66,6 +66,22 @@ def test_stages(spark, folder):
     assert len(mix) == docs.count() and all(r.taken <= 3 * r.size for r in mix)
 
 
+def test_stages_with_odd_rows(spark, folder):
+    """Nulls in any column, repeated rows, a very long text, other columns with names that operators use: no crash, and the columns of documents."""
+    long = " ".join(f"z{i}" for i in range(20_000))
+    docs = spark.createDataFrame(
+        [(None, None, None, None, None, 1.0, "a", 2), (5, "one two", None, "s", None, None, None, None), (5, "one two", None, "s", None, None, None, None), (6, long, "en", None, len(long), 0.5, "b", 1), (None, "free text", "en", "s", 9, None, "c", 3)],
+        "doc_id long, text string, lang string, source string, n_chars long, score double, Label string, _md5 int",
+    )
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, folder)
+        got = out.collect()
+        assert name == "mixing" or out.columns == cp.COLUMNS, name
+        assert len(got) == (4 if name == "near_dedup" else 5) and {r.doc_id for r in got} == {None, 5, 6}, name
+        assert name == "mixing" or any(r.text == long for r in got), name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
 def test_run(spark, folder):
     out = cp.run(spark, folder)
     assert 200 < out.count() < 403 and {"doc_id", "taken"} <= set(out.columns)
