@@ -471,8 +471,9 @@ def _min_hash_sql(seeds: list[int]) -> str:
     """Least XXH32 of the eight-byte shingles of documents; one step of the public algorithm a subquery."""
     seeds_list = ", ".join(f"({s})" for s in seeds)
     turned = lambda x, n: f"((({x} << {n}) | ({x} >> {32 - n})) % 4294967296)"
-    return f""", t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 7)) AS i FROM t),
-    l AS (SELECT doc_id, {", ".join("('0x' || " + " || ".join(f"x[2 * i + {2 * (4 * h + 3 - j) + 1}:2 * i + {2 * (4 * h + 3 - j) + 2}]" for j in range(4)) + f")::UBIGINT AS {name}" for h, name in ((0, "a"), (1, "b")))} FROM p),
+    return f""", w AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS w FROM documents),
+    t AS (SELECT doc_id, [('0x' || w[i + 3] || w[i + 2] || w[i + 1] || w[i])::UBIGINT FOR i IN range(1, len(w) - 2)] AS x FROM w),
+    l AS (SELECT doc_id, unnest(x[1:len(x) - 4]) AS a, unnest(x[5:len(x)]) AS b FROM t WHERE len(x) > 4),
     s AS (SELECT doc_id, seed, (seed + 374761401 + a * 3266489917 % 4294967296) % 4294967296 AS h, b FROM l, (VALUES {seeds_list}) v(seed)),
     s2 AS (SELECT doc_id, seed, ({turned("h", 17)} * 668265263 % 4294967296 + b * 3266489917 % 4294967296) % 4294967296 AS h FROM s),
     s3 AS (SELECT doc_id, seed, {turned("h", 17)} * 668265263 % 4294967296 AS h FROM s2),
