@@ -141,6 +141,35 @@ def instrument_lookups(spark, sf_dir):
     return p.select("p_partkey", S.instrument_group(i, True).alias("dense_group"), S.instrument_group(i, False).alias("group_program"), S.opz_track_type(F.lit(9), i, i).alias("drum_type"), S.opz_track_type(F.lit(0), i, i).alias("inst_type"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, floor(l_partkey / 480::DOUBLE * 12 * 2 + 0.5)::INT AS second_step, round((l_partkey - 700) / 480::DOUBLE * 12)::INT AS from_bar, (l_partkey // 480)::INT AS whole_quarters, greatest(2, least(l_linenumber, 5))::INT AS clipped,
+([1, 2, 3, 5, 8, 13, 21, 34, 55, 89])[l_linenumber + 1]::INT AS target, CASE WHEN l_partkey % 3 > 0 THEN 99 ELSE 0 END::INT AS flat, (l_partkey % 128 + CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE -5 END)::INT AS moved, round(l_linenumber / 8::DOUBLE * 9)::INT AS rest,
+CASE WHEN l_quantity <= 10 THEN 'CONDITION' WHEN l_quantity > 40 THEN 'RESAMPLE' ELSE 'INFILL' END AS kind, ((l_quantity > 10)::INT + (l_quantity > 20)::INT + (l_quantity > 40)::INT)::INT AS selected,
+CASE WHEN l_linenumber = 1 THEN 'GENRE = rock' WHEN l_linenumber = 2 THEN 'TIME_SIGNATURE = 3/4' ELSE 'BAR = ' || l_linenumber END AS told, round(6e7 / (l_partkey + 1), 6)::DOUBLE AS bpm, round((l_partkey + 1) / 1e6 / 480, 12)::DOUBLE AS per_tick FROM lineitem""")
+def scalar_rules(spark, sf_dir):
+    """Rules that scalar_levels has not."""
+    li = table(spark, sf_dir, "lineitem")
+    line, part, q, tpq, spq = F.col("l_linenumber").cast("int"), F.col("l_partkey").cast("int"), F.col("l_quantity"), F.lit(480), F.lit(12)
+    selected = F.array(q > 10, q > 20, q > 40)
+    kind = F.when(line == 1, "GENRE").when(line == 2, "TIME_SIGNATURE").otherwise("BAR")
+    told = S.pretty(kind, line, F.when(line == 1, "rock"), F.when(line == 2, 3), F.when(line == 2, 4))
+    return li.select(
+        "l_orderkey", "l_linenumber", S.quantize_second(part, tpq, spq, F.lit(2)).alias("second_step"), S.relative_step(part, F.lit(700), tpq, spq).alias("from_bar"), S.beat_length_truncated(part, tpq).alias("whole_quarters"), S.clip(line, F.lit(2), F.lit(5)).alias("clipped"),
+        S.density_target(F.array(*[F.lit(x) for x in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)]), line).alias("target"), S.flatten_velocity(part % 3, 99).alias("flat"), S.transpose(part % 128, line % 2 == 0, F.lit(-5)).alias("moved"), S.rest_token(line / 8, 10).alias("rest"),
+        S.selection_kind(selected).alias("kind"), S.count_selected(selected).alias("selected"), told.alias("told"), _r(S.tempo_bpm(part + 1)).alias("bpm"), _r(S.seconds_per_tick(part + 1, tpq), 12).alias("per_tick"),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN s = 255 THEN CASE m WHEN 1 THEN 'text' WHEN 2 THEN 'copyright' WHEN 3 THEN 'track_name' WHEN 4 THEN 'instrument_name' WHEN 5 THEN 'lyric' WHEN 6 THEN 'marker' WHEN 7 THEN 'cue' WHEN 47 THEN 'end_of_track' WHEN 81 THEN 'tempo' WHEN 88 THEN 'time_signature' WHEN 89 THEN 'key_signature' ELSE 'meta' END
+WHEN s < 144 OR s < 160 AND p2 = 0 THEN 'note_off' WHEN s < 160 THEN 'note_on' WHEN s < 176 THEN 'aftertouch' WHEN s < 192 THEN CASE WHEN p1 IN (64, 67) THEN CASE p1 WHEN 64 THEN 'sustain' ELSE 'soft' END || CASE WHEN p2 >= 64 THEN '_on' ELSE '_off' END ELSE 'controller' END
+WHEN s < 208 THEN 'patch_change' WHEN s < 224 THEN 'pressure' WHEN s < 240 THEN 'pitch_bend' ELSE 'system' END AS kind FROM (SELECT *, CASE WHEN l_suppkey % 4 = 0 THEN 255 ELSE 128 + l_partkey % 127 END AS s, l_suppkey % 70 AS p1, l_linenumber * 20 % 128 - CASE WHEN l_linenumber = 1 THEN 20 ELSE 0 END AS p2, l_partkey % 90 AS m FROM lineitem)""")
+def message_kinds(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    line, part, supp = F.col("l_linenumber").cast("int"), F.col("l_partkey").cast("int"), F.col("l_suppkey").cast("int")
+    status = F.when(supp % 4 == 0, 255).otherwise(part % 127 + 128)
+    p2 = line * 20 % 128 - F.when(line == 1, 20).otherwise(0)
+    return li.select("l_orderkey", "l_linenumber", S.message_kind(status, supp % 70, p2, part % 90).alias("kind"))
+
+
 # --- pairing ---
 
 
