@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, neardup, pii, secrets, substrings, topk, toxicity, urlfilter
+from . import decontaminate, linededup, mixing, neardup, pii, secrets, substrings, tokenfiles, topk, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_toxicity, op4_line_dedup, op5_near_duplicates, op6_url_filter, op7_substring_dedup, op8_mix_sources, op9_exact_top_k, op10_pii)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.token_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_toxicity, op4_line_dedup, op5_near_duplicates, op6_url_filter, op7_substring_dedup, op8_mix_sources, op9_exact_top_k, op10_pii, op13_token_files)}
 ORACLES: dict[str, str] = {"op1_secret_scan": secrets.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_line_dedup": linededup.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_exact_top_k": topk.ORACLE}
