@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, neardup, pii, secrets, substrings, tokenfiles, topk, toxicity, urlfilter, whitening
+from . import decontaminate, linededup, mixing, neardup, negatives, pii, secrets, substrings, tokenfiles, topk, toxicity, urlfilter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return negatives.mine(rows)
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whitened_rows(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))  # n squared times a sum of squares: null where no long holds it
@@ -74,5 +79,5 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_toxicity, op4_line_dedup, op5_near_duplicates, op6_url_filter, op7_substring_dedup, op8_mix_sources, op9_exact_top_k, op10_pii, op12_whiten, op13_token_files)}
-ORACLES: dict[str, str] = {"op1_secret_scan": secrets.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_line_dedup": linededup.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_exact_top_k": topk.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_toxicity, op4_line_dedup, op5_near_duplicates, op6_url_filter, op7_substring_dedup, op8_mix_sources, op9_exact_top_k, op10_pii, op11_hard_negatives, op12_whiten, op13_token_files)}
+ORACLES: dict[str, str] = {"op1_secret_scan": secrets.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op4_line_dedup": linededup.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_exact_top_k": topk.ORACLE, "op11_hard_negatives": negatives.ORACLE}
