@@ -43,6 +43,8 @@ def parse(data: bytes) -> Iterator[tuple]:
     if data[:4] != b"MThd":
         raise ValueError("no MThd header")
     number = lambda at, n: int.from_bytes(data[at : at + n], "big")
+    if len(data) < 14:
+        raise ValueError("file ends in its header")
     if number(4, 4) != 6:
         raise ValueError("header size is not 6")
     kind, tracks, division = number(8, 2), number(10, 2), number(12, 2)
