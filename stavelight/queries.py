@@ -761,3 +761,6 @@ def onsets_by_day(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("piece_id"), F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), F.lit(1).alias("velocity"))
     return streaming.onset_counts(e, window="1 day").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "piece_id", "onsets")
+
+
+from . import more_queries  # noqa: E402, F401
