@@ -6,9 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .queries import _FILES, _files, events, query
+from .functions import fixed
+from .functions import scalars as S
+from .operators import features as A
+from .operators import notes as N
+from .operators import schemas
+from .operators import segments as G
+from .queries import _FILES, _HAS, _files, _listed, all_bars, events, notes, query, table, track_table
 from .session import shared_folder
-from .sources import midi, smf
+from .sources import edit, midi, smf
 from .streaming import notes as streamed
 
 
@@ -43,3 +49,136 @@ def streamed_notes(spark, sf_dir):
     q = streamed.streamed_notes(source, "18250 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("piece_id", "track", "pitch", "start", "end", "velocity")
+
+
+# --- messages ---
+
+
+@query(""", c AS (SELECT l_suppkey::INT AS piece_id, l_linenumber::INT AS channel, ([64, 65, 69, 80, 1, 90, 122])[l_partkey % 7 + 1] AS controller, floor(l_quantity)::INT * 5 % 128 >= 64 AS up, (l_orderkey * 8 + l_linenumber) * 64 + floor(l_quantity)::INT AS seq, l_orderkey AS tick FROM lineitem WHERE l_partkey % 7 <> 4),
+g AS (SELECT *, row_number() OVER (PARTITION BY piece_id, channel, controller ORDER BY seq) - row_number() OVER (PARTITION BY piece_id, channel, controller, up ORDER BY seq) AS island FROM c),
+i AS (SELECT piece_id, channel, controller, up, min(seq) AS seq, min(tick) AS tick FROM g GROUP BY piece_id, channel, controller, up, island),
+l AS (SELECT *, lead(seq) OVER w AS off_seq, lead(tick) OVER w AS off_tick FROM i WINDOW w AS (PARTITION BY piece_id, channel, controller ORDER BY seq))
+SELECT piece_id, channel, controller, seq AS on_seq, off_seq, tick AS on_tick, off_tick FROM l WHERE up AND off_seq IS NOT NULL""")
+def linked_switches(spark, sf_dir):
+    """Line items as controllers, one of which isn't a switch."""
+    li = table(spark, sf_dir, "lineitem")
+    channel = F.col("l_linenumber").cast("int")
+    number = F.element_at(F.array(*map(F.lit, (64, 65, 69, 80, 1, 90, 122))), (F.col("l_partkey") % 7 + 1).cast("int"))
+    m = li.select(
+        F.col("l_suppkey").cast("int").alias("piece_id"), F.lit(0).alias("smf_track"), channel.alias("channel"), (channel + 176).alias("status"), number.alias("p1"), (F.floor("l_quantity").cast("int") * 5 % 128).alias("p2"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.floor("l_quantity").cast("int")).alias("seq"), F.col("l_orderkey").alias("tick"),
+    )
+    return N.link_switches(m).drop("smf_track")
+
+
+@query(_FILES + """, s AS (SELECT piece_id, smf_track, pitch, velocity, "start" - 240 AS a, "end" - 240 AS b FROM fl WHERE "start" >= 240 AND "start" < 720),
+m AS (SELECT piece_id, smf_track, a AS tick, pitch AS p1, velocity AS p2 FROM s UNION ALL SELECT piece_id, smf_track, least(b, 480), pitch, 0 FROM s)
+SELECT piece_id, smf_track, tick::BIGINT AS tick, p1, p2, count(*)::BIGINT AS n FROM m GROUP BY ALL""")
+def excerpt_messages(spark, sf_dir):
+    """Seconds 10 to 30 of files whose tempo gives 24 ticks a second: notes that begin there, ended at the end at the latest."""
+    m = edit.excerpt(smf.decode(_files(spark, sf_dir), "piece_id"), 10, 30).where("status between 128 and 159")
+    return m.select("piece_id", "smf_track", "tick", "p1", F.when(F.col("status") < 144, 0).otherwise(F.col("p2")).alias("p2")).groupBy("piece_id", "smf_track", "tick", "p1", "p2").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(""", h AS (SELECT piece_id, track, "start", pitch, "end" AS e, row_number() OVER (PARTITION BY piece_id, track, "start" ORDER BY pitch DESC, "end" DESC) AS r FROM nt),
+t AS (SELECT *, lead("start") OVER (PARTITION BY piece_id, track ORDER BY "start") AS nx FROM h WHERE r = 1)
+SELECT piece_id, track, "start", pitch FROM t UNION ALL SELECT piece_id, track, e, NULL FROM t WHERE nx IS NULL OR nx > e""")
+def melody_lines(spark, sf_dir):
+    return N.melody(notes(spark, sf_dir))
+
+
+@query(""", o AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY track, "start", pitch) AS place FROM nt),
+g AS (SELECT piece_id, pitch, row_number() OVER (PARTITION BY piece_id ORDER BY md5('11:' || piece_id || ':' || place), place) AS place FROM o)
+SELECT o.piece_id, track, g.pitch, "start", "end", velocity FROM o JOIN g ON o.piece_id = g.piece_id AND o.place = g.place""")
+def mixed_pitches(spark, sf_dir):
+    return edit.mixup(notes(spark, sf_dir), 11)
+
+
+@query(""", o AS (SELECT *, row_number() OVER (PARTITION BY piece_id, track ORDER BY "start", pitch) AS place, count(*) OVER (PARTITION BY piece_id, track) AS n FROM nt)
+SELECT a.piece_id, a.track, b.pitch, a."start", a."end", a.velocity FROM o AS a JOIN o AS b ON a.piece_id = b.piece_id AND a.track = b.track AND b.place = a.n + 1 - a.place""")
+def reversed_pitches(spark, sf_dir):
+    """Each track's pitches backwards."""
+    return edit.mixup(notes(spark, sf_dir), None, ("piece_id", "track"), ("start", "pitch"))
+
+
+# --- the eight-track device ---
+
+_DEVICE = _HAS + """, px AS (SELECT piece_id, track, unnest(range("start", "end")) AS step FROM nt), pm AS (SELECT piece_id, track, max(n) AS p FROM (SELECT piece_id, track, step, count(*) AS n FROM px GROUP BY ALL) GROUP BY ALL),
+ty AS (SELECT piece_id, track, CASE WHEN t = 9 THEN CASE WHEN p <= 4 THEN [x FOR x IN [CASE WHEN p <= 2 THEN 6 END, CASE WHEN p <= 3 THEN 5 END, CASE WHEN p <= 4 THEN 7 END] IF x IS NOT NULL] ELSE [9] END
+  WHEN t IN (0, 1, 2) AND p > 2 THEN [13] WHEN t = 4 AND p > 1 THEN [15] WHEN t = 3 AND p > 2 THEN [14] ELSE [t] END AS types FROM (SELECT piece_id, track, track // 5 % 10 AS t, p FROM pm)),
+vs AS (SELECT piece_id, bar AS "start", list(track ORDER BY track) AS tracks, count(DISTINCT list_sort(types)) AS kinds, count(*) FILTER (list_sort(types) = [5, 6] OR list_sort(types) = [5, 6, 7]) AS flexible FROM w JOIN ty USING (piece_id, track) WHERE bar <= nb - 4 AND f >= 3 GROUP BY piece_id, bar),
+sg AS (SELECT piece_id, "start", tracks FROM vs WHERE kinds >= 3 OR flexible >= 2)
+"""
+
+
+def _device(spark, sf_dir):
+    """(segments, types): every piece's tracks as the device's types."""
+    n = notes(spark, sf_dir)
+    types = G.remap_train_types(A.max_polyphony(n).withColumn("track_type", F.expr("track div 5 % 10").cast("int"))).select("piece_id", "track", "train_types")
+    bars = A.has_notes(events(spark, sf_dir), all_bars(spark, sf_dir))
+    return G.valid_segments_opz(bars, types, 4, 3), types
+
+
+@query(_DEVICE + """SELECT piece_id, "start", array_to_string(tracks, ',') AS tracks FROM sg""")
+def device_segments(spark, sf_dir):
+    return _device(spark, sf_dir)[0].select("piece_id", "start", _listed("tracks"))
+
+
+@query(_DEVICE + """, one AS (SELECT piece_id, "start", tracks FROM sg QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY md5('7:' || piece_id || ':' || "start")) = 1),
+ex AS (SELECT piece_id, "start", unnest(tracks) AS track FROM one),
+od AS (SELECT ex.*, row_number() OVER (PARTITION BY piece_id ORDER BY md5('7:' || piece_id || ':' || track)) AS i, [x.t FOR x IN list_sort([{'r': md5('8:' || piece_id || ':' || track || ':' || t), 't': t} FOR t IN types]) IF x.t < 8] AS free FROM ex JOIN ty USING (piece_id, track)),
+st AS (SELECT piece_id, 0::BIGINT AS i, []::INT[] AS used, []::VARCHAR[] AS chosen FROM one UNION ALL
+  SELECT st.piece_id, od.i, CASE WHEN len([x FOR x IN free IF NOT list_contains(used, x::INT)]) > 0 THEN used || [([x FOR x IN free IF NOT list_contains(used, x::INT)])[1]::INT] ELSE used END,
+  CASE WHEN len([x FOR x IN free IF NOT list_contains(used, x::INT)]) > 0 THEN chosen || [track || ':' || ([x FOR x IN free IF NOT list_contains(used, x::INT)])[1]] ELSE chosen END FROM st JOIN od ON od.piece_id = st.piece_id AND od.i = st.i + 1),
+en AS (SELECT piece_id, arg_max(chosen, i) AS chosen FROM st GROUP BY piece_id)
+SELECT p.piece_id, one."start", CASE WHEN len(chosen) >= 5 THEN array_to_string(chosen, ',') END AS tracks, CASE WHEN one."start" IS NULL THEN 'no valid segments' WHEN len(chosen) < 5 THEN 'less than min tracks' END AS problem
+FROM (SELECT DISTINCT piece_id FROM ty) p LEFT JOIN one USING (piece_id) LEFT JOIN en USING (piece_id)""", recursive=True)
+def device_tracks(spark, sf_dir):
+    """One segment a piece, its tracks with types that differ; the fewest are five."""
+    out = G.select_segments_opz(*_device(spark, sf_dir), 7, 5)
+    told = F.array_join(F.transform("tracks", lambda t: F.concat_ws(":", t["track"].cast("string"), t["track_type"].cast("string"))), ",")
+    return out.select("piece_id", "start", told.alias("tracks"), "problem")
+
+
+# --- nested validation ---
+
+
+@query(""", p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_linenumber - 1 AS num FROM lineitem), k AS (SELECT DISTINCT l_orderkey FROM lineitem),
+v AS (SELECT l_orderkey, 'piece.tracks[' || i || '].instrument' AS path, (l_partkey % 130) AS value, 0 AS lo, 127 AS hi FROM p
+UNION ALL SELECT l_orderkey, 'piece.tracks[' || i || '].bars[0].events[0]', l_suppkey - 3, 0, 2147483647 FROM p UNION ALL SELECT l_orderkey, 'piece.tracks[' || i || '].bars[0].events[1]', l_linenumber, 0, 2147483647 FROM p
+UNION ALL SELECT l_orderkey, 'piece.tracks[' || i || '].bars[0].tsNumerator', num, 1, 1000000 FROM p UNION ALL SELECT l_orderkey, 'piece.tracks[' || i || '].bars[0].tsDenominator', 4, 1, 1000000 FROM p
+UNION ALL SELECT l_orderkey, 'piece.tracks[' || i || '].bars[1].tsNumerator', 3, 1, 1000000 FROM p UNION ALL SELECT l_orderkey, 'piece.tracks[' || i || '].bars[1].tsDenominator', CASE WHEN l_partkey % 11 = 0 THEN 0 ELSE 8 END, 1, 1000000 FROM p
+UNION ALL SELECT l_orderkey, 'piece.events[' || i || '].time', l_partkey * 700, 0, 1000000 FROM p UNION ALL SELECT l_orderkey, 'piece.events[' || i || '].velocity', l_suppkey % 130, 0, 127 FROM p UNION ALL SELECT l_orderkey, 'piece.events[' || i || '].pitch', l_partkey % 131 - 1, 0, 127 FROM p
+UNION ALL SELECT l_orderkey, 'piece.resolution', l_orderkey % 14, 1, 12 FROM k UNION ALL SELECT l_orderkey, 'piece.tempo', CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 120 END, 1, 1000000 FROM k)
+SELECT l_orderkey AS piece_id, path, value::DOUBLE AS value FROM v WHERE value < lo OR value > hi""")
+def nested_violations(spark, sf_dir):
+    """Orders as nested pieces, a track and an event a line; unset numbers count as 0, internal fields (always out of range here) aren't tested."""
+    i = lambda c: c.cast("int")
+    bad = F.lit(-1).cast("int").alias("internalDuration")
+    bars = F.array(
+        F.struct(F.array(i(F.col("l_suppkey") - 3), i(F.col("l_linenumber"))).alias("events"), i(F.col("l_linenumber") - 1).alias("tsNumerator"), F.lit(4).alias("tsDenominator")),
+        F.struct(F.array().cast("array<int>").alias("events"), F.lit(3).alias("tsNumerator"), F.when(F.col("l_partkey") % 11 != 0, 8).alias("tsDenominator")),
+    )
+    track = F.struct(i(F.col("l_partkey") % 130).alias("instrument"), bars.alias("bars"))
+    event = F.struct(i(F.col("l_partkey") * 700).alias("time"), i(F.col("l_suppkey") % 130).alias("velocity"), i(F.col("l_partkey") % 131 - 1).alias("pitch"), bad)
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", track.alias("t"), event.alias("e")))).alias("x"))
+    piece = F.struct(
+        F.transform("x", lambda r: r["t"]).alias("tracks"), F.transform("x", lambda r: r["e"]).alias("events"), i(F.col("l_orderkey") % 14).alias("resolution"), F.when(F.col("l_orderkey") % 5 != 0, 120).alias("tempo"), F.lit(-5).alias("internalSegmentLength")
+    )
+    return schemas.out_of_range(rows.select(F.col("l_orderkey").alias("piece_id"), piece.alias("piece")), "piece", schemas.PIECE, ["piece_id"])
+
+
+# --- density tables ---
+
+
+@query(""", b AS (SELECT track % 14 AS kind, track * 7 % 128 AS inst, n FROM (SELECT piece_id, track, bar, count(*) AS n FROM ev WHERE velocity > 0 GROUP BY ALL)),
+r AS (SELECT NULL::INT AS track_type, CASE WHEN kind IN (0, 1, 2, 8, 11) THEN 128 ELSE inst END::INT AS program, n FROM b UNION ALL SELECT kind, inst, n FROM b WHERE kind BETWEEN 3 AND 7 UNION ALL SELECT -1, 0, n FROM b WHERE kind <= 2),
+l AS (SELECT track_type, program, list(n ORDER BY n) AS l, count(*) AS c FROM r GROUP BY ALL),
+q AS (SELECT track_type, program, [(l[(c - 1) * i // 10 + 1] * (10 - (c - 1) * i % 10) + l[least((c - 1) * i // 10 + 2, c)] * ((c - 1) * i % 10)) // 10 FOR i IN range(1, 10)] || [1073741824] AS q FROM l),
+d AS (SELECT track_type, program, q FROM q WHERE track_type IS NULL OR track_type >= 0 UNION ALL SELECT t, p, q FROM q, (SELECT unnest(range(0, 3)) AS t), (SELECT unnest(range(0, 128)) AS p) WHERE track_type = -1)
+SELECT track_type::INT AS track_type, program::INT AS program, array_to_string(q, ',') AS quantiles, array_to_string([list_position(q, x) - 1 FOR x IN q], ',') AS first_equal FROM d""")
+def density_tables(spark, sf_dir):
+    """Deciles of onsets a bar by program, and by the device's type and program."""
+    counts = events(spark, sf_dir).where("velocity > 0").groupBy("piece_id", "track", "bar").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select((F.col("track") % 14).alias("track_type"), (F.col("track") * 7 % 128).alias("instrument"), "n")
+    return A.density_tables(rows).select("track_type", "program", _listed("quantiles"), _listed("first_equal"))

@@ -6,7 +6,7 @@ total length; every result is one grouped aggregate over (piece_id, track[, bar]
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -105,14 +105,52 @@ def density_bins(density: DataFrame, quantiles: DataFrame, keys: list[str]) -> D
     return df.withColumn("bin", F.when(F.col("quantiles").isNull(), 0).otherwise(S.density_bin(F.round("density"), F.col("quantiles")))).drop("quantiles")
 
 
+def deciles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, quantiles): the nine deciles, interpolated and truncated, and 2**30 last, of counts (keys, n, f): a number n that occurs f times.
+
+    Rows are one a number and group. A decile lies between the numbers of two ranks, which running sums of f find, so nothing is sorted but the
+    numbers, and all arithmetic is in integers.
+    """
+    by = Window.partitionBy(*keys)
+    df = counts.groupBy(*keys, "n").agg(F.sum("f").alias("f"))
+    df = df.withColumns({"_to": F.sum("f").over(by.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("f").over(by)})
+    last = F.col("_all") - 1
+    rank = lambda i: F.floor(last * i / 10)
+    ends = [F.min(F.when(F.col("_to") > F.least(rank(i) + k, last), F.col("n"))).alias(f"_{i}_{k}") for i in range(1, 10) for k in (0, 1)]
+    df = df.groupBy(*keys).agg(F.first("_all").alias("_all"), *ends)
+    part = lambda i: (F.col("_all") - 1) * i % 10
+    between = [F.floor((F.col(f"_{i}_0") * (10 - part(i)) + F.col(f"_{i}_1") * part(i)) / 10).cast("int") for i in range(1, 10)]
+    return df.select(*keys, F.array(*between, F.lit(1 << 30)).alias("quantiles"))
+
+
 def corpus_density_quantiles(bar_counts: DataFrame, keys: list[str], drums_as: Column | None = None) -> DataFrame:
-    """(keys, quantiles): nine deciles of onsets in non-empty bars, interpolated and truncated, and 2**30 last."""
+    """(keys, quantiles): deciles of onsets in non-empty bars. bar_counts: keys, n."""
     df = bar_counts.where("n > 0")
     df = df.withColumn(keys[-1], drums_as) if drums_as is not None else df
-    # counts are few numbers: one row a number and group, with its frequency
-    df = df.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_f"))
-    q = F.percentile("n", F.array(*[F.lit(i / 10) for i in range(1, 10)]), F.col("_f"))
-    return df.groupBy(*keys).agg(q.alias("q")).select(*keys, F.concat(F.transform("q", lambda x: F.floor(x).cast("int")), F.array(F.lit(1 << 30))).alias("quantiles"))
+    return deciles(df.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("f")), keys)
+
+
+#: The device's drum types, which share one distribution; the program that stands for all drums.
+DEVICE_DRUMS, DRUM_PROGRAM = (0, 1, 2), 128
+
+
+def density_tables(bar_counts: DataFrame) -> DataFrame:
+    """(track_type, program, quantiles, first_equal): both density tables of a corpus in one aggregate of bar_counts (track_type, instrument, n; drum types by S.is_drum_track).
+
+    Rows with a null track_type are by program, all drums being program 128; others are the device's, by type and program: its drum types share one distribution, which
+    stands for each program. Bars without onsets don't count; nor do, in the device's table, tracks of other types.
+    """
+    own = F.col("track_type").isin(*DEVICE_DRUMS)
+    rows = bar_counts.where("n > 0").select(
+        F.when(own, F.lit(-1)).when(S.is_opz_track(F.col("track_type")), F.col("track_type")).cast("int").alias("kind"), F.when(own, 0).otherwise(F.col("instrument")).cast("int").alias("of"),
+        F.when(S.is_drum_track(F.col("track_type")), DRUM_PROGRAM).otherwise(F.col("instrument")).cast("int").alias("program"), F.col("n").cast("long").alias("n"),
+    )
+    sets = rows.groupingSets([["program", "n"], ["kind", "of", "n"]], "kind", "of", "program", "n").agg(F.count(F.lit(1)).alias("f"), F.grouping("program").alias("device"))
+    table = deciles(sets.where("device = 0 or kind is not null"), ["device", "kind", "of", "program"])
+    kinds = F.when(F.col("device") == 0, F.array(F.lit(None).cast("int"))).when(F.col("kind") < 0, F.array(*map(F.lit, DEVICE_DRUMS))).otherwise(F.array("kind"))
+    programs = F.when(F.col("device") == 0, F.array("program")).when(F.col("kind") < 0, F.sequence(F.lit(0), F.lit(127))).otherwise(F.array("of"))
+    out = table.select("quantiles", programs.alias("programs"), F.explode(kinds).alias("track_type")).select("track_type", F.explode("programs").alias("program"), "quantiles")
+    return out.withColumn("first_equal", first_equal(F.col("quantiles")))
 
 
 def first_equal(quantiles: Column) -> Column:

@@ -93,3 +93,34 @@ def link_lifo(messages: DataFrame, keys: list[str], order: list[str], on: Column
     pair = Window.partitionBy(*keys, "_level").orderBy(*order)
     df = df.withColumns({"_to": F.lead(seq).over(pair), "_kind": F.lead("_x").over(pair)})
     return df.where("_x = 1 and _kind = -1").select(*keys, F.col(seq).alias("on_seq"), F.col("_to").alias("off_seq"))
+
+
+#: Controllers with two states.
+SWITCHES = (64, 65, 66, 67, 68, 69, 80, 81, 82, 83, 84, 85, 86, 87, 88, 89, 90, 122)
+
+
+def link_switches(messages: DataFrame, threshold: int = 64) -> DataFrame:
+    """(piece_id, smf_track, channel, controller, on_seq, off_seq, on_tick, off_tick): each switching on of a two-state controller with what switches it off.
+
+    A value of ``threshold`` or more is on. Messages that change nothing are passed over, as is off before any on; what is never switched off has no row. One
+    window by controller finds the changes, which alternate from on to off, so an on's partner is the next of them.
+    """
+    keys = ["piece_id", "smf_track", "channel", "p1"]
+    w = Window.partitionBy(*keys).orderBy("seq")
+    rows = messages.where(F.col("status").between(176, 191) & F.col("p1").isin(*SWITCHES)).withColumn("_on", F.col("p2") >= threshold)
+    changes = rows.where("_on is not null").withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_on <> _was")
+    linked = changes.withColumns({"off_seq": F.lead("seq").over(w), "off_tick": F.lead("tick").over(w)}).where("_on and off_seq is not null")
+    return linked.select("piece_id", "smf_track", "channel", F.col("p1").alias("controller"), F.col("seq").alias("on_seq"), "off_seq", F.col("tick").alias("on_tick"), "off_tick")
+
+
+def melody(notes: DataFrame) -> DataFrame:
+    """(piece_id, track, start, pitch): the line of the highest note at each onset; pitch is null where a rest begins.
+
+    A note sounds until its end or the line's next onset; a rest fills what is between them, and one stands at the end of the last note. Of several notes of
+    the highest pitch at an onset the longest counts. notes: piece_id, track, pitch, start, end.
+    """
+    top = notes.groupBy(*KEY, "start").agg(F.max(F.struct("pitch", "end")).alias("n")).select(*KEY, "start", "n.pitch", "n.end")
+    top = top.withColumn("_next", F.lead("start").over(Window.partitionBy(*KEY).orderBy("start")))
+    rest = F.when(F.col("_next").isNull() | (F.col("_next") > F.col("end")), F.struct(F.col("end").alias("start"), F.lit(None).cast("int").alias("pitch")))
+    both = F.array_compact(F.array(F.struct("start", F.col("pitch").cast("int").alias("pitch")), rest))
+    return top.select(*KEY, F.explode(both).alias("x")).select(*KEY, "x.start", "x.pitch")

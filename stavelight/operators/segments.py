@@ -63,6 +63,40 @@ def select_segments(segments: DataFrame, seed: int, max_tracks: int) -> DataFram
     return one.withColumn("tracks", F.slice(shuffled(F.col("tracks"), seed, F.col("piece_id")), 1, max_tracks))
 
 
+def draw(seed: int, *keys: Column) -> Column:
+    """A random text that any engine can make again: the MD5 of the seed and the keys."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
+
+#: Fixed value: track types below this are the device's own.
+DEVICE_TYPES = 8
+
+
+def select_segments_opz(segments: DataFrame, types: DataFrame, seed: int, min_tracks: int) -> DataFrame:
+    """(piece_id, start, tracks, problem): one segment of each piece and, of its tracks in random order, those that find a type, [{track, track_type}].
+
+    A track takes the first of its train types, in random order, that is the device's and that no track before it has taken; a track without one is left out, so
+    there is at most one of each type. Pieces without a segment, and those that are left with fewer than min_tracks, have a problem and no tracks.
+    types: piece_id, track, train_types.
+    """
+    piece, track = F.col("piece_id"), F.col("track")
+    one = segments.groupBy("piece_id").agg(F.min_by(F.struct("start", "tracks"), F.struct(draw(seed, piece, F.col("start")), "start")).alias("s")).select("piece_id", "s.*")
+    options = F.array_sort(F.transform("train_types", lambda t: F.struct(draw(seed + 1, piece, track, t).alias("r"), t.alias("t"))))
+    own = F.filter(F.transform(options, lambda x: x["t"].cast("int")), lambda t: (t >= 0) & (t < DEVICE_TYPES))
+    rows = one.select("piece_id", "start", F.explode("tracks").alias("track")).join(types, KEY)
+    order = rows.groupBy("piece_id", "start").agg(F.array_sort(F.collect_list(F.struct(draw(seed, piece, track).alias("r"), track.cast("int").alias("track"), own.alias("types")))).alias("order"))
+    none = F.array().cast("array<struct<track:int,track_type:int>>")
+
+    def take(taken: Column, x: Column) -> Column:
+        free = F.get(F.filter(x["types"], lambda t: ~F.exists(taken, lambda y: y["track_type"] == t)), 0)
+        return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(x["track"].alias("track"), free.alias("track_type")))))
+
+    chosen = order.withColumn("tracks", F.aggregate("order", none, take)).drop("order")
+    every = types.select("piece_id").distinct().join(chosen, "piece_id", "left")
+    problem = F.when(F.col("start").isNull(), "no valid segments").when(F.size("tracks") < min_tracks, "less than min tracks")
+    return every.select("piece_id", "start", F.when(problem.isNull(), F.col("tracks")).alias("tracks"), problem.alias("problem"))
+
+
 def select_transpose(extents: DataFrame, seed: int) -> DataFrame:
     """A transposition in [-6, 5] that keeps low..high within 0..127."""
     ok = F.filter(F.sequence(F.lit(-6), F.lit(5)), lambda t: (F.col("low") + t >= 0) & (F.col("high") + t <= 127))

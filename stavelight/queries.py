@@ -32,13 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Register a query, with SQL over the derived tables if it has any."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = DERIVED + sql
+            ORACLES[f.__name__] = (DERIVED.replace("WITH", "WITH RECURSIVE", 1) if recursive else DERIVED) + sql
         return f
 
     return add

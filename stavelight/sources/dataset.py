@@ -17,10 +17,20 @@ PIECE = (
 )
 
 
-def append(pieces: DataFrame, path: str) -> None:
-    """Add rows (row_id, split 0/1/2, ...) to a dataset."""
+#: Bytes of a row group: a look-up reads one. Ids of a file, by which its Bloom filter is sized.
+ROW_GROUP, IDS_A_FILE = 8 << 20, 1_000_000
+
+
+def append(pieces: DataFrame, path: str, row_group: int = ROW_GROUP) -> None:
+    """Add rows (row_id, split 0/1/2, ...) to a dataset.
+
+    Rows are dealt to files by ranges of row_id and sorted, so a file and a row group cover few ids each, and statistics exclude the others; Bloom filters exclude those that
+    lie in range. The layout is what ``lookup`` relies on: nothing else is indexed.
+    """
     m = F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv])
-    pieces.withColumn("split", m[F.col("split")]).write.mode("append").partitionBy("split").option("compression", "zstd").parquet(path)
+    options = {"compression": "zstd", "parquet.block.size": str(row_group), "parquet.bloom.filter.enabled#row_id": "true", "parquet.bloom.filter.expected.ndv#row_id": str(IDS_A_FILE)}
+    df = pieces.withColumn("split", m[F.col("split")])
+    df.repartitionByRange("split", "row_id").sortWithinPartitions("split", "row_id").write.mode("append").partitionBy("split").options(**options).parquet(path)
 
 
 def read(spark: SparkSession, path: str, split: str, row_id: int | None = None) -> DataFrame:
@@ -28,6 +38,11 @@ def read(spark: SparkSession, path: str, split: str, row_id: int | None = None)
     return df if row_id is None else df.where(F.col("row_id") == row_id)
 
 
+def lookup(spark: SparkSession, path: str, split: str, row_ids: list[int]) -> DataFrame:
+    """Rows of a short list of ids: one partition's files are listed, and of them the row groups whose statistics and Bloom filters admit an id are read."""
+    return spark.read.parquet(path).where((F.col("split") == split) & F.col("row_id").isin(*row_ids))
+
+
 def sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("split").count()
 

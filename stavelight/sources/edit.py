@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import bars as B
+from ..operators import notes as N
+from ..operators.segments import draw
 from . import smf
 
 MESSAGE = "struct<tick:bigint,status:int,channel:int,p1:int,p2:int,meta_type:int,meta:binary>"
@@ -96,14 +99,68 @@ def add(messages: DataFrame, rows: DataFrame) -> DataFrame:
     return messages.select(*new.columns).unionByName(new)
 
 
-def order(messages: DataFrame) -> DataFrame:
-    """seq anew by track and tick: at one tick meta messages first, but for the end of track, then controls, note-offs, note-ons."""
-    off = (F.floor(F.col("status") / 16) == 8) | ((F.floor(F.col("status") / 16) == 9) & (F.col("p2") == 0))
-    rank = F.when((F.col("status") == 255) & (F.col("meta_type") == 47), 9).when(F.col("status") >= 240, 0).when(off, 2).when(F.floor(F.col("status") / 16) == 9, 3).otherwise(1)
-    w = Window.partitionBy("piece_id").orderBy("smf_track", "tick", rank, "seq")
+def order(messages: DataFrame, keep: bool = True) -> DataFrame:
+    """seq anew by track and tick: at one tick meta messages first, but for the end of track, then controls, note-offs, note-ons.
+
+    keep: messages that this leaves equal stay in their order. Without it, as for messages that never had one, controllers stand by number and value first.
+    """
+    kind = F.floor(F.col("status") / 16)
+    off = (kind == 8) | ((kind == 9) & (F.col("p2") == 0))
+    rank = F.when((F.col("status") == 255) & (F.col("meta_type") == 47), 9).when(F.col("status") == 255, 0).when(off, 2).when(kind == 9, 3).otherwise(1)
+    number = [] if keep else [F.when(kind == 11, F.col("p1")), F.when(kind == 11, F.col("p2"))]
+    w = Window.partitionBy("piece_id").orderBy("smf_track", "tick", rank, *number, "seq")
     return messages.withColumn("seq", F.row_number().over(w) - 1)
 
 
+def excerpt(messages: DataFrame, start: float, end: float) -> DataFrame:
+    """Messages of the seconds [start, end) of each file, moved to tick 0, behind the state in force there: the tempo, and by track and channel the program and the
+    last value of each controller. Note-offs of notes from before go; notes that still sound at the end are ended there, as the slice's other notes are.
+
+    Seconds become ticks, rounded, by the file's own tempo map; files that end before ``start`` have their state only. Error rows go.
+    """
+    good = messages.where("error is null")
+    files = good.groupBy("piece_id").agg(F.first("tpq").alias("tpq"))
+    tempo = B.tempo_map(smf.tempos(good), files)
+
+    def at(seconds: float, name: str) -> DataFrame:
+        last = tempo.where(F.col("seconds") <= seconds).groupBy("piece_id").agg(F.max_by(F.struct("tick", "seconds", "per_tick"), "tick").alias("t"))
+        return last.select("piece_id", F.round(F.col("t.tick") + (seconds - F.col("t.seconds")) / F.col("t.per_tick")).cast("long").alias(name))
+
+    rows = good.join(at(start, "_from"), "piece_id").join(at(end, "_till"), "piece_id")
+    kind = F.floor(F.col("status") / 16)
+    names = ["piece_id", "tpq", "smf_track", "status", "channel", "p1", "p2", "meta_type", "meta"]
+    state = F.when((F.col("status") == 255) & (F.col("meta_type") == 81), F.lit("tempo")).when(kind == 12, F.concat_ws(":", F.lit("program"), "smf_track", "channel")).when(kind == 11, F.concat_ws(":", F.lit("controller"), "smf_track", "channel", "p1"))
+    before = rows.where("tick < _from").withColumn("_state", state).where("_state is not null")
+    last = Window.partitionBy("piece_id", "_state").orderBy(F.desc("tick"), F.desc("seq"))
+    before = before.withColumn("_r", F.row_number().over(last)).where("_r = 1").select(*names, F.lit(0).cast("long").alias("tick"), F.lit(0).alias("_part"), "seq")
+    inside = rows.where("tick >= _from and tick < _till and not (status = 255 and meta_type = 47)").withColumn("tick", F.col("tick") - F.col("_from"))
+    on, off = smf.S.note_on(F.col("status"), F.col("p2")), smf.S.note_off(F.col("status"), F.col("p2"))
+    keys = ["piece_id", "smf_track", "channel", "p1"]
+    pairs = N.link_lifo(inside.where(on | off), keys, ["tick", "seq"], on, off)
+    ends = pairs.select("piece_id", F.explode(F.array("on_seq", "off_seq")).alias("seq"), F.lit(True).alias("_paired"))
+    inside = inside.join(ends, ["piece_id", "seq"], "left")
+    # notes end by 0x80, or by 0x90 without velocity where the slice has more of those
+    style = inside.groupBy("piece_id").agg((F.sum(F.when(off & (kind == 9), 1).otherwise(0)) > F.sum(F.when(off & (kind == 8), 1).otherwise(0))).alias("_nine"))
+    open_ = inside.where(on & F.col("_paired").isNull()).join(style, "piece_id")
+    closed = open_.withColumns({"status": F.col("channel") + F.when(F.col("_nine"), 144).otherwise(128), "p2": F.when(F.col("_nine"), 0).otherwise(64), "tick": F.col("_till") - F.col("_from")})
+    kept = inside.where(~off | F.col("_paired")).select(*names, "tick", F.lit(1).alias("_part"), "seq")
+    out = before.unionByName(kept).unionByName(closed.select(*names, "tick", F.lit(2).alias("_part"), "seq"))
+    w = Window.partitionBy("piece_id").orderBy("smf_track", "tick", "_part", "seq")
+    return out.withColumns({"seq": F.row_number().over(w) - 1, "error": F.lit(None).cast("string")}).select(*messages.columns)
+
+
+def mixup(notes: DataFrame, seed: int | None = None, keys: tuple[str, ...] = ("piece_id",), order: tuple[str, ...] = ("track", "start", "pitch")) -> DataFrame:
+    """notes with their pitches exchanged within each group: at random, or without a seed in reverse order; a group keeps its pitches, each as often.
+
+    Two rankings of a group meet by an equality join, the notes' own and that of the pitches to be given out.
+    """
+    own = Window.partitionBy(*keys).orderBy(*order)
+    rows = notes.withColumn("_place", F.row_number().over(own))
+    dealt = [F.desc("_place")] if seed is None else [draw(seed, *[F.col(k) for k in keys], F.col("_place")), F.col("_place")]
+    given = rows.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(*dealt)).alias("_place"), F.col("pitch").alias("_pitch"))
+    return rows.join(given, [*keys, "_place"]).withColumn("pitch", F.col("_pitch")).drop("_place", "_pitch").select(*notes.columns)
+
+
 def without_empty(messages: DataFrame) -> DataFrame:
     """Messages that have any byte."""
     return messages.where("status is not null")
