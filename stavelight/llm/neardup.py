@@ -2,14 +2,14 @@
 
 1. Exact copies collapse to one node, the MD5 of the text.
 2. Sketch: 5-word shingles carry their occurrence number; for each of ``VECTORS`` hash functions the ``ELL`` smallest are kept in text
-   order. Two texts meet in a bucket where such a vector is equal: with similarity s that has probability about s ** ELL each time, and needs the
-   same order, so it follows edit similarity.
+   order. Two texts meet in a bucket where such a vector is equal: if they share s of their shingles that has probability about s ** ELL each time, and
+   needs the same order, so it follows edit similarity. Of texts with one word in ten replaced s is about 0.42.
 3. Each text is compared at home first, in the largest of its buckets: with the bucket's leader, the member that meets most others anywhere, and
    with all others of its block of about ``BLOCK`` bytes. So a group of n copies becomes one component at a cost in proportion to n.
 4. Buckets whose members still lie in several components are compared whole: every pair of members of different components, a block against a
-   block, but for pairs whose numbers of shingles rule similarity out. So each similar pair that shares a bucket is compared or already connected.
-5. Candidates are verified on whole texts: 5-word shingle similarity (Jaccard) and word edit similarity by banded alignment must both reach
-   ``THRESHOLD``.
+   block, but for pairs whose lengths rule similarity out. So each similar pair that shares a bucket is compared or already connected.
+5. Banded alignment of whole texts decides: word edit similarity of at least ``THRESHOLD``. Within a block an index of each text's rarest words finds the
+   pairs that can reach it, so memory follows the texts and not their pairs.
 6. Connected components by minimum labels with pointer jumping, all as joins; each round is a table in the shared folder, which goes when the next
    one is written.
 """
@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 from .common import ALNUM, CHUNK, GRAM_BASE, Words, chunks, grams, kept, mix, packed, released, unpacked, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-VECTORS, ELL = 16, 3
-#: Bytes of texts of a block, about; results don't depend on it.
-BLOCK = 1_000_000
-#: Texts whose numbers of shingles lie further apart than one power of this can't reach 0.8; a bit over 1 / 0.8, so that rounding does no harm.
+VECTORS, ELL = 16, 2
+#: Bytes of texts of a block, about, and its members at most; results don't depend on them.
+BLOCK, MEMBERS = 1_000_000, 2000
+#: Texts whose numbers of words lie further apart than one power of this can't reach 0.8; a bit over 1 / 0.8, so that rounding does no harm.
 BAND = 1.2501
 #: Texts of more shingles than the first have vectors of ELL, those of at most the second have vectors of one.
 SHORT = (10, 16)
@@ -41,16 +41,21 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return grams(h, min(n, len(h))) if len(h) else h
 
 
-def order_min_hash(g: np.ndarray, vectors: int = VECTORS, ell: int = ELL) -> np.ndarray:
-    """One number for each vector: the ell smallest occurrence-labelled shingles in text order, hashed."""
-    if not len(g):
-        return np.zeros(0, np.uint64)
+def occurrences(g: np.ndarray) -> np.ndarray:
+    """Items labelled by how often they stood before, so that they are a set."""
     order = np.argsort(g, kind="stable")
     s = g[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(g) else np.zeros(0, np.int64)
     occurrence = np.empty(len(g), np.uint64)
     occurrence[order] = (np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))).astype(np.uint64)
-    x = mix(g + occurrence * np.uint64(0x9FB21C651E98DF25))
+    return mix(g + occurrence * np.uint64(0x9FB21C651E98DF25))
+
+
+def order_min_hash(g: np.ndarray, vectors: int = VECTORS, ell: int = ELL) -> np.ndarray:
+    """One number for each vector: the ell smallest occurrence-labelled shingles in text order, hashed."""
+    if not len(g):
+        return np.zeros(0, np.uint64)
+    x = occurrences(g)
     ell = min(ell, len(x))  # a text of fewer shingles has them all
     out = np.empty(vectors, np.uint64)
     step = max(1, 1_000_000 // len(x))
@@ -67,55 +72,52 @@ def order_min_hash(g: np.ndarray, vectors: int = VECTORS, ell: int = ELL) -> np.
 
 
 def edit_distance(a: list, b: list, most: int) -> int | None:
-    """Insertions, deletions and replacements from a to b inside the band of ``most`` diagonals; None if there are more.
+    """Insertions, deletions and replacements from a to b inside the band of ``most`` diagonals on either side; None if there are more.
 
-    Furthest reach by diagonal: time grows with the length plus the square of the distance.
+    A column of the band is two numbers of 2 * most + 1 bits, which say where distances rise and fall from row to row; the next column follows from them and
+    the places of its item by a few operations on whole numbers, so time is the length times the band's width over the bits of a machine word.
     """
+    if len(a) < len(b):
+        a, b = b, a
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    if n - m > most:
         return None
-    lo = 0
-    while lo < n and lo < m and a[lo] == b[lo]:
-        lo += 1
-    while n > lo and m > lo and a[n - 1] == b[m - 1]:
-        n, m = n - 1, m - 1
-    a, b = a[lo:n], b[lo:m]
-    n, m = len(a), len(b)
-    if not n or not m:
-        return max(n, m) if max(n, m) <= most else None
-    reach = {0: 0}  # by diagonal j - i: how far in a
-    i = 0
-    while i < n and i < m and a[i] == b[i]:
-        i += 1
-    reach[0] = i
-    for d in range(most + 1):
-        if reach.get(m - n, -1) >= n:
-            return d
-        new = {}
-        for k in range(max(-d - 1, -n, -most), min(d + 1, m, most) + 1):
-            i = max(reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -2))
-            if i < 0:
-                continue
-            i = min(i, n, m - k)
-            while i < n and i + k < m and a[i] == b[i + k]:
-                i += 1
-            new[k] = i
-        reach = new
-    return None
-
-
-def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> bool:
-    """Whether two texts, as word hashes, are near duplicates."""
-    if not len(a) or not len(b):
-        return False
-    x, y = np.unique(shingles(a, shingle)), np.unique(shingles(b, shingle))
-    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < threshold * (len(x) + len(y) - both):
-        return False
-    most = int(np.floor((1 - threshold) * max(len(a), len(b)) + 1e-9))
-    return edit_distance(a.tolist(), b.tolist(), most) is not None
+    if not m or not most:
+        return n if not m else 0 if a == b else None
+    most = min(most, n)
+    place: dict = {}
+    for i, x in enumerate(a):
+        place[x] = place.get(x, 0) | 1 << i
+    width = 2 * most + 1
+    full, top = (1 << width) - 1, 1 << width - 1
+    up, down = full ^ ((1 << most) - 1), 0  # in column 0 distances rise by one from row to row
+    distance, last = most, 1 << width - 2  # of the band's lowest row, which ends at row n
+    worst = most + m - (n - most)
+    for j, x in enumerate(b):
+        match = ((place.get(x, 0) << most) >> j) & full
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        rise = down | (full ^ (diagonal | up))
+        fall = diagonal & up
+        if j < n - most:
+            distance += not diagonal & top
+        else:
+            distance += bool(rise & last) - bool(fall & last)
+            last >>= 1
+        if distance > worst:
+            return None
+        up = fall | (full ^ ((diagonal >> 1) | rise))
+        down = (diagonal >> 1) & rise
+    return distance if distance <= most else None
+
+
+def allowed(n: int, threshold: float) -> int:
+    """Edits between texts of at most n words."""
+    return int(np.floor((1 - threshold) * n + 1e-9))
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether two texts, as word hashes, are near duplicates: edit similarity of their words."""
+    return bool(len(a) and len(b)) and edit_distance(a.tolist(), b.tolist(), allowed(max(len(a), len(b)), threshold)) is not None
 
 
 def bucket_keys(g: np.ndarray, vectors: int = VECTORS, ell: int = ELL) -> list[int]:
@@ -125,59 +127,58 @@ def bucket_keys(g: np.ndarray, vectors: int = VECTORS, ell: int = ELL) -> list[i
 
 
 def sketches(docs: DataFrame, text: str, doc_id: str, vectors: int, ell: int) -> DataFrame:
-    """(_id, node, keys, grams, size): keys of the buckets a text belongs to, none for texts without words; its distinct shingles and bytes."""
-    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("grams", T.LongType()), T.StructField("size", T.LongType())])
+    """(_id, node, keys, words, size): keys of the buckets a text belongs to, none for texts without words; its words and bytes."""
+    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("words", T.LongType()), T.StructField("size", T.LongType())])
 
     def run(batches):
         for b in batches:
             sizes = pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist()
             for lo, hi in chunks(sizes):
-                w, keys, unlike = Words([x or b"" for x in b.column(2)[lo:hi].to_pylist()], ALNUM), [], []
+                w, keys = Words([x or b"" for x in b.column(2)[lo:hi].to_pylist()], ALNUM), []
                 for d in range(hi - lo):
-                    g = shingles(w.hash[w.first[d] : w.first[d + 1]])
-                    keys.append(bucket_keys(g, vectors, ell))
-                    unlike.append(len(np.unique(g)))
+                    keys.append(bucket_keys(shingles(w.hash[w.first[d] : w.first[d + 1]]), vectors, ell))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(keys, pa.list_(pa.int64())), pa.array(unlike, pa.int64()), pa.array(sizes[lo:hi], pa.int64())], names=schema.names
+                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(keys, pa.list_(pa.int64())), pa.array(np.diff(w.first), pa.int64()), pa.array(sizes[lo:hi], pa.int64())], names=schema.names
                 )
 
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))).alias("node"), F.col(text).cast("binary").alias("_raw")).mapInArrow(run, schema)
 
 
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """How many members each two sets have in common."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(x) for x in sets])
-    _, col, size = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, col = owner[size[col] > 1], col[size[col] > 1]
-    order = np.argsort(col, kind="stable")
-    owner, col = owner[order], np.unique(col[order], return_inverse=True)[1]
-    out, width = np.zeros((n, n), np.float32), max(64, 2_000_000 // n)
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        i, j = np.searchsorted(col, [lo, lo + width])
-        m = np.zeros((n, min(width, int(col[-1]) + 1 - lo)), np.float32)
-        m[owner[i:j], col[i:j] - lo] = 1
-        out += m @ m.T
-    return out
-
+def connecting(words: list[np.ndarray], labels: list, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Similar pairs (i, j) of a group of texts that connect all of its components that similar pairs connect.
 
-def connecting(words: list[np.ndarray], sets: list[np.ndarray], labels: list, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Similar pairs (i, j) of a group of texts that connect all of its components that similar pairs connect."""
+    Texts of at most n words that k edits separate share n - k words, counting repeats. With words in order of their frequency in the group, two such texts share
+    one of the first n - (n - k) + 1 of either: only those are indexed. What shares one is tested by length, by its words, and by alignment.
+    """
     to = {x: x for x in labels}
 
     def find(x):
         while to[x] != x:
+            to[x] = to[to[x]]
             x = to[x]
         return x
 
-    size, out = np.array([len(x) for x in sets]), []
-    both = common(sets)
-    # half a shingle less, as similar() decides
-    for i, j in np.argwhere(np.triu(both + 0.5 >= threshold * (size[:, None] + size[None, :] - both), 1)):
-        x, y = find(labels[i]), find(labels[j])
-        if x != y and similar(words[i], words[j], threshold):
-            to[x] = y
-            out.append((int(i), int(j)))
+    size = [len(w) for w in words]
+    _, rank, count = np.unique(np.concatenate([occurrences(w) for w in words]), return_inverse=True, return_counts=True)
+    place = np.empty(len(count), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    sets = [np.sort(x) for x in np.split(place[rank], np.cumsum(size)[:-1])]
+    index: dict[int, list[int]] = {}
+    out = []
+    for i in sorted(range(len(words)), key=lambda i: size[i]):
+        if not size[i]:
+            continue
+        first = sets[i][: allowed(size[i], threshold) + 1].tolist()
+        most = allowed(size[i], threshold)
+        own = find(labels[i])
+        for j in sorted({j for k in first for j in index.get(k, ())}):
+            other = find(labels[j])
+            # i is the longer one
+            if other != own and size[i] - size[j] <= most and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= size[i] - most and similar(words[i], words[j], threshold):
+                to[other] = own
+                out.append((i, j))
+        for k in first:
+            index.setdefault(k, []).append(i)
     return out
 
 
@@ -189,12 +190,11 @@ def _connected(rows: list[tuple], threshold: float) -> pa.RecordBatch:
         w = Words(blobs[lo:hi], ALNUM)
         words += [w.hash[w.first[d] : w.first[d + 1]] for d in range(hi - lo)]
     words = dict(zip(texts, words, strict=True))
-    sets = {k: np.unique(shingles(w)) for k, w in words.items()}
     pairs, lo = [], 0
     for hi in range(1, len(rows) + 1):
         if hi == len(rows) or rows[hi][0] != rows[lo][0]:
             nodes = [r[1] for r in rows[lo:hi]]
-            pairs += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in connecting([words[x] for x in nodes], [sets[x] for x in nodes], [r[2] for r in rows[lo:hi]], threshold)]
+            pairs += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in connecting([words[x] for x in nodes], [r[2] for r in rows[lo:hi]], threshold)]
             lo = hi
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
@@ -218,6 +218,11 @@ def _compared(work: DataFrame, threshold: float) -> DataFrame:
     return work.select("group", "node", "label", "size", "_z").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a binary, b binary")
 
 
+def _parts(size, n, block: int):
+    """Blocks of so many bytes and members."""
+    return F.greatest(F.ceil(size / block), F.ceil(n / MEMBERS))
+
+
 def _at_home(buckets: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
     """Similar pairs (a, b) of texts at home in one bucket: each block of members is compared whole, together with the bucket's leader.
 
@@ -225,7 +230,7 @@ def _at_home(buckets: DataFrame, texts: DataFrame, threshold: float, block: int)
     """
     # a node has a few buckets only, so this group is narrow
     home = buckets.groupBy("node").agg(F.max(F.struct("n", "key")).alias("h"), F.sum("n").alias("meets"), F.first("size").alias("size")).select("node", "h.key", "meets", "size")
-    groups = home.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.sum("size") / block).alias("parts"), F.max_by("node", F.struct("meets", "node")).alias("lead")).where("c > 1")
+    groups = home.groupBy("key").agg(F.count(F.lit(1)).alias("c"), _parts(F.sum("size"), F.count(F.lit(1)), block).alias("parts"), F.max_by("node", F.struct("meets", "node")).alias("lead")).where("c > 1")
     rows = home.join(groups, "key").where("node <> lead").select("key", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     leads = groups.select("key", F.col("lead").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     work = rows.unionByName(leads).select(F.xxhash64("key", "part").alias("group"), "node", F.col("node").alias("label"))
@@ -241,9 +246,9 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold:
     whole = whole.where("labels > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     # large labels have blocks of their own, which needn't be compared with each other; small ones share blocks
     mixed = F.lit(b"")
-    parts = parts.join(whole, "key").select("key", "label", F.when(F.col("bytes") >= block, F.col("label")).otherwise(mixed).alias("of"))
+    parts = parts.join(whole, "key").select("key", "label", F.when((F.col("bytes") >= block) | (F.col("m") >= MEMBERS), F.col("label")).otherwise(mixed).alias("of"))
     open_ = written(rows.join(parts, ["key", "label"]).select("key", "node", "label", "of", "band", "size"))
-    blocks = open_.groupBy("key", "of", "band").agg(F.ceil(F.sum("size") / block).alias("blocks"))
+    blocks = open_.groupBy("key", "of", "band").agg(_parts(F.sum("size"), F.count(F.lit(1)), block).alias("blocks"))
     salt = F.xxhash64(F.when(F.col("of") == mixed, F.col("label")).otherwise(F.col("node")))
     members = written(open_.join(blocks, ["key", "of", "band"]).select("key", "node", "label", F.struct("of", "band", F.pmod(salt, "blocks").alias("part")).alias("block")))
     blocks = members.select("key", "block").distinct()
@@ -290,16 +295,16 @@ def near_duplicates(
     """(doc_id, class_id, links, text_md5, label): one row per row of docs. label names the class, null without words. class_id is the smallest id of the class, links the number of distinct other texts
     verified as similar to this one by the comparisons made (a class is connected by them).
 
-    Words are lower-cased runs of letters and digits. Texts are linked if both their 5-word shingle similarity and their word edit similarity are at least
+    Words are lower-cased runs of letters and digits. Texts are linked if the edit similarity of their words, 1 less edits over the longer one's words, is at least
     ``threshold``; texts of fewer than five words have all their words as one shingle. Classes are the connected components over exact
     copies and links. Null texts and texts without words belong to no class: class_id is their own id, links 0. Null ids join classes but
     name none unless alone, so unlike texts of one id, or without any, have equal class_ids, but not labels. Repeated rows are exact copies. Texts of any length are read whole. An empty table gives an empty one; other columns are ignored.
-    A pair of similarity s shares no bucket, and is missed unless others connect it, with probability about (1 - s ** ell) ** vectors: 1e-5 at 0.8
-    for texts of the same order. Pairs that share a bucket are never missed, whatever its size.
+    Two texts that share s of their shingles meet in no bucket, and are missed unless others connect them, with probability about (1 - s ** ell) ** vectors: 5 % if one word in ten
+    is replaced, 1e-4 for one in twenty, for texts of the same order. Pairs that share a bucket are never missed, whatever its size.
     """
     rows = written(sketches(docs, text, doc_id, vectors, ell))
-    nodes = rows.where(F.size("keys") > 0).groupBy("node").agg(F.min("_id").alias("rep"), F.first("keys").alias("keys"), F.first("grams").alias("grams"), F.first("size").alias("size"))
-    spread = nodes.select("node", "size", F.floor(F.log(BAND, "grams")).cast("int").alias("band"), F.explode("keys").alias("key"))
+    nodes = rows.where(F.size("keys") > 0).groupBy("node").agg(F.min("_id").alias("rep"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.first("size").alias("size"))
+    spread = nodes.select("node", "size", F.floor(F.log(BAND, "words")).cast("int").alias("band"), F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(spread.join(shared, "key").select("key", "node", "n", "size", "band"))
     involved = buckets.select("node").distinct()
