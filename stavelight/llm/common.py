@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 MASK = (1 << 64) - 1
 #: Odd multipliers of the polynomial hashes over bytes and over words.
 BYTE_BASE, GRAM_BASE, GRAM_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -18,10 +19,8 @@ CHUNK = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is configured (tests), take a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    """Use the cluster's shared folder; only a local session where none is named, as in tests, gets a temporary one."""
+    shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,13 +47,11 @@ def kept(table: DataFrame, view: DataFrame) -> DataFrame:
 
 
 def released(*tables: DataFrame) -> None:
-    """Delete written tables; shuffle files of the steps that made them go with the next collection of the driver's memory."""
+    """Delete written tables."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
