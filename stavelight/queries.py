@@ -763,4 +763,4 @@ def onsets_by_day(spark, sf_dir):
     return streaming.onset_counts(e, window="1 day").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "piece_id", "onsets")
 
 
-from . import more_queries  # noqa: E402, F401
+from . import more_queries, token_queries  # noqa: E402, F401
