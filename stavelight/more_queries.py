@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import scalars as S
+from .operators import bars as B
 from .operators import features as A
 from .operators import notes as N
+from .operators import pieces as P
+from .operators import rolls as R
 from .operators import schemas
 from .operators import segments as G
-from .queries import _FILES, _HAS, _files, _listed, all_bars, events, notes, query, table, track_table
+from .queries import _ACTIVE, _FILES, _HAS, _files, _listed, _r, all_bars, bar_notes, events, lengths, notes, query, table, track_table
 from .session import shared_folder
-from .sources import edit, midi, smf
+from .sources import dataset, edit, midi, smf
 from .streaming import notes as streamed
 
 
@@ -182,3 +186,118 @@ def density_tables(spark, sf_dir):
     counts = events(spark, sf_dir).where("velocity > 0").groupBy("piece_id", "track", "bar").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.select((F.col("track") % 14).alias("track_type"), (F.col("track") * 7 % 128).alias("instrument"), "n")
     return A.density_tables(rows).select("track_type", "program", _listed("quantiles"), _listed("first_equal"))
+
+
+# --- file tools ---
+
+
+def _decoded(spark, sf_dir):
+    return smf.decode(_files(spark, sf_dir), "piece_id")
+
+
+@query(_FILES + """ SELECT piece_id, "start"::BIGINT AS tick, ("end" - "start")::BIGINT AS duration, smf_track, pitch AS key FROM fl""")
+def file_note_durations(spark, sf_dir):
+    return smf.durations(_decoded(spark, sf_dir))
+
+
+@query(_FILES + """ SELECT piece_id, max("end")::BIGINT AS max_tick, round(max("end") / 12, 6)::DOUBLE AS quarters, round(max("end") / 24, 6)::DOUBLE AS seconds FROM fl GROUP BY piece_id""")
+def file_durations(spark, sf_dir):
+    """At 120 quarters of 12 ticks a minute."""
+    return smf.file_duration(_decoded(spark, sf_dir)).select("piece_id", "max_tick", _r(F.col("quarters")).alias("quarters"), _r(F.col("seconds")).alias("seconds"))
+
+
+@query(_FILES + """ SELECT piece_id, smf_track, pitch AS key, "start"::BIGINT AS tick, round("start" / 24, 6)::DOUBLE AS seconds FROM fl""")
+def file_onset_seconds(spark, sf_dir):
+    m = smf.with_seconds(_decoded(spark, sf_dir)).where("status between 144 and 159 and p2 > 0")
+    return m.select("piece_id", "smf_track", F.col("p1").alias("key"), "tick", _r(F.col("seconds")).alias("seconds"))
+
+
+@query(_FILES + """ SELECT piece_id, smf_track, pitch AS key, "start"::BIGINT * 40 AS finer, floor("start" * 5 / 12::DOUBLE + 0.5)::BIGINT AS coarser, floor("start" * 1.3::DOUBLE + 0.5)::BIGINT AS slower FROM fl""")
+def scaled_ticks(spark, sf_dir):
+    """Onsets at 480 and at 5 ticks a quarter, and stretched."""
+    m = _decoded(spark, sf_dir).where("status between 144 and 159 and p2 > 0")
+    own = ["piece_id", "smf_track", "seq"]
+    tick = lambda df, name: df.select(*own, F.col("tick").cast("long").alias(name))
+    df = m.select(*own, F.col("p1").alias("key")).join(tick(smf.retick(m, 480), "finer"), own).join(tick(smf.retick(m, 5), "coarser"), own).join(tick(smf.stretch(m, 1.3), "slower"), own)
+    return df.drop("seq")
+
+
+@query(_FILES + """, m AS (SELECT piece_id, smf_track, "start" AS tick, 1 AS part, 1 AS up, pitch AS p1, velocity AS p2 FROM fl UNION ALL SELECT piece_id, smf_track, "end", 1, 0, pitch, 0 FROM fl
+UNION ALL SELECT DISTINCT piece_id, smf_track, 0, 0, 0, 0, 0 FROM fl UNION ALL SELECT piece_id, smf_track, max("end"), 2, 0, NULL, NULL FROM fl GROUP BY piece_id, smf_track UNION ALL SELECT DISTINCT piece_id, 0, 0, 0, 0, NULL, NULL FROM fl UNION ALL SELECT DISTINCT piece_id, 0, 0, 2, 0, NULL, NULL FROM fl)
+SELECT piece_id, (row_number() OVER (PARTITION BY piece_id ORDER BY tick, smf_track, part, up, p1, p2) - 1)::INT AS seq, smf_track AS split_track, tick::BIGINT AS tick, p1::INT AS p1, p2::INT AS p2 FROM m""")
+def joined_tracks(spark, sf_dir):
+    """All messages of a file in one track, in order of ticks."""
+    return smf.join_tracks(_decoded(spark, sf_dir)).select("piece_id", "seq", "split_track", "tick", "p1", "p2")
+
+
+@query(""" SELECT conv_id || '.mid' AS piece_id, (turn * 48)::BIGINT AS tick, text FROM conversations WHERE text IS NOT NULL""")
+def file_lyrics(spark, sf_dir):
+    """Conversations as files of lyrics, a turn a message of its whole text, written and read back."""
+    midi.register(spark)
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    m = c.select(F.col("conv_id").cast("string").alias("piece_id"), F.lit(0).alias("smf_track"), edit.text(F.col("turn") * 48, F.col("text"), "lyric").alias("m"), F.col("turn").alias("seq"))
+    path = fresh(spark, "lyrics")
+    midi.save(m.select("piece_id", F.lit(480).alias("tpq"), "smf_track", "seq", "m.*"), path)
+    return smf.lyrics(spark.read.format("midi").load(path))
+
+
+@query(_FILES + """, m AS (SELECT piece_id, max("end") // 48 + 1 AS total FROM fl GROUP BY piece_id), v AS (SELECT piece_id, 3 % greatest(total - 4, 1) * 48 AS lo, least(3 % greatest(total - 4, 1) + 4, total) * 48 AS hi FROM m),
+c AS (SELECT DISTINCT fl.piece_id, unnest(range(greatest("start", lo), least("end", hi))) - lo AS step, pitch FROM fl JOIN v USING (piece_id) WHERE "start" < hi AND "end" > lo) SELECT piece_id, step::INT AS step, pitch FROM c""")
+def file_rolls(spark, sf_dir):
+    """Cells of four bars of each file, from the fourth."""
+    return R.roll_of_file(_decoded(spark, sf_dir), 12, 4, 3).where("problem is null").drop("problem")
+
+
+# --- features, bars, JSON ---
+
+
+@query(_ACTIVE + """, d AS (SELECT piece_id, track, array_to_string(list(active ORDER BY step), ',') AS polyphony_distribution FROM a GROUP BY ALL),
+l AS (SELECT piece_id, track, "end" - "start" AS n, floor(greatest(0.0, least(5.0, log2(greatest(("end" - "start") / 3, 1e-6)) + 1)))::INT AS v FROM nt), b AS (SELECT *, row_number() OVER (PARTITION BY piece_id, track ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY piece_id, track) AS c FROM l),
+e AS (SELECT piece_id, track, max(CASE WHEN i = least(round(c * 0.15::DOUBLE), c - 1) THEN v END) AS lo, max(CASE WHEN i = least(round(c * 0.85::DOUBLE), c - 1) THEN v END) AS hi, min(v) AS least_, max(v) AS most FROM b GROUP BY piece_id, track)
+SELECT ln.piece_id, ln.track, (greatest(least(coalesce(q1, 0), 10), 1) - 1)::INT AS min_polyphony_q_bin, (greatest(least(coalesce(q2, 0), 10), 1) - 1)::INT AS max_polyphony_q_bin, (greatest(least(coalesce(mn, 0), 10), 1) - 1)::INT AS min_polyphony_hard, (greatest(least(coalesce(mx, 0), 10), 1) - 1)::INT AS max_polyphony_hard,
+lo AS min_duration_q, hi AS max_duration_q, least_ AS min_duration_hard, most AS max_duration_hard, round((max_tick - coalesce(n, 0)) / greatest(max_tick, 1), 6)::DOUBLE AS rest_percentage, coalesce(polyphony_distribution, '') AS polyphony_distribution
+FROM ln LEFT JOIN f USING (piece_id, track) LEFT JOIN d USING (piece_id, track) LEFT JOIN e USING (piece_id, track)""")
+def all_track_features(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    f = A.track_features(n, lengths(n)).join(A.polyphony_distribution(n, lengths(n)), ["piece_id", "track"], "left")
+    told = F.coalesce(F.array_join(F.transform("polyphony_distribution", lambda x: x.cast("string")), ","), F.lit(""))
+    names = ["min_polyphony_q_bin", "max_polyphony_q_bin", "min_polyphony_hard", "max_polyphony_hard", "min_duration_q", "max_duration_q", "min_duration_hard", "max_duration_hard"]
+    return f.select("piece_id", "track", *names, _r(F.col("rest_percentage")).alias("rest_percentage"), told.alias("polyphony_distribution"))
+
+
+@query(""", a AS (SELECT DISTINCT piece_id, bar, CASE WHEN (piece_id + bar) % 3 = 0 THEN 3.0 ELSE 4.0 END::DOUBLE AS "left" FROM bn WHERE track < 4), b AS (SELECT DISTINCT piece_id, bar, CASE WHEN bar % 2 = 0 THEN 3.0 ELSE 4.0 END::DOUBLE AS "right" FROM bn WHERE track >= 4)
+SELECT piece_id, bar, "left", "right" FROM a JOIN b USING (piece_id, bar) WHERE "right" <> "left" """)
+def unlike_bars(spark, sf_dir):
+    """Bars of two pieces that can't be put side by side."""
+    b = bar_notes(spark, sf_dir).select("piece_id", "track", "bar").distinct()
+    length = lambda three: F.when(three, 3.0).otherwise(4.0).cast("double")
+    return P.unlike_bars(b.where("track < 4").withColumn("beat_length", length((F.col("piece_id") + F.col("bar")) % 3 == 0)), b.where("track >= 4").withColumn("beat_length", length(F.col("bar") % 2 == 0)))
+
+
+@query(""" SELECT piece_id, track, bar, (row_number() OVER (PARTITION BY piece_id, track, bar ORDER BY time, pitch, seq) - 1)::INT AS pos, time, duration AS velocity, pitch FROM bn""")
+def events_of_json(spark, sf_dir):
+    """Events written into nested JSON pieces and followed back from their bars."""
+    n = bar_notes(spark, sf_dir)
+    w = Window.partitionBy("piece_id", "track", "bar").orderBy("time", "pitch", "seq")
+    ev = n.select("piece_id", "track", "bar", (F.row_number().over(w) - 1).alias("pos"), "time", F.col("duration").alias("velocity"), "pitch")
+    tracks = n.select("piece_id", "track").distinct().select("piece_id", (F.col("track") - 1).alias("track"), F.lit(3).alias("instrument"), F.lit(10).alias("track_type"))
+    ev = ev.withColumn("track", F.col("track") - 1)
+    every = tracks.select("piece_id", "track", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bar")).withColumns({"ts_num": F.lit(4), "ts_den": F.lit(4)})
+    back = dataset.piece_events(dataset.parse_pieces(dataset.to_pieces(tracks, every, ev)))
+    # tracks are numbered by place in JSON
+    place = tracks.select("piece_id", F.col("track").alias("_t"), (F.row_number().over(Window.partitionBy("piece_id").orderBy("track")) - 1).alias("track"))
+    return back.join(place, ["piece_id", "track"]).select("piece_id", (F.col("_t") + 1).alias("track"), "bar", "pos", "time", "velocity", "pitch")
+
+
+@query(""", t AS (SELECT DISTINCT o_custkey AS piece_id, (o_orderkey % 50 * 480)::INT AS tick, (300000 + o_orderkey % 50 * 960)::INT AS micros FROM orders), z AS (SELECT * FROM t UNION ALL SELECT DISTINCT piece_id, 0, 500000 FROM t WHERE piece_id NOT IN (SELECT piece_id FROM t WHERE tick = 0)),
+m AS (SELECT *, (tick - lag(tick) OVER w) * (lag(micros) OVER w / 1e6 / 480) AS step FROM z WINDOW w AS (PARTITION BY piece_id ORDER BY tick)), s AS (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY piece_id ORDER BY tick ROWS UNBOUNDED PRECEDING) AS seconds FROM m),
+q AS (SELECT o_custkey AS piece_id, o_orderkey, (o_orderkey % 97 / 7)::DOUBLE AS second FROM orders)
+SELECT q.piece_id, o_orderkey, round(s.tick + (q.second - s.seconds) / (micros / 1e6 / 480), 3)::DOUBLE AS tick FROM q ASOF JOIN s ON q.piece_id = s.piece_id AND q.second >= s.seconds""")
+def ticks_of_seconds(spark, sf_dir):
+    """Time interpolated the other way round."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    t = o.select(F.col("o_custkey").alias("piece_id"), (k % 50 * 480).cast("int").alias("tick"), (k % 50 * 960 + 300000).cast("int").alias("micros")).distinct()
+    tempo = B.tempo_map(t, t.select("piece_id", F.lit(480).alias("tpq")).distinct())
+    q = o.select(F.col("o_custkey").alias("piece_id"), "o_orderkey", (k % 97 / 7).alias("seconds"))
+    return B.tick_at_second(q, tempo).select("piece_id", "o_orderkey", F.round("tick", 3).alias("tick"))

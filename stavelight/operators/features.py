@@ -51,6 +51,12 @@ def polyphony(notes: DataFrame, lengths: DataFrame, keys: list[str] = KEY) -> Da
     )
 
 
+def polyphony_distribution(notes: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(piece_id, track, polyphony_distribution): how many notes sound at each step with any, in order of steps; the last step is never counted, tracks over ``MAX_TICK`` have none."""
+    active = active_steps(notes.join(lengths.where(F.col("max_tick") <= MAX_TICK), KEY), KEY, F.col("max_tick") - 1)
+    return active.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "active"))), lambda x: x["active"]).alias("polyphony_distribution"))
+
+
 def durations(notes: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """(keys, note_duration, level bounds): mean length, and the order statistics and extremes of the duration levels."""
     length = F.col("end") - F.col("start")

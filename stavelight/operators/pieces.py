@@ -52,8 +52,14 @@ def sort_with_instruments(events: DataFrame) -> DataFrame:
     return events.withColumn("pos", F.row_number().over(w) - 1)
 
 
+def unlike_bars(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(piece_id, bar, left, right): bars that both pieces have and whose beat lengths differ. Both: piece_id, track, bar, beat_length; a piece's tracks agree."""
+    side = lambda df, name: df.groupBy("piece_id", "bar").agg(F.min_by("beat_length", "track").alias(name))
+    return side(left, "left").join(side(right, "right"), ["piece_id", "bar"]).where(~F.col("left").eqNullSafe(F.col("right")))
+
+
 def append_piece(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Right's tracks behind left's by piece, cut to left's number of bars; a left piece without tracks takes all."""
+    """Right's tracks behind left's by piece, cut to left's number of bars; a left piece without tracks takes all. ``unlike_bars`` names pieces that don't fit."""
     size = left.groupBy("piece_id").agg((F.max("track") + 1).alias("_t"), (F.max("bar") + 1).alias("_b"))
     moved = right.join(size, "piece_id", "left").where("_b is null or bar < _b").withColumn("track", F.col("track") + F.coalesce("_t", F.lit(0))).drop("_t", "_b")
     return left.unionByName(moved)

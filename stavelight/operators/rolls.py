@@ -8,11 +8,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
+
 KEY = ["piece_id", "track"]
 
 
@@ -102,7 +103,8 @@ def _sketches(column: pa.Array, seeds: list[int], k: int) -> np.ndarray:
             hi += 1
         long = np.flatnonzero(size[lo:hi] >= k) + lo
         for i in np.flatnonzero(size[lo:hi] < k) + lo:
-            out[i] = [xxhash.xxh32_intdigest(column[int(i)].as_py() or b"", s) for s in seeds]
+            short = np.frombuffer(column[int(i)].as_py() or b"", np.uint8)
+            out[i] = [xxh32_of_windows(short, len(short), s)[0] for s in seeds]
         if len(long):
             data = np.frombuffer(b"".join(column[int(i)].as_py() for i in long), np.uint8)
             first = np.concatenate([[0], np.cumsum(size[long])])
@@ -171,10 +173,11 @@ def file_bars(messages: DataFrame, resolution: int = 12) -> DataFrame:
 
 
 def roll_of_file(messages: DataFrame, resolution: int = 12, n_bars: int = 0, start: int = 0) -> DataFrame:
-    """(piece_id, step, pitch): cells of a window of n_bars bars of each file, from bar start modulo the places there are; the whole file for 0.
+    """(piece_id, step, pitch, problem): cells of a window of n_bars bars of each file, from bar start modulo the places there are; the whole file for 0.
 
-    Windows of ``ROLL_STEPS`` steps or more give no cells.
+    A file whose window has ``ROLL_STEPS`` steps or more gives one row with a problem instead of cells.
     """
+    messages = checkpointed(messages)
     notes, _ = _file_notes(messages, resolution)
     bars = file_bars(messages, resolution)
     total = bars.groupBy("piece_id").agg((F.max("bar") + 1).alias("total"), F.max(F.col("bar_start") + F.col("steps")).alias("all"))
@@ -186,14 +189,22 @@ def roll_of_file(messages: DataFrame, resolution: int = 12, n_bars: int = 0, sta
         window = total.select("piece_id", F.lit(0).alias("lo"), F.col("all").alias("hi"))
     rows = notes.join(window.where(F.col("hi") - F.col("lo") < ROLL_STEPS), "piece_id").where("start < hi and end > lo")
     cut = rows.select("piece_id", "pitch", F.explode(F.sequence(F.greatest("start", "lo"), F.least("end", "hi") - 1)).alias("step"), "lo")
-    return cut.select("piece_id", (F.col("step") - F.col("lo")).alias("step"), "pitch").distinct()
+    cells = cut.select("piece_id", (F.col("step") - F.col("lo")).alias("step"), "pitch", F.lit(None).cast("string").alias("problem")).distinct()
+    return cells.unionByName(window.where(F.col("hi") - F.col("lo") >= ROLL_STEPS).select("piece_id", F.lit(f"{ROLL_STEPS} steps or more").alias("problem")), allowMissingColumns=True)
 
 
 def bar_roll_of_file(messages: DataFrame, resolution: int = 12) -> DataFrame:
-    """(piece_id, track, bar, step, pitch) of each file's own bars, whatever their lengths; files of ``BAR_ROLL_STEPS`` steps or more give no cells."""
+    """(piece_id, track, bar, step, pitch, problem) of each file's own bars, whatever their lengths; a file of ``BAR_ROLL_STEPS`` steps or more gives one row with a problem.
+
+    A note is cut at the bar lines it crosses: it meets its bars by number, and steps are counted out only then.
+    """
+    messages = checkpointed(messages)
     notes, _ = _file_notes(messages, resolution)
     bars = file_bars(messages, resolution)
-    size = bars.groupBy("piece_id").agg(F.max(F.col("bar_start") + F.col("steps")).alias("all")).where(F.col("all") < BAR_ROLL_STEPS)
-    cells = notes.join(size, "piece_id").select("piece_id", "track", "pitch", F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))
-    at = bars.select("piece_id", "bar", "bar_start", F.explode(F.sequence("bar_start", F.col("bar_start") + F.col("steps") - 1)).alias("at"))
-    return cells.join(at, ["piece_id", "at"]).select("piece_id", "track", "bar", (F.col("at") - F.col("bar_start")).alias("step"), "pitch").distinct()
+    size = bars.groupBy("piece_id").agg(F.max(F.col("bar_start") + F.col("steps")).alias("all"), F.array_sort(F.collect_list(F.struct("bar_start", "steps", "bar"))).alias("grid"))
+    met = notes.join(size.where(F.col("all") < BAR_ROLL_STEPS), "piece_id")
+    own = F.filter("grid", lambda b: (b["bar_start"] < F.col("end")) & (b["bar_start"] + b["steps"] > F.col("start")))
+    part = met.select("piece_id", "track", "pitch", "start", "end", F.explode(own).alias("b"))
+    steps = F.sequence(F.greatest(F.col("start") - F.col("b.bar_start"), F.lit(0)), F.least(F.col("end") - F.col("b.bar_start"), F.col("b.steps")) - 1)
+    cells = part.select("piece_id", "track", F.col("b.bar").alias("bar"), F.explode(steps).alias("step"), "pitch", F.lit(None).cast("string").alias("problem")).distinct()
+    return cells.unionByName(size.where(F.col("all") >= BAR_ROLL_STEPS).select("piece_id", F.lit(f"{BAR_ROLL_STEPS} steps or more").alias("problem")), allowMissingColumns=True)

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 KEY = ["piece_id", "track"]
 
 
+def draw(seed: int, *keys: Column) -> Column:
+    """A random text that any engine can make again: the MD5 of the seed and the keys."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
+
 def unit(seed: int, *keys: Column) -> Column:
-    """Uniform on [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """Uniform on [0, 1): the first 52 bits of a draw."""
+    return F.conv(F.substring(draw(seed, *keys), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
 def pick(n: Column, seed: int, *keys: Column) -> Column:
@@ -23,7 +28,7 @@ def pick_element(xs: Column, seed: int, *keys: Column) -> Column:
 
 
 def shuffled(xs: Column, seed: int, *keys: Column) -> Column:
-    order = F.array_sort(F.transform(xs, lambda x, i: F.struct(F.xxhash64(F.lit(seed), *keys, i).alias("r"), i.alias("i"), x.alias("x"))))
+    order = F.array_sort(F.transform(xs, lambda x, i: F.struct(draw(seed, *keys, i).alias("r"), i.alias("i"), x.alias("x"))))
     return F.transform(order, lambda y: y["x"])
 
 
@@ -58,16 +63,11 @@ def valid_segments_opz(bars: DataFrame, types: DataFrame, seglen: int, min_track
 
 def select_segments(segments: DataFrame, seed: int, max_tracks: int) -> DataFrame:
     """(piece_id, start, tracks): one segment of each piece, at most max_tracks of its tracks in random order."""
-    w = Window.partitionBy("piece_id").orderBy(F.xxhash64(F.lit(seed), "piece_id", "start"), "start")
+    w = Window.partitionBy("piece_id").orderBy(draw(seed, F.col("piece_id"), F.col("start")), "start")
     one = segments.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     return one.withColumn("tracks", F.slice(shuffled(F.col("tracks"), seed, F.col("piece_id")), 1, max_tracks))
 
 
-def draw(seed: int, *keys: Column) -> Column:
-    """A random text that any engine can make again: the MD5 of the seed and the keys."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-
-
 #: Fixed value: track types below this are the device's own.
 DEVICE_TYPES = 8
 
@@ -107,17 +107,29 @@ def bar_mask(bars: DataFrame, proportion: float, seed: int) -> DataFrame:
     """Bars to fill: a random number, below the proportion, of random bars of each piece."""
     whole = Window.partitionBy("piece_id")
     n = F.count(F.lit(1)).over(whole)
-    r = F.row_number().over(whole.orderBy(F.xxhash64(F.lit(seed), "piece_id", "track", "bar"), "track", "bar"))
+    r = F.row_number().over(whole.orderBy(draw(seed, *[F.col(c) for c in ("piece_id", "track", "bar")]), "track", "bar"))
     return bars.withColumns({"_n": n, "_r": r}).where(F.col("_r") <= pick(F.greatest(F.round(F.col("_n") * proportion), F.lit(1)), seed + 1, F.col("piece_id"))).drop("_n", "_r")
 
 
-def perturb(notes: DataFrame, share: float, seed: int) -> DataFrame:
-    """Notes with new random pitches for some: share below 1 is a proportion (at least one), else a number."""
-    w = Window.partitionBy("piece_id").orderBy(F.xxhash64(F.lit(seed), "piece_id", "track", "start", "pitch"), "track", "start", "pitch")
-    count = F.count(F.lit(1)).over(Window.partitionBy("piece_id"))
+def perturb(notes: DataFrame, share: float, seed: int, bar_steps: int = 48, selected: DataFrame | None = None) -> DataFrame:
+    """Notes with new random pitches for some, and problem: "not enough notes" on all notes of a piece that has fewer than are asked for, none of which changes.
+
+    A note can change if it begins and ends in one bar, an end on a bar line belonging to the bar before, and that bar is one of selected (piece_id, track, bar),
+    if given. share below 1 is a proportion of those, at least one; else a number.
+    """
+    bar = F.floor(F.col("start") / bar_steps).cast("int")
+    df = notes.withColumns({"_bar": bar, "_can": F.floor((F.col("end") - 1) / bar_steps) == bar})
+    if selected is not None:
+        own = selected.select(*KEY, F.col("bar").alias("_bar"), F.lit(True).alias("_own")).distinct()
+        df = df.join(own, [*KEY, "_bar"], "left").withColumn("_can", F.col("_can") & F.coalesce("_own", F.lit(False))).drop("_own")
+    keys = [F.col(c) for c in ("piece_id", "track", "start", "pitch")]
+    w = Window.partitionBy("piece_id").orderBy(F.desc("_can"), draw(seed, *keys), "track", "start", "pitch")
+    count = F.sum(F.col("_can").cast("int")).over(Window.partitionBy("piece_id"))
     take = F.greatest(F.floor(count * share), F.lit(1)) if share < 1 else F.lit(round(share))
-    df = notes.withColumn("_hit", F.row_number().over(w) <= take)
-    return df.withColumn("pitch", F.when(F.col("_hit"), pick(F.lit(128), seed + 1, F.col("piece_id"), F.col("track"), F.col("start"), F.col("pitch"))).otherwise(F.col("pitch"))).drop("_hit")
+    df = df.withColumns({"_r": F.row_number().over(w), "_take": take, "_of": count})
+    hit = F.col("_can") & (F.col("_r") <= F.col("_take")) & (F.col("_of") >= F.col("_take"))
+    df = df.withColumns({"pitch": F.when(hit, pick(F.lit(128), seed + 1, *keys)).otherwise(F.col("pitch")), "problem": F.when(F.col("_of") < F.col("_take"), "not enough notes")})
+    return df.select(*notes.columns, "problem")
 
 
 def random_pieces(spark, n: int, tracks: int, bars: int, seed: int, notes_per_bar: int = 6, bar_steps: int = 48) -> DataFrame:

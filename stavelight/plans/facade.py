@@ -28,8 +28,9 @@ def held(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def midi_to_piece(files: DataFrame, resolution: int = 12, te: bool = False, name: str = "path", content: str = "content") -> dict[str, DataFrame]:
     """Tables of files (name, content); bad files are in ``errors`` (piece_id, error)."""
-    messages = smf.decode(files, name, content)
-    return held(smf.pieces(messages, resolution, te) | {"errors": messages.where("error is not null").select("piece_id", "error")})
+    messages = checkpointed(smf.decode(files, name, content))
+    t = smf.pieces(messages, resolution, te, checkpointed)
+    return t | {"events": checkpointed(t["events"]), "errors": messages.where("error is not null").select("piece_id", "error")}
 
 
 def with_features(t: dict[str, DataFrame], quantiles: DataFrame | None = None, genre: str = "NONE") -> dict[str, DataFrame]:

@@ -88,7 +88,7 @@ def load_piece_pairs(t: dict[str, DataFrame], encoder: str, o: Options = Options
         part = {"bars": bars.where(F.col("bar").between(lo, lo + o.num_bars - 1)).withColumn("bar", F.col("bar") - lo), "events": events.where(F.col("bar").between(lo, lo + o.num_bars - 1)).withColumn("bar", F.col("bar") - lo), "tracks": tracks}
         return E.sequences(facade.piece_to_tokens(two | part, encoder, preprocess=False))
 
-    place = F.row_number().over(Window.partitionBy("piece_id").orderBy(F.xxhash64(F.lit(o.seed + 4), "piece_id", "track"), "track"))
+    place = F.row_number().over(Window.partitionBy("piece_id").orderBy(G.draw(o.seed + 4, F.col("piece_id"), F.col("track")), "track"))
     n = F.count(F.lit(1)).over(Window.partitionBy("piece_id"))
     fewer = two["tracks"].withColumns({"_r": place, "_n": n}).where((F.col("_r") > 1) | (F.col("_n") == 1) | (G.unit(o.seed + 5, F.col("piece_id")) < 0.5)).drop("_r", "_n")
     return half(0, two["tracks"]).withColumnRenamed("tokens", "a").join(half(o.num_bars, fewer).withColumnRenamed("tokens", "b"), "piece_id")

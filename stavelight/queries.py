@@ -378,23 +378,33 @@ def valid_segments(spark, sf_dir):
     return G.valid_segments(bars, 4, 2).select("piece_id", "start", _listed("tracks"))
 
 
-@query()
+def _unit(text: str) -> str:
+    """SQL of a uniform number: the first 52 bits of an MD5."""
+    return f"(('0x' || substr(md5({text}), 1, 13))::UBIGINT / 4503599627370496)"
+
+
+@query(_HAS + """, g AS (SELECT piece_id, bar AS "start", list(track ORDER BY track) AS tracks FROM w WHERE bar <= nb - 4 AND f >= 3 GROUP BY piece_id, bar HAVING count(*) >= 2),
+o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY md5('7:' || piece_id || ':' || "start"), "start") = 1), u AS (SELECT piece_id, "start", unnest(tracks) AS track, unnest(range(0, len(tracks))) AS i FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY md5('7:' || piece_id || ':' || i), i) AS n FROM u) SELECT piece_id, "start", string_agg(track::VARCHAR, ',' ORDER BY n) AS tracks FROM r WHERE n <= 3 GROUP BY ALL""")
 def selected_segments(spark, sf_dir):
     bars = A.has_notes(events(spark, sf_dir), all_bars(spark, sf_dir))
-    return G.select_segments(G.valid_segments(bars, 4, 2), 7, 3)
+    return G.select_segments(G.valid_segments(bars, 4, 2), 7, 3).select("piece_id", "start", _listed("tracks"))
 
 
-@query()
+@query(f""", x AS (SELECT piece_id, min(pitch) AS low, max(pitch) AS high FROM ev WHERE track % 5 <> 0 GROUP BY ALL), l AS (SELECT *, [t FOR t IN range(-6, 6) IF low + t >= 0 AND high + t <= 127] AS ok FROM x)
+SELECT piece_id, low, high, coalesce(ok[floor({_unit("'3:' || piece_id")} * len(ok))::INT + 1], 0)::INT AS transpose FROM l""")
 def transposed_pieces(spark, sf_dir):
     return G.select_transpose(A.pitch_extents(events(spark, sf_dir), F.col("track") % 5 == 0), 3)
 
 
-@query()
+@query(f""", r AS (SELECT *, count(*) OVER (PARTITION BY piece_id) AS n, row_number() OVER (PARTITION BY piece_id ORDER BY md5('5:' || piece_id || ':' || track || ':' || bar), track, bar) AS r FROM ab)
+SELECT piece_id, track, bar FROM r WHERE r <= floor({_unit("'6:' || piece_id")} * greatest(round(n * 0.75::DOUBLE), 1))""")
 def bars_to_fill(spark, sf_dir):
     return G.bar_mask(all_bars(spark, sf_dir), 0.75, 5)
 
 
-@query()
+@query(f""", c AS (SELECT *, ("end" - 1) // 48 = "start" // 48 AS can FROM nt), r AS (SELECT *, sum(can::INT) OVER (PARTITION BY piece_id) AS n, row_number() OVER (PARTITION BY piece_id ORDER BY can DESC, md5('9:' || piece_id || ':' || track || ':' || "start" || ':' || pitch), track, "start", pitch) AS r FROM c)
+SELECT piece_id, track, CASE WHEN can AND r <= greatest(floor(n * 0.25::DOUBLE), 1) THEN floor({_unit("'10:' || piece_id || ':' || track || ':' || \"start\" || ':' || pitch")} * 128)::INT ELSE pitch END AS pitch, "start", "end", velocity, CASE WHEN n < greatest(floor(n * 0.25::DOUBLE), 1) THEN 'not enough notes' END AS problem FROM r""")
 def perturbed_notes(spark, sf_dir):
     return G.perturb(notes(spark, sf_dir), 0.25, 9)
 
@@ -666,7 +676,7 @@ def concatenated_files(spark, sf_dir):
 z AS (SELECT piece_id FROM fl GROUP BY piece_id HAVING (max("end") // 48 + 1) * 48 < 50000) SELECT piece_id, (s // 48)::INT AS bar, count(*)::BIGINT AS cells, sum(s % 48 * 128 + pitch)::BIGINT AS places FROM d JOIN z USING (piece_id) GROUP BY ALL""")
 def file_bar_rolls(spark, sf_dir):
     """Cells of the bar rolls of files, 4/4 throughout."""
-    r = R.bar_roll_of_file(smf.decode(_files(spark, sf_dir), "piece_id"))
+    r = R.bar_roll_of_file(smf.decode(_files(spark, sf_dir), "piece_id")).where("problem is null")
     return r.groupBy("piece_id", "bar").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("step") * 128 + F.col("pitch")).cast("long").alias("places"))
 
 
@@ -723,18 +733,36 @@ def frequent_signatures(spark, sf_dir):
     return tables.most_frequent(li, 36)
 
 
-@query("""SELECT piece_id, count(*)::BIGINT AS notes FROM (SELECT (track // 12)::VARCHAR AS piece_id, track, pitch, "start", "end" FROM nt WHERE "end" > "start") GROUP BY piece_id""")
+@query(_FILES + f""", t AS (SELECT DISTINCT piece_id, smf_track AS track FROM fl), n AS (SELECT piece_id, ((max("end") - 1) // 48 + 1)::INT AS bars FROM fl GROUP BY piece_id), b AS (SELECT piece_id, track, unnest(range(0, bars)) AS bar FROM t JOIN n USING (piece_id)),
+l AS (SELECT piece_id, smf_track AS track, floor(greatest(0.0, least(5.0, log2(("end" - "start") / 3) + 1)))::INT AS v FROM fl), k AS (SELECT *, row_number() OVER (PARTITION BY piece_id, track ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY piece_id, track) AS n FROM l),
+d AS (SELECT piece_id, track, max(CASE WHEN i = least(round(n * 0.15::DOUBLE), n - 1) THEN v END) AS least_, max(CASE WHEN i = least(round(n * 0.85::DOUBLE), n - 1) THEN v END) AS most FROM k GROUP BY piece_id, track),
+o AS (SELECT piece_id, smf_track AS track, "start" // 48 AS bar, "start" % 48 AS time, pitch, "end" - "start" AS duration FROM fl),
+g AS (SELECT *, time - coalesce(lag(time) OVER w, 0) AS gap, row_number() OVER w AS i FROM o WINDOW w AS (PARTITION BY piece_id, track, bar ORDER BY time, pitch)),
+r AS (SELECT DISTINCT piece_id, 0 AS a, 0 AS b, 0 AS c, 0 AS d, 0 AS e, 0 AS f, 0 AS h, {_AT['PIECE_START']} AS token FROM t
+UNION ALL SELECT piece_id, 1, track, 0, 0, 0, 0, 0, {_AT['TRACK']} FROM t UNION ALL SELECT piece_id, 1, track, 0, 2, 0, 0, 0, {_AT['INSTRUMENT']} FROM t
+UNION ALL SELECT piece_id, 1, track, 0, 5, 0, 0, 0, {_AT['MIN_NOTE_DURATION']} + least_ FROM d UNION ALL SELECT piece_id, 1, track, 0, 6, 0, 0, 0, {_AT['MAX_NOTE_DURATION']} + most FROM d
+UNION ALL SELECT piece_id, 1, track, 1, bar, 0, 0, 0, {_AT['BAR']} FROM b UNION ALL SELECT piece_id, 1, track, 1, bar, 3, i, 0, {_AT['TIME_DELTA']} + gap - 1 FROM g WHERE gap > 0
+UNION ALL SELECT piece_id, 1, track, 1, bar, 3, i, 1, {_AT['NOTE_ONSET']} + pitch FROM g UNION ALL SELECT piece_id, 1, track, 1, bar, 3, i, 2, {_AT['NOTE_DURATION']} + least(duration, 96) - 1 FROM g
+UNION ALL SELECT piece_id, 1, track, 1, bar, 9, 0, 0, {_AT['BAR_END']} FROM b UNION ALL SELECT piece_id, 1, track, 2, 0, 0, 0, 0, {_AT['TRACK_END']} FROM t)
+SELECT piece_id, (row_number() OVER (PARTITION BY piece_id ORDER BY a, b, c, d, e, f, h) - 1)::INT AS idx, token::INT AS token FROM r""")
 def tokens_of_files(spark, sf_dir):
-    """Onset tokens of files that go through the facade, MIDI to tokens."""
+    """All tokens of files that go through the facade, MIDI to tokens."""
     t = facade.midi_to_piece(_files(spark, sf_dir).withColumn("path", F.col("piece_id").cast("string")))
-    tokens = facade.piece_to_tokens(t, "NEW_DURATION_ENCODER")
-    return tokens.where("token_type = 'NOTE_ONSET'").groupBy("piece_id").agg(F.count(F.lit(1)).alias("notes"))
+    return facade.piece_to_tokens(t, "NEW_DURATION_ENCODER").select("piece_id", "idx", "token")
 
 
-@query()
+_HEAD, _TAIL = _DURATION_SQL.rsplit("\nSELECT", 1)
+
+
+@query(f"""{_HEAD}, tk AS (SELECT{_TAIL}), n AS (SELECT piece_id, count(*) AS n, {_unit("'1:' || piece_id")} AS u FROM tk GROUP BY ALL), c AS (SELECT *, least(n, 2048) AS real, floor(u * (greatest(n - 2048, 0) + 1)) AS skip, floor(u * 8)::INT AS bucket FROM n),
+k AS (SELECT *, bucket || '-' || ((row_number() OVER (PARTITION BY bucket ORDER BY md5('1:' || piece_id), piece_id) - 1) // 4) AS batch FROM c), l AS (SELECT *, max(real) OVER (PARTITION BY batch) AS length FROM k),
+td AS (SELECT piece_id, string_agg(token::VARCHAR, ',' ORDER BY idx) AS told FROM tk JOIN c USING (piece_id) WHERE idx >= skip AND idx < skip + 2048 GROUP BY piece_id)
+SELECT batch, piece_id, length::INT AS length, real::INT AS real, md5(told || repeat(',0', (length - real)::INT)) AS tokens FROM l JOIN td USING (piece_id)""")
 def training_batches(spark, sf_dir):
+    """Random runs of at most 2048 tokens, padded to the longest of their batch."""
     seq = E.sequences(E.encode("NEW_DURATION_ENCODER", *_token_inputs(spark, sf_dir)))
-    return dataset.batches(seq, 4, 2048, 1).select("batch", "piece_id", F.size("tokens").alias("length"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("real"))
+    out = dataset.batches(seq, 4, 2048, 1, 8)
+    return out.select("batch", "piece_id", F.size("tokens").alias("length"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("real"), F.md5(_listed("tokens")).alias("tokens"))
 
 
 @query("SELECT piece_id, CASE WHEN n < 10 THEN 'Unknown' WHEN d / n < 0.2 THEN 'Quantized' WHEN d / n > 0.5 THEN 'Performance' ELSE 'Unknown' END AS kind FROM (SELECT piece_id, count(*) AS n, count(DISTINCT g) AS d FROM (SELECT piece_id, tick - lag(tick) OVER (PARTITION BY piece_id ORDER BY tick) AS g FROM (SELECT DISTINCT piece_id, tick FROM ev WHERE velocity > 0)) WHERE g IS NOT NULL GROUP BY ALL)")

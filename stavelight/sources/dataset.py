@@ -5,10 +5,10 @@ A dataset is Parquet partitioned by split; random access is a filter on (split,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.segments import pick
+from ..operators.segments import draw, pick
 
 SPLITS = {0: "train", 1: "valid", 2: "test"}
 EVENT = "struct<time:int,velocity:int,pitch:int>"
@@ -71,12 +71,18 @@ def piece_bars(pieces: DataFrame, key: str = "piece_id") -> DataFrame:
 
 
 def to_pieces(tracks: DataFrame, bars: DataFrame, events: DataFrame, resolution: int = 12, tempo: int = 120) -> DataFrame:
-    """(piece_id, json): the inverse of parse_pieces. bars: piece_id, track, bar, ts_num, ts_den; events: piece_id, track, bar, pos, time, velocity, pitch."""
-    own = events.groupBy("piece_id").agg(F.array_sort(F.collect_list(F.struct("track", "bar", "pos", "time", "velocity", "pitch"))).alias("es"))
-    grid = bars.groupBy("piece_id", "track").agg(F.array_sort(F.collect_list(F.struct("bar", "ts_num", "ts_den"))).alias("bs"))
+    """(piece_id, json): the inverse of parse_pieces. bars: piece_id, track, bar, ts_num, ts_den; events: piece_id, track, bar, pos, time, velocity, pitch.
+
+    Events are numbered once by piece and gathered once by bar and once by piece, so the work follows their number.
+    """
+    place = F.row_number().over(Window.partitionBy("piece_id").orderBy("track", "bar", "pos", "time", "velocity", "pitch")) - 1
+    numbered = events.withColumn("_i", place)
+    own = numbered.groupBy("piece_id").agg(F.array_sort(F.collect_list(F.struct("_i", "time", "velocity", "pitch"))).alias("es"))
+    held = numbered.groupBy("piece_id", "track", "bar").agg(F.array_sort(F.collect_list("_i")).alias("events"))
+    none = F.array().cast("array<int>")
+    grid = bars.join(held, ["piece_id", "track", "bar"], "left").groupBy("piece_id", "track").agg(F.array_sort(F.collect_list(F.struct("bar", F.coalesce("events", none).alias("events"), "ts_num", "ts_den"))).alias("bs"))
     rows = tracks.join(grid, ["piece_id", "track"]).groupBy("piece_id").agg(F.array_sort(F.collect_list(F.struct("track", "instrument", "track_type", "bs"))).alias("ts")).join(own, "piece_id", "left")
-    places = lambda t, b: F.filter(F.transform("es", lambda e, i: F.when((e["track"] == t["track"]) & (e["bar"] == b["bar"]), i)), lambda i: i.isNotNull())
-    bar = lambda t: F.transform(t["bs"], lambda b: F.struct(places(t, b).alias("events"), b["ts_num"].alias("tsNumerator"), b["ts_den"].alias("tsDenominator"), (b["ts_num"] / b["ts_den"] * 4).cast("float").alias("internalBeatLength")))
+    bar = lambda t: F.transform(t["bs"], lambda b: F.struct(b["events"].alias("events"), b["ts_num"].alias("tsNumerator"), b["ts_den"].alias("tsDenominator"), (b["ts_num"] / b["ts_den"] * 4).cast("float").alias("internalBeatLength")))
     piece = F.struct(
         F.lit(resolution).alias("resolution"), F.lit(tempo).alias("tempo"), F.transform("ts", lambda t: F.struct(t["instrument"].alias("instrument"), t["track_type"].cast("string").alias("trackType"), bar(t).alias("bars"))).alias("tracks"),
         F.transform("es", lambda e: F.struct(e["time"].alias("time"), e["velocity"].alias("velocity"), e["pitch"].alias("pitch"))).alias("events"),
@@ -100,11 +106,9 @@ def batches(sequences: DataFrame, batch_size: int, longest: int = 2048, seed: in
     A batch number is a hash bucket's running number, so no global sort is needed; a bucket's last batch may be smaller. There are as many buckets as
     partitions of a shuffle, unless told.
     """
-    from pyspark.sql import Window
-
-    key = F.xxhash64(F.lit(seed), "piece_id")
+    piece = F.col("piece_id")
     n = buckets or int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = sequences.withColumn("tokens", crop(F.col("tokens"), longest, seed, F.col("piece_id"))).withColumns({"_h": key, "_b": F.pmod(key, F.lit(n))})
+    df = sequences.withColumn("tokens", crop(F.col("tokens"), longest, seed, F.col("piece_id"))).withColumns({"_h": draw(seed, piece), "_b": pick(F.lit(n), seed, piece)})
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "piece_id")) - 1
     df = df.withColumn("batch", F.concat_ws("-", F.col("_b").cast("string"), F.floor(place / batch_size).cast("string")))
     most = F.max(F.size("tokens")).over(Window.partitionBy("batch"))

@@ -144,8 +144,8 @@ def linked_notes(messages: DataFrame) -> DataFrame:
     return ons.join(pairs, ["piece_id", "seq"], "left").join(ends, ["piece_id", "off_seq"], "left")
 
 
-def pieces(messages: DataFrame, resolution: int = 12, te: bool = False) -> dict[str, DataFrame]:
-    """Canonical tables of parsed files: pieces, tracks, bars, events.
+def pieces(messages: DataFrame, resolution: int = 12, te: bool = False, cut=lambda df: df) -> dict[str, DataFrame]:
+    """Canonical tables of parsed files: pieces, tracks, bars, events. cut: what ends the lineage of tables that others are made of.
 
     Ticks snap to ``resolution`` steps a quarter. Voices are (smf track, channel, instrument, track type) in order of their first note; drums last one step;
     melodic notes without an end are dropped, and so are ends at tick 0. pieces.problem tells files that cannot be quantised or have no notes.
@@ -157,17 +157,19 @@ def pieces(messages: DataFrame, resolution: int = 12, te: bool = False) -> dict[
     kind = S.opz_track_type(F.col("channel"), F.col("instrument"), F.col("key")) if te else S.track_type_of_voice(F.col("channel"))
     notes = notes.withColumn("track_type", kind).withColumn("is_drum", S.is_drum_track(F.col("track_type"))).where("is_drum or off_tick is not null")
     voice = ["smf_track", "channel", "instrument", "track_type"]
+    notes = cut(notes)
     first = notes.groupBy("piece_id", *voice).agg(F.min("seq").alias("_f"))
     tracks = first.withColumn("track", F.row_number().over(Window.partitionBy("piece_id").orderBy("_f")) - 1).drop("_f")
     spq = F.lit(resolution)
     snap = lambda c: S.quantize_step(c, F.col("tpq"), spq)
+    tracks = cut(tracks)
     notes = notes.join(tracks, ["piece_id", *voice]).withColumns({"on": snap(F.col("on_tick")), "off": snap(F.col("off_tick"))})
     ends = F.when(F.col("is_drum"), F.col("on") + 1).otherwise(F.col("off"))
     struct = F.array(F.struct(F.col("on").alias("tick"), F.col("velocity").alias("velocity"), (F.col("seq") * 2).alias("seq")), F.struct(ends.alias("tick"), F.lit(0).alias("velocity"), (F.col("seq") * 2 + 1).alias("seq")))
-    events = notes.select("piece_id", "track", F.col("key").alias("pitch"), F.explode(struct).alias("e")).select("piece_id", "track", "pitch", "e.*").where("velocity > 0 or tick > 0")
+    events = cut(notes.select("piece_id", "track", F.col("key").alias("pitch"), F.explode(struct).alias("e")).select("piece_id", "track", "pitch", "e.*").where("velocity > 0 or tick > 0"))
     length = events.groupBy("piece_id").agg(F.max("tick").alias("max_tick")).withColumn("tpq", F.lit(resolution))
     sig = signatures(good).join(meta.select("piece_id", "tpq"), "piece_id").withColumn("tick", snap(F.col("tick"))).drop("tpq")
-    grid = B.bar_grid(sig, length.withColumn("max_tick", F.greatest("max_tick", F.lit(1))))
+    grid = cut(B.bar_grid(sig, length.withColumn("max_tick", F.greatest("max_tick", F.lit(1)))))
     placed = B.events_to_bars(events, grid).withColumn("time", F.col("tick") - F.col("bar_start"))
     table = meta.join(tempo, "piece_id", "left").join(length.select("piece_id", F.lit(True).alias("_notes")), "piece_id", "left")
     problem = F.when(F.col("tpq") < resolution, "too few ticks a quarter").when(F.col("_notes").isNull(), "no notes")
