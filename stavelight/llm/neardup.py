@@ -144,11 +144,13 @@ def sketches(docs: DataFrame, text: str, doc_id: str, vectors: int, ell: int) ->
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))).alias("node"), F.col(text).cast("binary").alias("_raw")).mapInArrow(run, schema)
 
 
-def connecting(words: list[np.ndarray], labels: list, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Similar pairs (i, j) of a group of texts that connect all of its components that similar pairs connect.
+def connecting(words: list[np.ndarray], labels: list, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(pairs, stars) of a group of texts: similar pairs (i, j) that connect all of its components that similar pairs connect, and for each new component
+    pairs of one text with one of every label in it, which connect as much in two steps.
 
     Texts of at most n words that k edits separate share n - k words, counting repeats. With words in order of their frequency in the group, two such texts share
-    one of the first n - (n - k) + 1 of either: only those are indexed. What shares one is tested by length, by its words, and by alignment.
+    one of the first n - (n - k) + 1 of either: only those are indexed, by component, so what is connected already is passed over at once. What shares one is
+    tested by length, by its words, and by alignment.
     """
     to = {x: x for x in labels}
 
@@ -163,23 +165,39 @@ def connecting(words: list[np.ndarray], labels: list, threshold: float = THRESHO
     place = np.empty(len(count), np.int64)
     place[np.argsort(count, kind="stable")] = np.arange(len(count))
     sets = [np.sort(x) for x in np.split(place[rank], np.cumsum(size)[:-1])]
-    index: dict[int, list[int]] = {}
+    index: dict[int, dict] = {}
     out = []
     for i in sorted(range(len(words)), key=lambda i: size[i]):
         if not size[i]:
             continue
-        first = sets[i][: allowed(size[i], threshold) + 1].tolist()
         most = allowed(size[i], threshold)
+        first = sets[i][: most + 1].tolist()
         own = find(labels[i])
-        for j in sorted({j for k in first for j in index.get(k, ())}):
-            other = find(labels[j])
-            # i is the longer one
-            if other != own and size[i] - size[j] <= most and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= size[i] - most and similar(words[i], words[j], threshold):
-                to[other] = own
-                out.append((i, j))
+        met: dict = {}
         for k in first:
-            index.setdefault(k, []).append(i)
-    return out
+            held = index.get(k)
+            if held is None:
+                continue
+            for x in [x for x in held if to[x] != x]:  # components that have joined since
+                held.setdefault(find(x), []).extend(held.pop(x))
+            for x, texts in held.items():
+                if x != own:
+                    met.setdefault(x, set()).update(texts)
+        for texts in met.values():
+            for j in sorted(texts):
+                # i is the longer one
+                if size[i] - size[j] <= most and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= size[i] - most and similar(words[i], words[j], threshold):
+                    to[find(labels[j])] = own
+                    out.append((i, j))
+                    break
+        for k in first:
+            index.setdefault(k, {}).setdefault(own, []).append(i)
+    one: dict = {}
+    for i, x in enumerate(labels):
+        one.setdefault(x, i)
+    centre: dict = {}
+    stars = [(centre[find(x)], i) for x, i in one.items() if centre.setdefault(find(x), i) != i]
+    return out, stars
 
 
 def _connected(rows: list[tuple], threshold: float) -> pa.RecordBatch:
@@ -194,13 +212,14 @@ def _connected(rows: list[tuple], threshold: float) -> pa.RecordBatch:
     for hi in range(1, len(rows) + 1):
         if hi == len(rows) or rows[hi][0] != rows[lo][0]:
             nodes = [r[1] for r in rows[lo:hi]]
-            pairs += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in connecting([words[x] for x in nodes], [r[2] for r in rows[lo:hi]], threshold)]
+            for star, found in enumerate(connecting([words[x] for x in nodes], [r[2] for r in rows[lo:hi]], threshold)):
+                pairs += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), bool(star)) for i, j in found]
             lo = hi
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([*(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)), pa.array([p[2] for p in pairs], pa.bool_())], names=["a", "b", "star"])
 
 
 def _compared(work: DataFrame, threshold: float) -> DataFrame:
-    """connecting() for each group of work (group, node, label, size, _z): pairs (a, b), a < b."""
+    """connecting() for each group of work (group, node, label, size, _z): pairs (a, b, star), a < b."""
 
     def run(batches):
         held, size = [], 0
@@ -215,7 +234,7 @@ def _compared(work: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield _connected(held, threshold)
 
-    return work.select("group", "node", "label", "size", "_z").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a binary, b binary")
+    return work.select("group", "node", "label", "size", "_z").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a binary, b binary, star boolean")
 
 
 def _parts(size, n, block: int):
@@ -264,9 +283,9 @@ def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, threshold:
 
 
 def links(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Verified pairs (a, b), a < b, from buckets (key, node, n, size) of n members, two or more: any two similar members of a bucket are connected by them."""
+    """Pairs (a, b, star), a < b, from buckets (key, node, n, size) of n members, two or more: any two similar members of a bucket are connected by verified pairs; stars connect the same texts."""
     found = written(_at_home(buckets, texts, threshold, block))
-    labels = components(found)
+    labels = components(found.where("star"))
     more = _across(buckets, labels, texts, threshold, block)
     out = written(found.unionByName(more).distinct())
     released(found, labels, more)
@@ -321,8 +340,8 @@ def near_duplicates(
     texts = written(texts.dropDuplicates(["node"]).join(sizes, "node").select("node", "size", "_z"))
     found = links(buckets, texts, threshold)
     released(buckets, texts)
-    labels = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    labels = components(found.where("star"))
+    degree = found.where("not star").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     reps = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     classes = reps.groupBy("label").agg(F.min("rep").alias("class_id"))
     table = reps.join(classes, "label").join(degree, "node", "left").select("node", "class_id", "links", "label")
