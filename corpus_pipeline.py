@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages over ``documents``: toxicity, line dedup, near-dedup, decontamination, mixing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of ``documents``, and other columns go.
+
+Any column may be null. Rows with a null or empty text stay in every stage: they are clean, have no lines, are no one's copies and hold no benchmark words; the mix takes
+no words of them. Null ids are rows like others; without a text they all stay. Repeated rows all stay but in near-dedup, which keeps one row of each class, ties of one id by the MD5 of
+the text. Texts of any length are read whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -3,15 +3,17 @@
 Vectors become 64-bit codes of signs. Equal codes collapse first, to one entry with its k + 1 smallest ids, so a vector that a third of
 all rows repeat is one entry. Codes are cut into m segments of about log2(n) bits, so a bucket holds about one code at any size. Queries probe
 all buckets within radius r of each of their segments, for r = 0, 1, ...: a code within Hamming distance m (r + 1) - 1 differs by at most r bits in some
-segment, so a query is done once its kth neighbour is that near. Each ring is one hash join. Where the next ring would probe
-more buckets than there are codes, the queries left are compared with all codes, which is exact too: codes are dealt into blocks, and the queries pass each
-block as a stream, so no task holds more than a block and nothing comes to the driver.
+segment, so a query is done once its kth neighbour is that near. Each ring is one hash join. Cost decides where rings end: a probe crosses a shuffle, which
+costs about as much as comparing with ``SCAN`` codes, so where the next ring would cost a query more than all codes do, and has over ``RING`` probes, the queries
+left are compared with all codes, which is exact too: codes are dealt into blocks, and the queries pass each block as a stream, so no task holds more than a
+block and nothing comes to the driver. The more codes there are, the further rings go.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BITS, TOP, EVERY = 64, 10, 20
-#: Probes of one query in a ring at most; codes of a block of the scan at most, and at least where there are more blocks than slots; probes of a task, about.
-RING, BLOCK, LEAST, PROBES = 4096, 1 << 20, 4096, 200_000
+#: Probes of one query in a ring that are always made; codes that cost as much as a probe; codes of a block of the scan at most, and at least where there are
+#: more blocks than slots; probes of a task, about.
+RING, SCAN, BLOCK, LEAST, PROBES = 4096, 64, 1 << 20, 4096, 200_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -36,18 +39,32 @@ def segments(m: int) -> list[tuple[int, int]]:
     return [(BITS * i // m, BITS * (i + 1) // m - BITS * i // m) for i in range(m)]
 
 
-def masks(width: int, r: int) -> list[int]:
-    return [sum(1 << b for b in c) for c in combinations(range(width), r)]
+def masks(width: int, r: int, size: int = 4096) -> Iterator[np.ndarray]:
+    """All numbers of r of width bits, so many at once."""
+    flips = (sum(1 << b for b in c) for c in combinations(range(width), r))
+    while len(some := np.fromiter(islice(flips, size), np.int64)):
+        yield some
 
 
 def _piece(code: Column, shift: int, width: int) -> Column:
     return F.call_function("shiftrightunsigned", code, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _ring(part: int, shift: int, width: int, flips: list[int]) -> Column:
-    """The buckets of a segment that differ from the query's by one of the flips."""
-    all_flips = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>")
-    return F.transform(all_flips, lambda v: F.struct(F.lit(part).alias("part"), _piece(F.col("q"), shift, width).bitwiseXOR(v).alias("value")))
+def _probes(queries: DataFrame, parts: list[tuple[int, int]], r: int) -> DataFrame:
+    """(q, part, value): the buckets that differ from a query's (q) in r bits of one of its segments."""
+
+    def run(batches):
+        for b in batches:
+            q = b.column(0).to_numpy()
+            for part, (shift, width) in enumerate(parts):
+                own = ((q.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                for some in masks(width, r):
+                    step = max(1, 65_536 // len(some))
+                    for lo in range(0, len(q), step):
+                        value = (own[lo : lo + step, None] ^ some[None, :]).ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[lo : lo + step], len(some))), pa.array(np.full(len(value), part, np.int32)), pa.array(value)], names=["q", "part", "value"])
+
+    return queries.select("q").mapInArrow(run, "q long, part int, value long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -123,13 +140,12 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = EVERY, vec_id: str = "vec_
     table = index.select("code", "low", F.size("ids").alias("n"), F.posexplode(F.array(*[_piece(F.col("code"), s, w) for s, w in parts])).alias("part", "value"))
     done, found = [], None
     for r in range(max(w for _, w in parts) + 1):
-        probes = [masks(w, r) for _, w in parts] if sum(math.comb(w, r) for _, w in parts) <= min(ring, max(n, 1)) else None
-        if probes is None:
+        probes = sum(math.comb(w, r) for _, w in parts)
+        if probes > max(ring, n // SCAN):
             break
-        at = F.array(*[_ring(i, s, w, x) for i, (x, (s, w)) in enumerate(zip(probes, parts, strict=True)) if x])
         # probes are many where queries are few
-        tasks = math.ceil(waiting * sum(map(len, probes)) / PROBES)
-        new = left.repartition(max(tasks, 1), "q").select("q", F.explode(F.flatten(at)).alias("p")).select("q", "p.*")
+        tasks = math.ceil(waiting * probes / PROBES)
+        new = _probes(left.repartition(max(tasks, 1), "q"), parts, r)
         # probes are far more rows than the queries that statistics see: never broadcast them
         new = new.join(table.hint("merge"), ["part", "value"])
         new = new.select("q", "code", "low", "n", distance(F.col("q"), F.col("code")).alias("d"))
