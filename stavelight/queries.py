@@ -528,9 +528,28 @@ def text_min_hash(spark, sf_dir):
     return R.min_hash(d, "data", [1, 2, 3, 4], 8).select("doc_id", *[F.when(F.length("data") >= 8, F.col("sketch")[i]).otherwise(-1).alias(f"h{i + 1}") for i in range(4)])
 
 
-@query()
+def _roll_hash_sql() -> str:
+    """Least XXH32 of the sixteen-byte shingles of bars of rolls, 768 bytes each, for seeds 1 and 2; one step of the public algorithm a subquery."""
+    turned = lambda x, n: f"((({x} << {n}) | ({x} >> {32 - n})) % 4294967296)"
+    p1, p2, p3, all_ = 2654435761, 2246822519, 3266489917, 4294967296
+    start = [f"(seed + {(p1 + p2) % all_})", f"(seed + {p2})", "seed", f"(seed + {all_ - p1})"]
+    lanes = ", ".join(f"({a} + l{i} * {p2} % {all_}) % {all_} AS a{i}" for i, a in enumerate(start))
+    mixed = " + ".join(turned(f"({turned(f'a{i}', 13)} * {p1} % {all_})", n) for i, n in enumerate((1, 7, 12, 18)))
+    return f""", c AS (SELECT DISTINCT piece_id, track, x // 48 AS bar, x % 48 AS step, pitch FROM (SELECT piece_id, track, pitch, unnest(range("start", "end")) AS x FROM nt)),
+y AS (SELECT piece_id, track, bar, step * 16 + pitch // 8 AS i, bit_or(1 << (pitch % 8)::INT)::UBIGINT AS v FROM c GROUP BY ALL), z AS (SELECT piece_id, track, bar, unnest(range(0, 768)) AS i FROM (SELECT DISTINCT piece_id, track, bar FROM c)),
+b AS (SELECT piece_id, track, bar, i, coalesce(v, 0)::UBIGINT AS v FROM z LEFT JOIN y USING (piece_id, track, bar, i)),
+l AS (SELECT *, v + lead(v, 1, 0) OVER w * 256 + lead(v, 2, 0) OVER w * 65536 + lead(v, 3, 0) OVER w * 16777216 AS l0 FROM b WINDOW w AS (PARTITION BY piece_id, track, bar ORDER BY i)),
+s AS (SELECT *, lead(l0, 4) OVER w AS l1, lead(l0, 8) OVER w AS l2, lead(l0, 12) OVER w AS l3 FROM l WINDOW w AS (PARTITION BY piece_id, track, bar ORDER BY i)),
+s1 AS (SELECT piece_id, track, bar, seed, {lanes} FROM s, (VALUES (1::UBIGINT), (2::UBIGINT)) v(seed) WHERE i <= 752),
+s2 AS (SELECT piece_id, track, bar, seed, ({mixed} + 16) % {all_} AS h FROM s1), s3 AS (SELECT *, xor(h, h >> 15) * {p2} % {all_} AS g FROM s2), s4 AS (SELECT *, xor(g, g >> 13) * {p3} % {all_} AS f FROM s3),
+m AS (SELECT piece_id, track, bar, seed, min(xor(f, f >> 16))::BIGINT AS h FROM s4 GROUP BY ALL)
+SELECT piece_id, track, bar::INT AS bar, max(CASE WHEN seed = 1 THEN h END) AS h1, max(CASE WHEN seed = 2 THEN h END) AS h2 FROM m GROUP BY ALL"""
+
+
+@query(_roll_hash_sql())
 def roll_min_hash(spark, sf_dir):
-    return R.roll_min_hash(R.bar_roll(notes(spark, sf_dir)), [1, 2], 16)
+    out = R.roll_min_hash(R.bar_roll(notes(spark, sf_dir)), [1, 2], 16)
+    return out.select("piece_id", "track", "bar", *[F.col("sketch")[i].alias(f"h{i + 1}") for i in range(2)])
 
 
 # --- tokens ---

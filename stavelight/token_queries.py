@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import expected
 from .functions import fixed
 from .plans import encode as E
-from .queries import bar_notes, events, query, track_table
+from .queries import DERIVED, ORACLES, bar_notes, events, query, track_table
 
 BARS = 64
 #: What heads tell of a track, by token kind: a value in SQL over t (track, drum, piece_id). The same numbers as ``_inputs`` gives.
@@ -186,3 +186,18 @@ def encoded_interleaved(spark, sf_dir):
 def stripped_header(spark, sf_dir):
     """The same without the instruments that stand between the header's tokens."""
     return _plain(E.strip_header(_mixed(spark, sf_dir)))
+
+
+def _kinds(encoder: str, sql: str, columns: str) -> str:
+    """Numbers of tokens by piece and kind, from SQL of token rows: kinds are ranges of the layout."""
+    at, rows = 0, []
+    for kind, size in expected.DOMAINS[encoder]:
+        rows.append(f"('{kind}', {at}, {at + size})")
+        at += size
+    head, tail = sql.rsplit("\nSELECT", 1)
+    return f"{head}, tk AS (SELECT{tail}), kd AS (SELECT * FROM (VALUES {', '.join(rows)}) v(token_type, lo, hi)) SELECT piece_id, token_type, count(*)::BIGINT AS n{columns} FROM tk JOIN kd ON token >= lo AND token < hi GROUP BY piece_id, token_type"
+
+
+# queries that count tokens by kind
+ORACLES["encoded_absolute_infill"] = DERIVED + _kinds("ABSOLUTE_ENCODER", _sql("ABSOLUTE_ENCODER", _QUANTILES, absolute=True, fills=True, started=1), ", 0::BIGINT AS problems")
+ORACLES["interleaved_tokens"] = DERIVED + _kinds("TRACK_INTERLEAVED_W_HEADER_ENCODER", _interleaved(True), "")
