@@ -348,16 +348,16 @@ def patches_in_force(spark, sf_dir):
     return B.carry_patches(m).select("piece_id", "seq", "instrument")
 
 
-@query(""", t AS (SELECT DISTINCT o_custkey AS piece_id, (o_orderkey % 50 * 480)::INT AS tick, (300000 + o_orderkey % 50 * 960)::INT AS micros FROM orders), z AS (SELECT * FROM t UNION ALL SELECT DISTINCT piece_id, 0, 500000 FROM t WHERE piece_id NOT IN (SELECT piece_id FROM t WHERE tick = 0)),
+@query(""", t AS (SELECT DISTINCT o_custkey AS piece_id, (o_orderkey % 50 * 480)::INT AS tick, (300000 + o_orderkey % 50 * 960)::INT AS micros FROM orders), z AS (SELECT * FROM t UNION ALL SELECT DISTINCT piece_id, 0, 500000 FROM (SELECT l_suppkey AS piece_id FROM lineitem UNION SELECT piece_id FROM t) WHERE piece_id NOT IN (SELECT piece_id FROM t WHERE tick = 0)),
 m AS (SELECT *, (tick - lag(tick) OVER w) * (lag(micros) OVER w / 1e6 / 480) AS step FROM z WINDOW w AS (PARTITION BY piece_id ORDER BY tick)), s AS (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY piece_id ORDER BY tick ROWS UNBOUNDED PRECEDING) AS seconds FROM m),
 q AS (SELECT l_suppkey AS piece_id, l_orderkey, l_linenumber, (l_partkey % 24000)::INT AS tick FROM lineitem)
 SELECT q.piece_id, l_orderkey, l_linenumber, q.tick, round((seconds + (q.tick - s.tick) * micros / 1e6 / 480) * 480e6)::BIGINT AS tick_micros FROM q ASOF JOIN s ON q.piece_id = s.piece_id AND q.tick >= s.tick""")
 def seconds_of_ticks(spark, sf_dir):
     k = F.col("o_orderkey")
     t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("piece_id"), (k % 50 * 480).cast("int").alias("tick"), (k % 50 * 960 + 300000).cast("int").alias("micros")).distinct()
-    tempo = B.tempo_map(t, t.select("piece_id", F.lit(480).alias("tpq")).distinct())
     q = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("piece_id"), "l_orderkey", "l_linenumber", (F.col("l_partkey") % 24000).cast("int").alias("tick"))
-    return B.with_seconds(q.join(tempo.select("piece_id").distinct(), "piece_id", "left_semi"), tempo).select("piece_id", "l_orderkey", "l_linenumber", "tick", F.round(F.col("seconds") * 480e6).cast("long").alias("tick_micros"))
+    files = t.select("piece_id").unionByName(q.select("piece_id")).distinct().withColumn("tpq", F.lit(480))
+    return B.with_seconds(q, B.tempo_map(t, files)).select("piece_id", "l_orderkey", "l_linenumber", "tick", F.round(F.col("seconds") * 480e6).cast("long").alias("tick_micros"))
 
 
 @query("SELECT piece_id, track, seq, (tick - coalesce(lag(tick) OVER (PARTITION BY piece_id, track ORDER BY tick, seq), 0))::INT AS delta FROM ev")
