@@ -82,6 +82,12 @@ def link_lifo(messages: DataFrame, keys: list[str], order: list[str], on: Column
     Depth is the running sum of +1 and -1, held at 0; an opening at depth d meets the first later closing that starts from depth d. With
     depth as a partition key that is the next row. Closings at depth 0 have no partner.
     """
+    df = lifo_rows(messages, keys, order, on, off, seq=seq)
+    return df.where("_seq is not null").select(*keys, F.col(seq).alias("on_seq"), F.col("_seq").alias("off_seq"))
+
+
+def lifo_rows(messages: DataFrame, keys: list[str], order: list[str], on: Column, off: Column, **told: str) -> DataFrame:
+    """Opening messages, each with columns of what closes it, nulls for what nothing does. told: for each of these columns ``_name`` the column it is."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = messages.withColumn("_x", F.when(on, 1).when(off, -1)).where("_x is not null")
     df = df.withColumn("_s", F.sum("_x").over(w))
@@ -91,8 +97,9 @@ def link_lifo(messages: DataFrame, keys: list[str], order: list[str], on: Column
     before = F.col("_s") - F.col("_x") - F.coalesce(low, F.lit(0))
     df = df.withColumn("_level", F.when(F.col("_x") == 1, F.col("_d")).otherwise(before)).where("_level > 0")
     pair = Window.partitionBy(*keys, "_level").orderBy(*order)
-    df = df.withColumns({"_to": F.lead(seq).over(pair), "_kind": F.lead("_x").over(pair)})
-    return df.where("_x = 1 and _kind = -1").select(*keys, F.col(seq).alias("on_seq"), F.col("_to").alias("off_seq"))
+    closed = F.lead("_x").over(pair) == -1
+    df = df.withColumns({f"_{name}": F.when(closed, F.lead(c).over(pair)) for name, c in told.items()})
+    return df.where("_x = 1").drop("_x", "_s", "_d", "_level")
 
 
 #: Controllers with two states.

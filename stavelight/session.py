@@ -35,6 +35,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to a number of partitions that stays: for steps that make much of few bytes, which partitions sized by their bytes would put into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def local_session(cpus: int = 8, memory: str = "8g", name: str = "stavelight") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)

@@ -7,8 +7,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import bars as B
 from ..operators import notes as N
+from ..session import spread
 
 SCHEMA = "piece_id string, tpq int, smf_track int, seq int, tick long, status int, channel int, p1 int, p2 int, meta_type int, meta binary, error string"
 
@@ -99,20 +103,35 @@ def plain_bytes(data: bytes) -> bytes:
     return from_binasc(data.decode("latin-1"))
 
 
+TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.string()]
+#: Messages of a batch.
+ROWS = 65_536
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+
+
+def error_batch(piece: str, error: Exception) -> pa.RecordBatch:
+    return _batch([(piece, *[None] * 10, str(error) or "file ends early")])
+
+
+def file_batches(piece: str, data: bytes) -> list[pa.RecordBatch]:
+    """A file's messages, of which no more than a batch are Python objects at once; one row with the error of a bad file."""
+    try:
+        messages = ((piece, r[0], *r[1:], None) for r in parse(plain_bytes(data)))
+        return [_batch(rows) for rows in iter(lambda: list(islice(messages, ROWS)), [])]
+    except (ValueError, IndexError) as e:
+        return [error_batch(piece, e)]
+
+
 def decode(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """Messages of files (name, content). A bad file gives one row with the error and nothing else, for quarantine."""
 
     def run(batches):
         for b in batches:
-            for piece, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    rows = [(piece, r[0], *r[1:], None) for r in parse(plain_bytes(bytes(data or b"")))]
-                except (ValueError, IndexError) as e:
-                    rows = [(piece, *[None] * 10, str(e) or "file ends early")]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            for piece, data in zip(*b.columns, strict=True):
+                yield from file_batches(piece.as_py(), data.as_py() or b"")
 
     return files.select(F.col(name).cast("string"), F.col(content)).mapInArrow(run, SCHEMA)
 
@@ -136,12 +155,9 @@ def signatures(messages: DataFrame) -> DataFrame:
 def linked_notes(messages: DataFrame) -> DataFrame:
     """(piece_id, smf_track, channel, key, velocity, seq, on_tick, off_tick): note-ons with their note-off; off_tick null without one."""
     on, off = S.note_on(F.col("status"), F.col("p2")), S.note_off(F.col("status"), F.col("p2"))
-    rows = messages.where(on | off)
-    keys = ["piece_id", "smf_track", "channel", "p1"]
-    pairs = N.link_lifo(rows, keys, ["seq"], on, off).select("piece_id", F.col("on_seq").alias("seq"), "off_seq")
-    ends = rows.select("piece_id", F.col("seq").alias("off_seq"), F.col("tick").alias("off_tick"))
-    ons = B.carry_patches(messages).where(on).select("piece_id", "tpq", "smf_track", "channel", F.col("p1").alias("key"), F.col("p2").alias("velocity"), "seq", F.col("tick").alias("on_tick"), "instrument")
-    return ons.join(pairs, ["piece_id", "seq"], "left").join(ends, ["piece_id", "off_seq"], "left")
+    rows = B.carry_patches(messages).where(on | off)
+    linked = N.lifo_rows(rows, ["piece_id", "smf_track", "channel", "p1"], ["seq"], on, off, seq="seq", tick="tick")
+    return linked.select("piece_id", F.col("_seq").alias("off_seq"), "seq", "tpq", "smf_track", "channel", F.col("p1").alias("key"), F.col("p2").alias("velocity"), F.col("tick").alias("on_tick"), "instrument", F.col("_tick").alias("off_tick"))
 
 
 def pieces(messages: DataFrame, resolution: int = 12, te: bool = False, cut=lambda df: df) -> dict[str, DataFrame]:
@@ -209,35 +225,80 @@ def serialise(tracks: list[list[tuple[int, bytes]]], tpq: int) -> bytes:
     return b"".join(out)
 
 
+def file_bytes(heads: list[bytes], track: np.ndarray, tick: np.ndarray, status: np.ndarray, p1: np.ndarray, p2: np.ndarray, tpq: int) -> bytes:
+    """A type 1 file: for each track its head, messages at tick 0, then its rows, which are in order of ticks, then its end."""
+    for c, top in ((tick, 1 << 28), (p1, 256), (p2, 256)):
+        if len(c) and (c.min() < 0 or c.max() >= top):
+            raise ValueError(f"a number of a message is not in 0 to {top - 1}")
+    order = np.argsort(track, kind="stable")
+    track, tick = track[order], tick[order]
+    delta = np.diff(tick, prepend=0)
+    first = np.flatnonzero(np.diff(track, prepend=-1))
+    delta[first] = tick[first]
+    if len(delta) and delta.min() < 0:
+        raise ValueError("rows of a track are not in order of ticks")
+    n = 1 + sum((delta >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
+    ends = np.cumsum(n + 3)
+    at = ends - n - 3
+    data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        some = n > k
+        left = n[some] - 1 - k
+        data[at[some] + k] = delta[some] >> 7 * left & 0x7F | np.where(left > 0, 0x80, 0)
+    for k, c in enumerate((status, p1, p2)):
+        data[at + n + k] = c[order]
+    stops = [0, *(int(ends[i - 1]) if i else 0 for i in np.searchsorted(track, np.arange(len(heads)), "right"))]
+    out = [b"MThd" + (6).to_bytes(4, "big") + (1).to_bytes(2, "big") + len(heads).to_bytes(2, "big") + tpq.to_bytes(2, "big")]
+    for i, head in enumerate(heads):
+        body = head + data[stops[i] : stops[i + 1]].tobytes() + b"\x00\xff\x2f\x00"
+        out.append(b"MTrk" + len(body).to_bytes(4, "big") + body)
+    return b"".join(out)
+
+
 def to_bytes(tracks: DataFrame, events: DataFrame, tempo: int = 120, resolution: int = 12, signatures: DataFrame | None = None) -> DataFrame:
     """(piece_id, content): a file per piece. tracks: piece_id, track, instrument, track_type; events: piece_id, track, tick, velocity, pitch.
 
-    A piece is gathered in one task, as its file is; the number of tracks is at most 15, else content is null.
+    A piece is gathered in one task, as its file is; the number of tracks is at most 15, else content is null. A worker takes one piece after the other, its
+    events as arrays of numbers.
     """
-    head = tracks.groupBy("piece_id").agg(F.sort_array(F.collect_list(F.struct("track", "instrument", S.is_drum_track(F.col("track_type")).alias("drum")))).alias("tracks"))
-    body = events.groupBy("piece_id").agg(F.sort_array(F.collect_list(F.struct("tick", F.least("velocity", F.lit(1)).alias("on"), "pitch", "track", "velocity"))).alias("events"))
+    head = spread(tracks, "piece_id").groupBy("piece_id").agg(F.sort_array(F.collect_list(F.struct("track", "instrument", S.is_drum_track(F.col("track_type")).alias("drum")))).alias("tracks"))
+    body = spread(events, "piece_id").groupBy("piece_id").agg(F.sort_array(F.collect_list(F.struct("tick", F.least("velocity", F.lit(1)).alias("on"), "pitch", "track", "velocity"))).alias("events"))
     rows = head.join(body, "piece_id", "left")
     if signatures is not None:
         rows = rows.join(signatures.groupBy("piece_id").agg(F.collect_list(F.struct("tick", "ts_num", "ts_den")).alias("sigs")), "piece_id", "left")
 
+    def content(tracks: list[dict], events, sigs: list[dict]) -> bytes | None:
+        if len(tracks) > 15:
+            return None
+        place = {t["track"]: i for i, t in enumerate(tracks)}
+        channel = {t["track"]: 9 if t["drum"] else fixed.SAFE_CHANNELS[place[t["track"]]] for t in tracks}
+        first, last = [b"\x00" + tempo_message(tempo)], 0
+        for s in sorted(sigs, key=lambda s: s["tick"]):
+            first.append(write_vlq(s["tick"] - last) + signature_message(s["ts_num"], s["ts_den"]))
+            last = s["tick"]
+        heads: list[list[bytes]] = [first, *([] for _ in tracks)]
+        for t in tracks:
+            heads[place[t["track"]] + 1].append(b"\x00" + message(0xC0 | channel[t["track"]], t["instrument"]))
+        if events is None:
+            events = pa.array([], pa.struct([(c, pa.int32()) for c in ("tick", "pitch", "track", "velocity")]))
+        column = lambda c: pc.struct_field(events, c)
+        if any(column(c).null_count for c in ("tick", "pitch", "track", "velocity")):
+            raise ValueError("an event has a null")
+        code = column("track").dictionary_encode()
+        own = [t.as_py() for t in code.dictionary]
+        i = code.indices.to_numpy()
+        status = np.array([0x90 | channel[t] for t in own], np.int64)
+        number = lambda c: column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        return file_bytes([b"".join(h) for h in heads], np.array([place[t] + 1 for t in own], np.int64)[i], number("tick"), status[i], number("pitch"), number("velocity"), resolution)
+
     def run(batches):
         for b in batches:
-            cols = b.schema.names
+            cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             out = []
-            for r in b.to_pylist():
-                if len(r["tracks"]) > 15:
-                    out.append(None)
-                    continue
-                place = {t["track"]: i for i, t in enumerate(r["tracks"])}
-                lists: list[list[tuple[int, bytes]]] = [[] for _ in range(len(r["tracks"]) + 1)]
-                lists[0] += [(0, tempo_message(tempo))] + [(s["tick"], signature_message(s["ts_num"], s["ts_den"])) for s in r.get("sigs") or []]
-                channel = {t["track"]: 9 if t["drum"] else fixed.SAFE_CHANNELS[place[t["track"]]] for t in r["tracks"]}
-                for t in r["tracks"]:
-                    lists[place[t["track"]] + 1].append((0, message(0xC0 | channel[t["track"]], t["instrument"])))
-                for e in r["events"] or []:
-                    lists[place[e["track"]] + 1].append((e["tick"], message(0x90 | channel[e["track"]], e["pitch"], e["velocity"])))
-                out.append(serialise(lists, resolution))
-            yield pa.RecordBatch.from_arrays([b.column(cols.index("piece_id")), pa.array(out, pa.binary())], names=["piece_id", "content"])
+            for i in range(b.num_rows):
+                sigs = cols["sigs"][i].as_py() if "sigs" in cols else None
+                out.append(content(cols["tracks"][i].as_py(), cols["events"][i].values, sigs or []))
+            yield pa.RecordBatch.from_arrays([cols["piece_id"], pa.array(out, pa.binary())], names=["piece_id", "content"])
 
     kind = tracks.schema["piece_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"piece_id {kind}, content binary")

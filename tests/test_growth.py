@@ -43,6 +43,34 @@ def long_file(n=150_000):
     return smf.serialise([[(i, smf.message(0x90, i % 128, 1)) for i in range(n)], [(7, smf.message(0x91, 1, 1))]], 12)
 
 
+def test_a_file_in_one_pass_of_arrays():
+    rng = random.Random(1)
+    rows = sorted((rng.choice([0, 5, 200, 20_000, 3_000_000]) + rng.randrange(100), rng.randrange(1, 4), rng.randrange(128), rng.randrange(128)) for _ in range(200))
+    heads = [b"\x00" + smf.tempo_message(120), *(b"\x00" + smf.message(0xC0 | i, 5) for i in range(4))]
+    lists = [[(0, h[1:])] for h in heads]
+    for tick, track, key, velocity in rows:
+        lists[track].append((tick, smf.message(0x90 | track, key, velocity)))
+    tick, track, key, velocity = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    assert smf.file_bytes(heads, track, tick, 0x90 | track, key, velocity, 12) == smf.serialise(lists, 12)
+    with pytest.raises(ValueError):
+        smf.file_bytes(heads, track, tick, 0x90 | track, key, velocity - 200, 12)
+
+
+def test_messages_of_a_long_file_come_in_batches():
+    parts = smf.file_batches("a", long_file())
+    assert sum(p.num_rows for p in parts) == 150_003 and max(p.num_rows for p in parts) <= smf.ROWS
+    bad = smf.file_batches("a", long_file()[:-5])
+    assert [p.num_rows for p in bad] == [1] and bad[0].column(11)[0].as_py()
+
+
+def test_small_bytes_stay_dealt_out(spark):
+    tracks = spark.createDataFrame([(i, 1, 0, 10) for i in range(40)], "piece_id int, track int, instrument int, track_type int")
+    events = spark.createDataFrame([(i, 1, 0, 90, 60) for i in range(40)], "piece_id int, track int, tick int, velocity int, pitch int")
+    files = smf.to_bytes(tracks, events)
+    assert files.rdd.getNumPartitions() > 4
+    assert files.where("content is null").count() == 0
+
+
 def test_one_call_pairs_many_keys():
     rows = [(str(p), "0", "60", 10 * p + ms, ms, v, ms) for p in range(50) for ms, v in ((1, 80), (4, 0), (6, 70))]
     ready = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), S.EVENT, strict=True)], schema=S.EVENT)
