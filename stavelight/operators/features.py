@@ -1,7 +1,7 @@
 """Per-track and per-bar features: polyphony, duration, density, pitch content, onset grids.
 
-Notes: piece_id, track, pitch, start, end (absolute steps). Active counts are a line sweep over steps that notes really cover, so they cost the notes'
-total length; every result is one grouped aggregate over (piece_id, track[, bar]) and combines before the shuffle.
+Notes: piece_id, track, pitch, start, end (absolute steps). Active counts are a line sweep over the ends of notes, so they cost two rows a note, however long
+it is; steps are counted out only where a result lists them.
 """
 
 from __future__ import annotations
@@ -22,15 +22,24 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.when(n == 0, 0).otherwise(F.element_at(values, F.least(F.round(n * F.lit(q)), n - 1).cast("int") + 1))
 
 
+def active_runs(notes: DataFrame, keys: list[str] = KEY, last: Column | None = None) -> DataFrame:
+    """(keys, step, length, active): runs of steps over which the same notes sound, where any do, and how many those are. last: steps from here on don't count."""
+    end = F.col("end") if last is None else F.least("end", last)
+    ends = F.array(F.struct(F.col("start").alias("step"), F.lit(1).alias("_d")), F.struct(end.alias("step"), F.lit(-1).alias("_d")))
+    df = notes.where(F.col("start") < end).select(*keys, F.inline(ends))
+    w = Window.partitionBy(*keys).orderBy("step")
+    # of rows at one step only the last has a length
+    df = df.withColumns({"active": F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"), "length": F.lead("step").over(w) - F.col("step")})
+    return df.where("length > 0 and active > 0").select(*keys, "step", "length", "active")
+
+
 def active_steps(notes: DataFrame, keys: list[str] = KEY, last: Column | None = None) -> DataFrame:
     """(keys, step, active): how many notes sound at each step with any. last: steps from here on don't count."""
-    end = F.col("end") if last is None else F.least("end", last)
-    span = notes.where(F.col("start") < end).select(*keys, F.explode(F.sequence("start", end - 1)).alias("step"))
-    return span.groupBy(*keys, "step").agg(F.count(F.lit(1)).cast("int").alias("active"))
+    return active_runs(notes, keys, last).select(*keys, F.explode(F.sequence("step", F.col("step") + F.col("length") - 1)).alias("step"), "active")
 
 
 def max_polyphony(notes: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    return active_steps(notes, keys).groupBy(*keys).agg(F.max("active").alias("max_polyphony"))
+    return active_runs(notes, keys).groupBy(*keys).agg(F.max("active").alias("max_polyphony"))
 
 
 def polyphony(notes: DataFrame, lengths: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -39,22 +48,34 @@ def polyphony(notes: DataFrame, lengths: DataFrame, keys: list[str] = KEY) -> Da
     Tracks longer than ``MAX_TICK`` are refused: they keep their row, with nulls. min_q and max_q are the order statistics at .15 and .85 of the non-zero counts.
     """
     guarded = lengths.where(F.col("max_tick") <= MAX_TICK)
-    active = active_steps(notes.join(guarded, keys), keys, F.col("max_tick") - 1)
-    sums = active.groupBy(*keys).agg(F.sum("active").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min("active").alias("min_polyphony"), F.max("active").alias("max_polyphony"), F.sort_array(F.collect_list("active")).alias("_all"))
+    runs = active_runs(notes.join(guarded, keys), keys, F.col("max_tick") - 1)
+    # a count and how many steps have it stand for the steps
+    counts = runs.groupBy(*keys, "active").agg(F.sum("length").alias("_f"))
+    sums = counts.groupBy(*keys).agg(F.sum(F.col("active") * F.col("_f")).alias("_sum"), F.sum("_f").alias("_n"), F.min("active").alias("min_polyphony"), F.max("active").alias("max_polyphony"), F.sort_array(F.collect_list(F.struct("active", "_f"))).alias("_all"))
     full = lengths.join(sums, keys, "left")
     n, length = F.coalesce("_n", F.lit(0)), F.col("max_tick")
-    every = F.coalesce("_all", F.array().cast("array<int>"))
     ok = lambda c: F.when(length <= MAX_TICK, c)
+
+    def rank(q: float) -> Column:
+        """Order statistic at min(round(n q), n - 1) of the counts, 0 for none."""
+        place = F.least(F.round(n * F.lit(q)), n - 1)
+        found = F.aggregate(
+            "_all", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("of")),
+            lambda a, x: F.struct((a["seen"] + x["_f"]).alias("seen"), F.coalesce(a["of"], F.when(a["seen"] + x["_f"] > place, x["active"])).alias("of")), lambda a: a["of"],
+        )
+        return F.coalesce(found, F.lit(0))
+
     return full.select(
         *keys, ok(F.coalesce("_sum", F.lit(0)) / F.greatest(n, F.lit(1))).alias("av_polyphony"), ok((length - n) / F.greatest(length, F.lit(1))).alias("silence"),
-        ok(nearest_rank(every, 0.15)).alias("min_polyphony_q"), ok(nearest_rank(every, 0.85)).alias("max_polyphony_q"), ok(F.coalesce("min_polyphony", F.lit(0))).alias("min_polyphony"), ok(F.coalesce("max_polyphony", F.lit(0))).alias("max_polyphony"),
+        ok(rank(0.15)).alias("min_polyphony_q"), ok(rank(0.85)).alias("max_polyphony_q"), ok(F.coalesce("min_polyphony", F.lit(0))).alias("min_polyphony"), ok(F.coalesce("max_polyphony", F.lit(0))).alias("max_polyphony"),
     )
 
 
 def polyphony_distribution(notes: DataFrame, lengths: DataFrame) -> DataFrame:
     """(piece_id, track, polyphony_distribution): how many notes sound at each step with any, in order of steps; the last step is never counted, tracks over ``MAX_TICK`` have none."""
-    active = active_steps(notes.join(lengths.where(F.col("max_tick") <= MAX_TICK), KEY), KEY, F.col("max_tick") - 1)
-    return active.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "active"))), lambda x: x["active"]).alias("polyphony_distribution"))
+    runs = active_runs(notes.join(lengths.where(F.col("max_tick") <= MAX_TICK), KEY), KEY, F.col("max_tick") - 1)
+    told = F.transform(F.array_sort(F.collect_list(F.struct("step", "active", "length"))), lambda x: F.array_repeat(x["active"], x["length"]))
+    return runs.groupBy(*KEY).agg(F.flatten(told).alias("polyphony_distribution"))
 
 
 def durations(notes: DataFrame, keys: list[str] = KEY) -> DataFrame:

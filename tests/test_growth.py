@@ -43,6 +43,21 @@ def long_file(n=150_000):
     return smf.serialise([[(i, smf.message(0x90, i % 128, 1)) for i in range(n)], [(7, smf.message(0x91, 1, 1))]], 12)
 
 
+def test_a_long_note_costs_two_rows(spark):
+    rows = spark.createDataFrame([(1, 1, 60, 0, 90_000), (1, 1, 64, 10, 80_000)], NOTES)
+    assert sorted((r.step, r.length, r.active) for r in A.active_runs(rows).collect()) == [(0, 10, 1), (10, 79_990, 2), (80_000, 10_000, 1)]
+
+
+def test_runs_are_the_steps(spark):
+    own = notes()
+    want = {}
+    for p, t, _, a, b in own:
+        for s in range(a, b):
+            want[p, t, s] = want.get((p, t, s), 0) + 1
+    got = A.active_steps(spark.createDataFrame(own, NOTES)).collect()
+    assert {(r.piece_id, r.track, r.step): r.active for r in got} == want and len(got) == len(want)
+
+
 def test_a_file_in_one_pass_of_arrays():
     rng = random.Random(1)
     rows = sorted((rng.choice([0, 5, 200, 20_000, 3_000_000]) + rng.randrange(100), rng.randrange(1, 4), rng.randrange(128), rng.randrange(128)) for _ in range(200))
