@@ -1,6 +1,6 @@
 """MIDI files as a Spark data source: ``spark.read.format("midi").load(path)`` and ``df.write.format("midi").save(path)``.
 
-Register once a session with ``register``. Reading splits the listed files into partitions of about ``maxPartitionBytes``; a file that can't be read gives one row
+Register once a session with ``register``. Reading splits the listed files into partitions of about ``maxPartitionBytes``, 8 MB, some two million messages; a file that can't be read gives one row
 with its error. Files that a pushed-down filter on ``piece_id`` (the path below the folder) excludes are not opened, tracks that one on ``smf_track`` excludes are
 not built, and only the columns of the schema that the reader is given are filled, so ``.schema("piece_id string, tick long")`` is a narrow read. Writing
 gives a file a piece, under a temporary folder, and moves all of them on commit; a job that fails leaves nothing.
@@ -17,18 +17,17 @@ from dataclasses import dataclass
 from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .smf import SCHEMA, meta_message, parse, plain_bytes, serialise, write_vlq
+from ..session import spread
+from .smf import ROWS, SCHEMA, error_batch, file_batches, meta_message, serialise, write_vlq
 
-TYPES = {"piece_id": pa.string(), "tick": pa.int64(), "meta": pa.binary(), "error": pa.string()}
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
-#: Messages of a batch.
-ROWS = 65_536
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -52,7 +51,7 @@ class MidiReader(DataSourceReader):
             raise ValueError(f"a midi table has no {', '.join(sorted(unknown))}; it has {', '.join(FIELDS)}")
         self.names = schema.names
         self.path, self.glob = options["path"], options.get("pathGlobFilter", "*.mid")
-        self.limit = int(options.get("maxPartitionBytes", 64 << 20))
+        self.limit = int(options.get("maxPartitionBytes", 8 << 20))
         self.pieces: set[str] | None = None
         self.tracks: set[int] | None = None
 
@@ -88,11 +87,11 @@ class MidiReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, root = opened(self.path)
-        columns: list[list] = [[] for _ in self.names]
-        at = [FIELDS.index(n) for n in self.names]
+        columns: list[list[pa.Array]] = [[] for _ in self.names]
+        rows = 0
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, TYPES.get(n, pa.int32())) for n, c in zip(self.names, columns, strict=True)], names=self.names)
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=self.names)
             for c in columns:
                 c.clear()
             return out
@@ -100,16 +99,18 @@ class MidiReader(DataSourceReader):
         for name, _ in partition.files:
             try:
                 with fs.open_input_stream(f"{root.rstrip('/')}/{name}" if name else root) as f:
-                    rows = [(name, *r, None) for r in parse(plain_bytes(f.read()))]
-            except (ValueError, IndexError, OSError) as e:
-                rows = [(name, *[None] * 10, str(e) or "file ends early")]
-            for r in rows:
-                if self.tracks is None or r[2] in self.tracks:
-                    for c, i in zip(columns, at, strict=True):
-                        c.append(r[i])
-            if len(columns[0] if columns else []) >= ROWS:
-                yield batch()
-        if columns and columns[0]:
+                    own = file_batches(name, f.read())
+            except OSError as e:
+                own = [error_batch(name, e)]
+            for part in own:
+                part = part if self.tracks is None else part.filter(pc.is_in(part.column("smf_track"), pa.array(sorted(t for t in self.tracks if t is not None), pa.int32())))
+                for c, n in zip(columns, self.names, strict=True):
+                    c.append(part.column(n))
+                rows += part.num_rows
+                if columns and rows >= ROWS:
+                    yield batch()
+                    rows = 0
+        if columns and rows:
             yield batch()
 
 
@@ -141,7 +142,7 @@ class MidiWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
-        names: list[str] = []
+        names: dict[str, None] = {}
 
         def put(piece, data: bytes) -> None:
             name = str(piece)
@@ -154,7 +155,7 @@ class MidiWriter(DataSourceArrowWriter):
             fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(target) as f:
                 f.write(data)
-            names.append(name)
+            names[name] = None
 
         if self.raw:
             for b in batches:
@@ -171,7 +172,7 @@ class MidiWriter(DataSourceArrowWriter):
                         tracks.append([])
                     tracks[r["smf_track"]].append((r["tick"], message_bytes(r["status"], r["p1"], r["p2"], r["meta_type"], r["meta"])))
                 put(piece, serialise(tracks, tpq))
-        return Written(names)
+        return Written(list(names))
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = opened(self.path)
@@ -227,5 +228,5 @@ def save(messages: DataFrame, path: str, mode: str = "append") -> None:
     """Write messages, each piece's in one task and in order of seq; rows of files that had errors go."""
     register(messages.sparkSession)
     good = messages.where("error is null") if "error" in messages.columns else messages
-    dealt = good.repartition("piece_id").sortWithinPartitions("piece_id", "smf_track", "seq")
+    dealt = spread(good, "piece_id").sortWithinPartitions("piece_id", "smf_track", "seq")
     dealt.select(F.col("piece_id").cast("string").alias("piece_id"), "tpq", "smf_track", "tick", "status", "p1", "p2", "meta_type", "meta").write.format("midi").mode(mode).save(path)

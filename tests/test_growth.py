@@ -86,6 +86,14 @@ def test_small_bytes_stay_dealt_out(spark):
     assert files.where("content is null").count() == 0
 
 
+def test_midi_partitions_follow_the_messages(tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.mid").write_bytes(b"MThd" + bytes(6 << 20))
+    from pyspark.sql.types import StructType
+
+    assert len(midi.MidiReader(StructType.fromDDL("tick long"), {"path": str(tmp_path)}).partitions()) == 3
+
+
 def test_one_call_pairs_many_keys():
     rows = [(str(p), "0", "60", 10 * p + ms, ms, v, ms) for p in range(50) for ms, v in ((1, 80), (4, 0), (6, 70))]
     ready = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), S.EVENT, strict=True)], schema=S.EVENT)
