@@ -94,6 +94,20 @@ def test_midi_partitions_follow_the_messages(tmp_path):
     assert len(midi.MidiReader(StructType.fromDDL("tick long"), {"path": str(tmp_path)}).partitions()) == 3
 
 
+def test_requests_are_dealt_out_and_draws_stay(spark):
+    req = spark.range(20).coalesce(1).select(F.col("id").alias("piece_id"), F.lit(1).alias("n_tracks"), F.lit(1).alias("n_bars"), F.col("id").alias("seed"), F.lit('[{"TRACK": [10]}]').alias("controls"))
+    out = generation.generate(req, "NEW_DURATION_ENCODER")
+    assert out.rdd.getNumPartitions() > 4
+    got = {r.piece_id: r.tokens for r in out.collect()}
+    for seed in (0, 7):
+        c, rng, want = generation.Constraint("NEW_DURATION_ENCODER", 1, 1, [{"TRACK": [10]}]), np.random.default_rng(seed), []
+        while not c.finished():
+            p = c.allowed() / c.allowed().sum()
+            want.append(int(rng.choice(c.size, p=p)))
+            c.update(want[-1])
+        assert got[seed] == want
+
+
 def test_one_call_pairs_many_keys():
     rows = [(str(p), "0", "60", 10 * p + ms, ms, v, ms) for p in range(50) for ms, v in ((1, 80), (4, 0), (6, 70))]
     ready = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), S.EVENT, strict=True)], schema=S.EVENT)
