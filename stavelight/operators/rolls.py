@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +18,15 @@ KEY = ["piece_id", "track"]
 
 
 def roll(notes: DataFrame, bound: int | None = None, keys: list[str] = KEY) -> DataFrame:
-    """(keys, step, pitch): cells that a note covers, once each, before step ``bound``."""
+    """(keys, step, pitch): cells that a note covers, once each, before step ``bound``.
+
+    A note gives the steps behind those of its pitch that begin before it, so no cell has to be compared with another.
+    """
     end = F.col("end") if bound is None else F.least("end", F.lit(bound))
-    df = notes.where(F.col("start") < end).select(*keys, "pitch", F.explode(F.sequence("start", end - 1)).alias("step"))
-    return df.select(*keys, "step", "pitch").distinct()
+    before = Window.partitionBy(*keys, "pitch").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    df = notes.where(F.col("start") < end).select(*keys, "pitch", "start", end.alias("end"))
+    df = df.withColumn("start", F.greatest("start", F.max("end").over(before))).where("start < end")
+    return df.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("step"), "pitch")
 
 
 def bit_roll(cells: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -132,15 +137,40 @@ def min_hash(rows: DataFrame, column: str, seeds: list[int], k: int, out: str =
     return rows.mapInArrow(run, schema)
 
 
+#: Bars that are laid out as bytes at once.
+BARS = 512
+
+
 def roll_min_hash(cells: DataFrame, seeds: list[int], k: int, bar_steps: int = 48) -> DataFrame:
-    """(piece_id, track, bar, sketch) over the sixteen bytes of each step of a bar."""
+    """(piece_id, track, bar, sketch) over the sixteen bytes of each step of a bar.
+
+    Cells travel as words of 32 steps of a pitch; tasks lay them out as bytes, some bars at a time.
+    """
     keys = [*KEY, "bar"]
-    by = byte_roll(cells, keys)
-    rows = by.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("step", "bytes"))).alias("m"))
-    empty = F.array_repeat(F.lit(0), 16)
-    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bar_steps - 1)), lambda s: F.coalesce(F.try_element_at("m", s.cast("int")), empty)))
-    data = F.unhex(F.array_join(F.transform(flat, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    return min_hash(rows.select(*keys, data.alias("data")), "data", seeds, k).drop("data")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("step") % 32).cast("int"))
+    words = cells.groupBy(*keys, "pitch", F.floor(F.col("step") / 32).cast("int").alias("_c")).agg(F.bit_or(bit).alias("_w"))
+    rows = words.groupBy(*keys).agg(F.collect_list(F.struct(F.col("pitch").cast("int").alias("pitch"), "_c", "_w")).alias("_p"))
+    schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("sketch", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BARS):
+                b = whole.slice(lo, BARS)
+                parts = b.column(len(keys))
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(parts).to_numpy())
+                values = parts.flatten()
+                pitch, chunk, word = (pc.struct_field(values, c).to_numpy(zero_copy_only=False) for c in ("pitch", "_c", "_w"))
+                at, shift = np.nonzero(word[:, None] >> np.arange(32) & 1)
+                step = chunk[at] * 32 + shift
+                ok = (step >= 0) & (step < bar_steps) & (pitch[at] >= 0) & (pitch[at] < 128)
+                grid = np.zeros((b.num_rows, bar_steps, 128), bool)
+                grid[row[at][ok], step[ok], pitch[at][ok]] = True
+                data = np.packbits(grid, axis=2, bitorder="little").reshape(b.num_rows, -1)
+                found = _sketches(pa.array([x.tobytes() for x in data], pa.binary()), seeds, k)
+                out = pa.array(found.tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], out], names=[*keys, "sketch"])
+
+    return rows.mapInArrow(run, schema)
 
 
 #: Steps of a roll from a file at most; longer ones are refused.

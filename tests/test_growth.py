@@ -58,6 +58,27 @@ def test_runs_are_the_steps(spark):
     assert {(r.piece_id, r.track, r.step): r.active for r in got} == want and len(got) == len(want)
 
 
+def test_cells_of_overlapping_notes_stand_once(spark, capsys):
+    own = notes()
+    df = R.roll(spark.createDataFrame(own, NOTES), bound=150)
+    got = sorted(tuple(r) for r in df.select("piece_id", "track", "step", "pitch").collect())
+    assert got == sorted({(p, t, s, k) for p, t, k, a, b in own for s in range(a, min(b, 150))})
+    df.explain()
+    assert "Aggregate" not in capsys.readouterr().out
+
+
+def test_bars_meet_their_sketch_as_words(spark, capsys):
+    df = R.roll_min_hash(R.bar_roll(spark.createDataFrame(notes(), NOTES)), [1, 2], 16)
+    got = {(r.piece_id, r.track, r.bar): r.sketch for r in df.collect()}
+    data = {}
+    for p, t, k, a, b in notes():
+        for s in range(a, b):
+            data.setdefault((p, t, s // 48), np.zeros((48, 16), np.uint8))[s % 48, k // 8] |= 1 << k % 8
+    assert got == {key: [int(R.xxh32_of_windows(x.ravel(), 16, s).min()) for s in (1, 2)] for key, x in data.items()}
+    df.explain()
+    assert "map_from_entries" not in capsys.readouterr().out
+
+
 def test_a_file_in_one_pass_of_arrays():
     rng = random.Random(1)
     rows = sorted((rng.choice([0, 5, 200, 20_000, 3_000_000]) + rng.randrange(100), rng.randrange(1, 4), rng.randrange(128), rng.randrange(128)) for _ in range(200))
