@@ -199,13 +199,16 @@ def resolve_fills(tokens: DataFrame) -> DataFrame:
     """Tokens with the k-th placeholder replaced by what the k-th FILL_IN_START .. FILL_IN_END holds, renumbered."""
     w = Window.partitionBy("piece_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda k: F.sum((F.col("token_type") == k).cast("int")).over(w)
-    df = tokens.withColumns({"_s": count("FILL_IN_START"), "_e": count("FILL_IN_END"), "_p": count("FILL_IN_PLACEHOLDER")})
-    holders = df.where("token_type = 'FILL_IN_PLACEHOLDER'").select("piece_id", F.col("_p").alias("_s"), F.col("idx").alias("_at"))
-    inside = df.where("_s > _e and token_type <> 'FILL_IN_START'").join(holders, ["piece_id", "_s"]).withColumn("_sub", F.col("idx"))
-    outside = df.where("_s = 0 and token_type <> 'FILL_IN_PLACEHOLDER'").withColumn("_at", F.col("idx")).withColumn("_sub", F.lit(0))
-    both = outside.unionByName(inside)
+    df = tokens.withColumns({"_s": count("FILL_IN_START"), "_e": count("FILL_IN_END")})
+    # each row knows the places of its piece's placeholders, so nothing is joined and tokens are made once
+    every = Window.partitionBy("piece_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    places = F.collect_list(F.when(F.col("token_type") == "FILL_IN_PLACEHOLDER", F.col("idx"))).over(every)
+    inside = (F.col("_s") > F.col("_e")) & (F.col("token_type") != "FILL_IN_START")
+    outside = (F.col("_s") == 0) & (F.col("token_type") != "FILL_IN_PLACEHOLDER")
+    df = df.withColumn("_at", F.when(inside, F.try_element_at(places, F.greatest("_s", F.lit(1)).cast("int"))).when(outside, F.col("idx")))
+    df = df.where("_at is not null").withColumn("_sub", F.when(inside, F.col("idx")).otherwise(F.lit(0)))
     idx = F.row_number().over(Window.partitionBy("piece_id").orderBy("_at", "_sub")) - 1
-    return both.withColumn("_new", idx).drop("idx", "_s", "_e", "_p", "_at", "_sub").withColumnRenamed("_new", "idx")
+    return df.withColumn("_new", idx).drop("idx", "_s", "_e", "_at", "_sub").withColumnRenamed("_new", "idx")
 
 
 def decode(tokens: DataFrame, resolution: int = 12, default_velocity: int = 100) -> DataFrame:

@@ -129,6 +129,13 @@ def test_requests_are_dealt_out_and_draws_stay(spark):
         assert got[seed] == want
 
 
+def test_fills_are_resolved_from_one_pass(spark):
+    kinds = ["PIECE_START", "FILL_IN_PLACEHOLDER", "BAR", "FILL_IN_PLACEHOLDER", "TRACK_END", "FILL_IN_START", "A", "B", "FILL_IN_END", "FILL_IN_START", "C", "FILL_IN_END", "FILL_IN_START", "D", "FILL_IN_END"]
+    tokens, seen = counted(spark, spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "piece_id int, idx int, token_type string"))
+    got = [r.token_type for r in E.resolve_fills(tokens).orderBy("idx").collect()]
+    assert got == ["PIECE_START", "A", "B", "BAR", "C", "TRACK_END"] and seen.value == len(kinds)
+
+
 def test_one_call_pairs_many_keys():
     rows = [(str(p), "0", "60", 10 * p + ms, ms, v, ms) for p in range(50) for ms, v in ((1, 80), (4, 0), (6, 70))]
     ready = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), S.EVENT, strict=True)], schema=S.EVENT)
