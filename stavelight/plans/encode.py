@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import spread
 from .vocab import Encoder, get_encoder, rows_of, token_of
 
 PLACE = ["p1", "p2", "p3", "p4", "p5", "p6", "p7"]
@@ -150,7 +151,7 @@ def encode(name: str, tracks: DataFrame, bars: DataFrame, events: DataFrame, fil
         all_rows = all_rows.join(odd, "piece_id", "left")
         problem = F.coalesce(problem, F.when(F.col("_odd") & (F.col("token_type") == "PIECE_START"), "time signature other than 4/4"))
     idx = F.row_number().over(Window.partitionBy("piece_id").orderBy(*PLACE)) - 1
-    return all_rows.select("piece_id", idx.alias("idx"), "token_type", "value", "token", problem.alias("problem"))
+    return spread(all_rows, "piece_id").select("piece_id", idx.alias("idx"), "token_type", "value", "token", problem.alias("problem"))
 
 
 def encode_interleaved(name: str, tracks: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:
