@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import bars as B
 from ..operators import notes as N
 from ..operators.segments import draw
+from ..session import checkpointed
 from . import smf
 
 MESSAGE = "struct<tick:bigint,status:int,channel:int,p1:int,p2:int,meta_type:int,meta:binary>"
@@ -118,7 +119,7 @@ def excerpt(messages: DataFrame, start: float, end: float) -> DataFrame:
 
     Seconds become ticks, rounded, by the file's own tempo map; files that end before ``start`` have their state only. Error rows go.
     """
-    good = messages.where("error is null")
+    good = checkpointed(messages.where("error is null"))  # files are decoded once
     files = good.groupBy("piece_id").agg(F.first("tpq").alias("tpq"))
     tempo = B.tempo_map(smf.tempos(good), files)
 

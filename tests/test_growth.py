@@ -129,6 +129,13 @@ def test_requests_are_dealt_out_and_draws_stay(spark):
         assert got[seed] == want
 
 
+def test_excerpts_read_messages_once(spark):
+    files = spark.createDataFrame([("a", smf.serialise([[(i, smf.message(0x90, 60, i % 2)) for i in range(100)]], 12))], "piece_id string, content binary")
+    messages, seen = counted(spark, smf.decode(files, "piece_id"))
+    assert edit.excerpt(messages, 1, 3).count() > 0
+    assert seen.value == 101
+
+
 def test_fills_are_resolved_from_one_pass(spark):
     kinds = ["PIECE_START", "FILL_IN_PLACEHOLDER", "BAR", "FILL_IN_PLACEHOLDER", "TRACK_END", "FILL_IN_START", "A", "B", "FILL_IN_END", "FILL_IN_START", "C", "FILL_IN_END", "FILL_IN_START", "D", "FILL_IN_END"]
     tokens, seen = counted(spark, spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "piece_id int, idx int, token_type string"))
