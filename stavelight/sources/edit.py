@@ -6,6 +6,7 @@ A message table has the columns of ``smf.SCHEMA``. Edits are column rewrites and
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -263,7 +264,12 @@ def from_binasc(source: str) -> bytes:
 def to_binasc(data: bytes, comments: bool = False) -> str:
     """A text that from_binasc turns back into the same bytes: header and track heads by field, a line per message."""
     try:
-        rows = list(smf.parse(data))
+        # of a message only track, tick and status stay, as numbers
+        tracks, ticks, kinds = array("H"), array("q"), bytearray()
+        for r in smf.parse(data):
+            tracks.append(r[1])
+            ticks.append(r[3])
+            kinds.append(r[4])
     except (ValueError, IndexError):
         return "\n".join(" ".join(f"{b:02x}" for b in data[i : i + 25]) for i in range(0, len(data), 25)) + "\n"
     note = lambda s: f"\t; {s}" if comments else ""
@@ -273,21 +279,20 @@ def to_binasc(data: bytes, comments: bool = False) -> str:
     for track in range(number(10, 2)):
         end = at + 8 + number(at + 4, 4)
         lines.append(f'"MTrk" 4\'{number(at + 4, 4)}{note(f"track {track}")}')
-        own = [r for r in rows if r[1] == track]
         at += 8
-        for r in own:
-            start = at
+        while place < len(tracks) and tracks[place] == track:
+            start, status = at, kinds[place]
             delta, at = smf.read_vlq(data, at)
             vlq = f"v{delta}" if smf.write_vlq(delta) == data[start:at] else " ".join(f"{b:02x}" for b in data[start:at])
             begin = at
             if data[at] >= 0x80:
                 at += 1
-            if r[4] in (0xF0, 0xF7, 0xFF):
-                size, at = smf.read_vlq(data, at + (r[4] == 0xFF))
+            if status in (0xF0, 0xF7, 0xFF):
+                size, at = smf.read_vlq(data, at + (status == 0xFF))
                 at += size
             else:
-                at += (1 if r[4] & 0xF0 in (0xC0, 0xD0) else 2) if r[4] < 0xF0 else {0xF1: 1, 0xF2: 2, 0xF3: 1}.get(r[4], 0)
-            lines.append(f'{vlq} {" ".join(f"{b:02x}" for b in data[begin:at])}{note(f"tick {r[3]}")}')
+                at += (1 if status & 0xF0 in (0xC0, 0xD0) else 2) if status < 0xF0 else {0xF1: 1, 0xF2: 2, 0xF3: 1}.get(status, 0)
+            lines.append(f'{vlq} {" ".join(f"{b:02x}" for b in data[begin:at])}{note(f"tick {ticks[place]}")}')
             place += 1
         if at < end:
             lines.append(" ".join(f"{b:02x}" for b in data[at:end]))
@@ -301,8 +306,9 @@ def _by_row(files: DataFrame, column: str, of, kind: str, out: str) -> DataFrame
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = list(b.schema.names)
-            values = [None if x is None else of(x) for x in b.column(cols.index(column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.string() if kind == "string" else pa.binary())], names=[*cols, out])
+            values = (x.as_py() for x in b.column(cols.index(column)))
+            made = [None if x is None else of(x) for x in values]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string() if kind == "string" else pa.binary())], names=[*cols, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     return files.mapInArrow(run, f"{fields}, {out} {kind}")

@@ -99,6 +99,15 @@ def test_messages_of_a_long_file_come_in_batches():
     assert [p.num_rows for p in bad] == [1] and bad[0].column(11)[0].as_py()
 
 
+def test_text_of_a_long_file_keeps_numbers_only():
+    data = long_file(50_000)
+    tracemalloc.start()
+    text = edit.to_binasc(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert edit.from_binasc(text) == data and peak < 300 * 50_000
+
+
 def test_small_bytes_stay_dealt_out(spark):
     tracks = spark.createDataFrame([(i, 1, 0, 10) for i in range(40)], "piece_id int, track int, instrument int, track_type int")
     events = spark.createDataFrame([(i, 1, 0, 90, 60) for i in range(40)], "piece_id int, track int, tick int, velocity int, pitch int")
