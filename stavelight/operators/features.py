@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 KEY = ["piece_id", "track"]
-#: Steps of a track beyond which features are refused.
-MAX_TICK = 100_000
 
 
 def nearest_rank(values: Column, q: float) -> Column:
@@ -43,18 +41,16 @@ def max_polyphony(notes: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 
 def polyphony(notes: DataFrame, lengths: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """(keys, av_polyphony, silence, min_q, max_q, min, max) with lengths (keys, max_tick). The last step is never counted.
+    """(keys, av_polyphony, silence, min_q, max_q, min, max) with lengths (keys, max_tick), of tracks of any length. The last step is never counted.
 
-    Tracks longer than ``MAX_TICK`` are refused: they keep their row, with nulls. min_q and max_q are the order statistics at .15 and .85 of the non-zero counts.
+    min_q and max_q are the order statistics at .15 and .85 of the non-zero counts.
     """
-    guarded = lengths.where(F.col("max_tick") <= MAX_TICK)
-    runs = active_runs(notes.join(guarded, keys), keys, F.col("max_tick") - 1)
+    runs = active_runs(notes.join(lengths, keys), keys, F.col("max_tick") - 1)
     # a count and how many steps have it stand for the steps
     counts = runs.groupBy(*keys, "active").agg(F.sum("length").alias("_f"))
     sums = counts.groupBy(*keys).agg(F.sum(F.col("active") * F.col("_f")).alias("_sum"), F.sum("_f").alias("_n"), F.min("active").alias("min_polyphony"), F.max("active").alias("max_polyphony"), F.sort_array(F.collect_list(F.struct("active", "_f"))).alias("_all"))
     full = lengths.join(sums, keys, "left")
     n, length = F.coalesce("_n", F.lit(0)), F.col("max_tick")
-    ok = lambda c: F.when(length <= MAX_TICK, c)
 
     def rank(q: float) -> Column:
         """Order statistic at min(round(n q), n - 1) of the counts, 0 for none."""
@@ -66,14 +62,14 @@ def polyphony(notes: DataFrame, lengths: DataFrame, keys: list[str] = KEY) -> Da
         return F.coalesce(found, F.lit(0))
 
     return full.select(
-        *keys, ok(F.coalesce("_sum", F.lit(0)) / F.greatest(n, F.lit(1))).alias("av_polyphony"), ok((length - n) / F.greatest(length, F.lit(1))).alias("silence"),
-        ok(rank(0.15)).alias("min_polyphony_q"), ok(rank(0.85)).alias("max_polyphony_q"), ok(F.coalesce("min_polyphony", F.lit(0))).alias("min_polyphony"), ok(F.coalesce("max_polyphony", F.lit(0))).alias("max_polyphony"),
+        *keys, (F.coalesce("_sum", F.lit(0)) / F.greatest(n, F.lit(1))).alias("av_polyphony"), ((length - n) / F.greatest(length, F.lit(1))).alias("silence"),
+        rank(0.15).alias("min_polyphony_q"), rank(0.85).alias("max_polyphony_q"), F.coalesce("min_polyphony", F.lit(0)).alias("min_polyphony"), F.coalesce("max_polyphony", F.lit(0)).alias("max_polyphony"),
     )
 
 
 def polyphony_distribution(notes: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(piece_id, track, polyphony_distribution): how many notes sound at each step with any, in order of steps; the last step is never counted, tracks over ``MAX_TICK`` have none."""
-    runs = active_runs(notes.join(lengths.where(F.col("max_tick") <= MAX_TICK), KEY), KEY, F.col("max_tick") - 1)
+    """(piece_id, track, polyphony_distribution): how many notes sound at each step with any, in order of steps; the last step is never counted."""
+    runs = active_runs(notes.join(lengths, KEY), KEY, F.col("max_tick") - 1)
     told = F.transform(F.array_sort(F.collect_list(F.struct("step", "active", "length"))), lambda x: F.array_repeat(x["active"], x["length"]))
     return runs.groupBy(*KEY).agg(F.flatten(told).alias("polyphony_distribution"))
 

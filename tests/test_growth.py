@@ -159,3 +159,13 @@ def test_one_call_pairs_many_keys():
     assert len(out) == 50 and set(zip(out["start"], out["end"], out["velocity"])) == {(1, 4, 80)} and len(held) == 50
     out, held = S.OpenNotes(100)._notes(held, S.EVENT.empty_table(), 1000)
     assert len(out) == 50 and out["hanging"].all() and out["end"].isna().all() and len(held) == 0
+
+
+def test_features_of_a_track_of_any_length(spark):
+    rows = spark.createDataFrame([(1, 1, 60, 0, 150_000), (1, 1, 64, 100_000, 250_001)], NOTES)
+    ends = spark.createDataFrame([(1, 1, 250_001)], "piece_id int, track int, max_tick int")
+    f = A.track_features(rows, ends).first()
+    assert (f.min_polyphony, f.max_polyphony, f.min_polyphony_q, f.max_polyphony_q, f.max_polyphony_hard) == (1, 2, 1, 2, 1)
+    assert abs(f.av_polyphony - 300_000 / 250_000) < 1e-9 and abs(f.silence - 1 / 250_001) < 1e-9
+    told = A.polyphony_distribution(rows, ends).first().polyphony_distribution
+    assert told == [1] * 100_000 + [2] * 50_000 + [1] * 100_000
