@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .vocab import get_encoder
+from .vocab import get_encoder, rows_of
 
 _CONTROLS = "INSTRUMENT DENSITY_LEVEL MIN_POLYPHONY MAX_POLYPHONY MIN_NOTE_DURATION MAX_NOTE_DURATION BAR"
 _FRAME = ["TRACK GENRE INSTRUMENT", _CONTROLS, "FILL_IN_PLACEHOLDER BAR_END", "BAR_END BAR", "BAR_END TRACK_END", "TRACK_END TRACK", "TRACK_END FILL_IN_START", "FILL_IN_END FILL_IN_START"]
@@ -52,6 +52,19 @@ def violations(tokens: DataFrame, allowed: DataFrame, keys: list[str] | None = N
     return pairs.join(F.broadcast(allowed), ["a", "b"], "left_anti").select(*keys, "idx", "a", "b")
 
 
+def broken_edges(tokens: Column, name: str, infill: bool = True) -> Column:
+    """How many adjacent tokens of an array are no edge, within its row; one outside the vocabulary has no edges."""
+    own = {r[0]: r[1] for r in rows_of(get_encoder(name).domains) if r[6]}
+    kinds = sorted(set(own.values()))
+    n, told = len(kinds), edges(name, infill)
+    kind = F.array(*[F.lit(kinds.index(own[t]) if t in own else n) for t in range(max(own) + 1)])
+    edge = F.array(*[F.lit((a, b) in told) for a in [*kinds, None] for b in [*kinds, None]])
+    types = F.transform(tokens, lambda t: F.coalesce(F.get(kind, t), F.lit(n)))
+    # the last has nothing behind it
+    pairs = F.zip_with(types, F.slice(types, F.lit(2), F.size(types)), lambda a, b: b.isNull() | F.get(edge, a * (n + 1) + b))
+    return F.size(F.filter(pairs, lambda ok: ~ok))
+
+
 def type_mask(name: str, last: str, infill: bool = True) -> list[str]:
     """Types that may follow ``last``."""
     return sorted(b for a, b in edges(name, infill) if a == last)

@@ -799,7 +799,9 @@ def generated_pieces(spark, sf_dir):
     """Sequences drawn under the grammar, one request for each supplier, checked for the grammar again."""
     s = table(spark, sf_dir, "supplier")
     req = s.select(F.col("s_suppkey").alias("piece_id"), F.lit(2).alias("n_tracks"), F.lit(2).alias("n_bars"), F.col("s_suppkey").alias("seed"), F.lit('[{"TRACK": [10]}, {"TRACK": [11]}]').alias("controls"))
-    return generation.generate(req, "NEW_DURATION_ENCODER").select("piece_id", F.size("tokens").alias("length"), "error")
+    out = generation.generate(req, "NEW_DURATION_ENCODER")
+    broken = F.when(F.col("error").isNull(), grammar.broken_edges(F.col("tokens"), "NEW_DURATION_ENCODER", False))
+    return out.select("piece_id", F.size("tokens").alias("length"), broken.alias("violations"), "error")
 
 
 @query(""", s AS (SELECT date_trunc('day', ts) AS day, user_id % 5 AS piece_id FROM events) SELECT strftime(day, '%Y-%m-%d') AS day, piece_id, count(*) AS onsets FROM s GROUP BY ALL""")

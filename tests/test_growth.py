@@ -8,10 +8,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stavelight import queries
 from stavelight.operators import features as A
 from stavelight.operators import rolls as R
 from stavelight.plans import encode as E
-from stavelight.plans import generation
+from stavelight.plans import generation, grammar
 from stavelight.sources import edit, midi, smf
 from stavelight.streaming import notes as S
 
@@ -183,3 +184,18 @@ def test_bar_rolls_of_files_of_any_length(spark):
     want = {(n.track, b.bar, s - b.bar_start, n.pitch) for n in own for b in bars for s in range(max(n.start, b.bar_start), min(n.end, b.bar_start + b.steps))}
     got = [(r.track, r.bar, r.step, r.pitch) for r in R.bar_roll_of_file(m).collect()]
     assert set(got) == want and len(got) == len(want) and max(b for _, b, _, _ in got) > 1200
+
+
+def test_generated_pieces_are_checked_again(spark, monkeypatch):
+    name = "NEW_DURATION_ENCODER"
+    by_kind = {r[1]: r[0] for r in generation.rows_of(generation.get_encoder(name).domains) if r[6]}
+    rng = random.Random(6)
+    lists = [[], [by_kind["BAR"]], [by_kind[k] for k in ("PIECE_START", "TRACK", "INSTRUMENT", "NOTE_ONSET", "BAR_END", "TRACK_END")], [by_kind["BAR_END"], 9999, by_kind["BAR"]], *([rng.choice([*by_kind.values()]) for _ in range(40)] for _ in range(5))]
+    of = {v: k for k, v in by_kind.items()}
+    want = {i: sum((of.get(a), of.get(b)) not in grammar.edges(name, False) for a, b in zip(x, x[1:], strict=False)) for i, x in enumerate(lists)}
+    rows = spark.createDataFrame([*((i, x, None) for i, x in enumerate(lists)), (99, [], "not finished")], "piece_id long, tokens array<int>, error string")
+    whole = {r.piece_id: r for r in queries.generated_pieces(spark, "/root/testdata/sf0.001").collect()}
+    assert all((r.violations is None) == (r.error is not None) and not r.violations for r in whole.values()) and any(r.violations == 0 for r in whole.values())
+    monkeypatch.setattr(generation, "generate", lambda *_: rows)
+    got = {r.piece_id: r.violations for r in queries.generated_pieces(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want | {99: None} and want[2] == 2 and want[3] == 2
